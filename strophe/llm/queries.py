@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from strophe.llm import decontaminate
+from strophe.llm import decontaminate, jaccard_join
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
 }
 
 SQL = {
     "op2_benchmark_decontamination": decontaminate.SQL,
+    "op6_ngram_jaccard_join": jaccard_join.SQL,
 }
