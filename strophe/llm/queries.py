@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from strophe.llm import decontaminate, jaccard_join
+from strophe.llm import byte_cnn, decontaminate, jaccard_join, language_id, toxicity
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
+    "op10_quality_classifier": byte_cnn.op10_quality_classifier,
 }
 
 SQL = {
