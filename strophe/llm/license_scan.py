@@ -63,18 +63,19 @@ def _any(norm: Column, parts: Sequence[str]) -> Column:
 def _detections(norm: Column, rules: Sequence[tuple[str, int, str, str]]) -> Column:
     """All matches of the rules whose keyword occurs, as an array of
     (start, -end, -priority, rule number, label) in the order of resolution."""
-    keywords = sorted({r[2] for r in rules})
-    table = F.array(*[F.struct(F.lit(r[2]).alias("keyword"), F.lit(rf"(?<= )(?:{r[3]})(?= )").alias("pattern"), F.lit(-r[1]).alias("priority"), F.lit(i).alias("rule"), F.lit(r[0]).alias("label")) for i, r in enumerate(rules)])
-    present = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: norm.contains(k))
-    tried = F.filter(table, lambda r: F.array_contains(present, r["keyword"]))
+    by_keyword: dict[str, list[Column]] = {}
+    for i, r in enumerate(rules):
+        by_keyword.setdefault(r[2], []).append(F.struct(F.lit(rf"(?<= )(?:{r[3]})(?= )").alias("pattern"), F.lit(-r[1]).alias("priority"), F.lit(i).alias("rule"), F.lit(r[0]).alias("label")))
+    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*own).alias("rules")) for k, own in by_keyword.items()])
+    # nested references are evaluated for every element, so each step uses its element only
+    tried = F.flatten(F.transform(F.filter(table, lambda k: norm.contains(k["keyword"])), lambda k: k["rules"]))
 
     def matches(r: Column) -> Column:
         found = F.regexp_extract_all(norm, r["pattern"], F.lit(0))
-        gaps = F.slice(F.split(norm, r["pattern"], -1), 1, F.size(found))
-        pairs = F.arrays_zip(gaps.alias("gap"), found.alias("hit"))
+        pairs = F.arrays_zip(F.split(norm, r["pattern"], -1).alias("gap"), found.alias("hit"))  # the last gap has no hit
         empty = F.array().cast("array<struct<start:int,end:int,priority:int,rule:int,label:string>>")
         walked = F.aggregate(
-            pairs,
+            F.filter(pairs, lambda p: p["hit"].isNotNull()),
             F.struct(F.lit(0).alias("at"), empty.alias("out")),
             lambda a, p: F.struct(
                 (a["at"] + F.length(p["gap"]) + F.length(p["hit"])).alias("at"),
@@ -127,7 +128,7 @@ def scan(
     n, first, last, labels = [], [], [], []
     for i, (p, label) in enumerate(phrases):
         parts = F.col(f"p{i}")
-        n.append(F.coalesce((F.size(parts) - 1).cast("long"), F.lit(0).cast("long")) if False else F.when(parts.isNull(), F.lit(0).cast("long")).otherwise((F.size(parts) - 1).cast("long")))
+        n.append(F.when(parts.isNull(), F.lit(0).cast("long")).otherwise((F.size(parts) - 1).cast("long")))
         first.append(_spaces(F.element_at(parts, 1)).cast("long"))
         last.append((F.col("n_words") - (_spaces(F.element_at(parts, -1)) - 1) - len(p.split())).cast("long"))
         labels.append(F.when(parts.isNotNull(), F.lit(label)))
