@@ -21,3 +21,18 @@ def sample_by_label(rows: DataFrame, label: str, key: str, per_label: int, most_
         share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_label / n))).otherwise(share)
     unit = F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.where(unit < share).limit(2 * per_label * len(counts)), counts
+
+
+def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, per_label: int, train=None) -> tuple[DataFrame, dict]:
+    """(doc_id, text, label) of a bounded sample of labelled documents, and the
+    counts of labels 0 and 1 it is drawn from; ``train`` is a condition on
+    doc_id.  Of repeated labels of an id the largest counts.  The sample is
+    drawn from the labels, so at most ``4 * per_label`` ids are broadcast and
+    no document is shuffled.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", label)
+    if train is not None:
+        known = known.where(train)
+    known = known.groupBy("doc_id").agg(F.max(label).alias(label))
+    ids, counts = sample_by_label(known, label, "doc_id", per_label, 2)
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), counts

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strophe.llm._learn import sample_by_label
+from strophe.llm._learn import sample_labelled
 from strophe.llm._text import add_columns, bytes_of, crc_bucket
 
 CHUNK, STEP, SPAN, FILTERS = 512, 448, 8, 24
@@ -134,10 +134,10 @@ class Network:
                     p -= lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
 
-def learn(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", per_label: int = 1200, train_chunks: int = 10) -> Network:
-    """rows: labelled texts."""
-    rows = rows.where(F.col(label).isin(0, 1))
-    sample, counts = sample_by_label(rows, label, id_col, per_label)
+def learn(docs: DataFrame, labels: DataFrame, *, label: str = "quality", train=None, per_label: int = 1200, train_chunks: int = 10) -> Network:
+    """Fit to ``docs`` (doc_id, text) labelled in ``labels`` (doc_id, label)
+    where ``train``, a condition on doc_id, holds."""
+    sample, counts = sample_labelled(docs, labels, label, per_label, train)
 
     def make():
         def apply(text):
@@ -155,7 +155,7 @@ def learn(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     if len(counts) < 2:
         net.constant = float(next(iter(counts), 1))
         return net
-    got = add_columns(sample, [text_col], [T.StructField("chunks", T.BinaryType())], make, keep=[label]).toPandas().sort_values([label, "chunks"])
+    got = add_columns(sample, ["text"], [T.StructField("chunks", T.BinaryType())], make, keep=[label]).toPandas().sort_values([label, "chunks"])
     y = got[label].to_numpy(np.float32)
     if not 0 < y.sum() < len(y):
         net.constant = counts.get(1, 0) / sum(counts.values())
@@ -183,15 +183,8 @@ def score(docs: DataFrame, net: Network, *, text_col: str = "text", threshold: f
     return add_columns(docs, [text_col], [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], make, keep=keep)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, text, label) of labelled documents; of repeated labels of an
-    id the largest counts."""
-    known = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
-    return docs.select("doc_id", "text").join(known, "doc_id")
-
-
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = crc_bucket("doc_id", 5) == 0
-    net = learn(labelled(docs.where(~held_out), spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality"))
+    net = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), train=~held_out)
     return score(docs.withColumn("held_out", held_out), net, keep=["doc_id", "held_out"])

@@ -40,9 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strophe.llm._learn import sample_by_label
+from strophe.llm._learn import sample_labelled
 from strophe.llm._text import LOWER, add_columns, blocks, bytes_of, checkpoint, crc_bucket, words
-from strophe.llm.byte_cnn import labelled
 
 OTHER, INSULT, HARM, INTENT, TARGET, NOT, REPORT = "other", "insult", "harm", "intent", "target", "not", "report"
 CORE = (INSULT, HARM)
@@ -284,17 +283,19 @@ def _explain(sample: DataFrame, candidates: set[str], known: set[str], text_col:
     return taken
 
 
-def learn(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_label: int = 2500, support: int = 5, purity: float = 0.95, gain: int = 3, most_words: int = 5000) -> Matcher:
-    rows = rows.where(F.col(label).isin(0, 1))
-    sample, counts = sample_by_label(rows, label, id_col, per_label)
+def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", train=None, per_label: int = 2500, support: int = 5, purity: float = 0.95, gain: int = 3, most_words: int = 5000) -> Matcher:
+    """Fit to ``docs`` (doc_id, text) labelled in ``labels`` (doc_id, label)
+    where ``train``, a condition on doc_id, holds."""
+    sample, counts = sample_labelled(docs, labels, label, per_label, train)
+    text_col = "text"
     lexicon, fst = seed_lexicon(), grammar()
     if len(counts) < 2:
         return Matcher(lexicon, fst, DEFAULT_FIT)
-    sample = checkpoint(sample.select(id_col, text_col, label))
+    sample = checkpoint(sample.select(text_col, label))
     found = _word_counts(sample, text_col, label).where((F.col("n") >= support) & (F.col("toxic") >= purity * F.col("n"))).orderBy(F.desc("toxic"), "word").limit(most_words)
     for w in _explain(sample, {r["word"] for r in found.collect()}, {w for w, k in lexicon.items() if k == INSULT}, text_col, label, gain):
         lexicon.setdefault(w, INSULT)
-    shared = rows.sparkSession.sparkContext.broadcast(Matcher(lexicon, fst, DEFAULT_FIT))
+    shared = docs.sparkSession.sparkContext.broadcast(Matcher(lexicon, fst, DEFAULT_FIT))
 
     def make():
         def apply(text):
@@ -348,5 +349,5 @@ def score(docs: DataFrame, matcher: Matcher, *, text_col: str = "text", threshol
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = crc_bucket("doc_id", 4) == 2
-    matcher = learn(labelled(docs.where(~held_out), spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic"))
+    matcher = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), train=~held_out)
     return score(docs.withColumn("held_out", held_out), matcher, keep=["doc_id", "held_out"])
