@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from strophe.llm import byte_cnn, decontaminate, jaccard_join, language_id, toxicity
+from strophe.llm import byte_cnn, decontaminate, gif, jaccard_join, language_id, license_scan, packing, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op3_gif_media": gif.op3_gif_media,
+    "op4_license_scan": license_scan.op4_license_scan,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
+    "op8_token_counts": token_counts.op8_token_counts,
+    "op9_length_bucket_packing": packing.op9_length_bucket_packing,
     "op10_quality_classifier": byte_cnn.op10_quality_classifier,
 }
 
