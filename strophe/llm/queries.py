@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strophe.llm import byte_cnn, decontaminate, gif, jaccard_join, language_id, license_scan, packing, token_counts, toxicity
+from strophe.llm import byte_cnn, decontaminate, gif, jaccard_join, language_id, license_scan, lm_score, packing, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_license_scan": license_scan.op4_license_scan,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
+    "op7_lm_scoring": lm_score.op7_lm_scoring,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_length_bucket_packing": packing.op9_length_bucket_packing,
     "op10_quality_classifier": byte_cnn.op10_quality_classifier,
