@@ -6,9 +6,9 @@ composition of
 
 * negation: an insult or threat right after a negation is marked negated;
 * report: one after a verb of speech is marked reported;
-* target: remembers whether someone is addressed and marks what is aimed;
 * threat: a harming verb counts only after an intent (will, going to) or an
-  imperative start, and is marked so;
+  imperative start, and is a threat then;
+* target: remembers whether someone is addressed and marks what is aimed;
 * insult and threat scoring: marked symbols give weights.
 
 A clause's score is the sum of the weights of its path, so negated or reported
@@ -96,14 +96,6 @@ class Fst:
         return total
 
 
-def _marked(symbol: str) -> list[str]:
-    """All markings a symbol can have before it is scored."""
-    out = [symbol]
-    for mark in ("-", '"', "@"):
-        out += [x + mark for x in out]
-    return out
-
-
 def grammar(weights: dict[str, float] | None = None) -> Fst:
     """The composed transducer over SEED's classes.  weights: insult, threat,
     aimed (added), negated and reported (factors)."""
@@ -113,22 +105,22 @@ def grammar(weights: dict[str, float] | None = None) -> Fst:
     wider = symbols | {s + "-" for s in CORE}
     core = {c + m for c in CORE for m in ("", "-")}
     report = Fst(0, {(q, s): (5 if s == REPORT else max(0, q - 1), s + '"' if q and s in core else s, 0.0) for q in range(6) for s in wider})
-    marked = {c + m for c in CORE for m in ("", "-", '"', '-"')}
+    # a harming verb is a threat at a clause's start or within three words of an intent
+    heard = symbols | {c + m for c in CORE for m in ("", "-", '"', '-"')}
+    threat = Fst(1, {(q, s): (3 if s == INTENT else max(0, q - 1), "threat" + s[len(HARM) :] if q and s.startswith(HARM) else OTHER if s.startswith(HARM) else s, 0.0) for q in range(4) for s in heard})
     # state: (someone is addressed, something waits for an address)
+    marked = {c + m for c in (INSULT, "threat") for m in ("", "-", '"', '-"')}
     target = Fst((0, 0), {((a, b), s): (((1, 0), s, w["aimed"] * b) if s == TARGET else ((a, 1 - a), s + "@" if a else s, 0.0) if s in marked else ((a, b), s, 0.0)) for a in (0, 1) for b in (0, 1) for s in symbols | marked})
-    all_marks = {x for c in CORE for x in _marked(c)}
-    # a harming verb is a threat at a clause's start or within three words of an intent
-    threat = Fst(1, {(q, s): (3 if s == INTENT else max(0, q - 1), "threat" + s[len(HARM) :] if q and s.startswith(HARM) else OTHER if s.startswith(HARM) else s, 0.0) for q in range(4) for s in symbols | all_marks})
 
     def weight(s: str) -> float:
-        kind = "insult" if s.startswith(INSULT) else "threat" if s.startswith("threat") else None
-        if not kind:
-            return 0.0
+        kind = "insult" if s.startswith(INSULT) else "threat"
         return (w[kind] + w["aimed"] * ("@" in s)) * (w["negated"] if "-" in s else 1) * (w["reported"] if '"' in s else 1)
 
-    last = {x for s in all_marks for x in (s, "threat" + s[len(HARM) :] if s.startswith(HARM) else s)}
-    scoring = Fst(0, {(0, s): (0, s, weight(s)) for s in last})
-    return negation.compose(report, symbols).compose(target, symbols).compose(threat, symbols).compose(scoring, symbols)
+    scoring = Fst(0, {(0, s): (0, s, weight(s)) for x in marked for s in (x, x + "@")})
+    out = negation
+    for machine in (report, threat, target, scoring):
+        out = out.compose(machine, symbols)
+    return out
 
 
 _ENDS = np.zeros(256, dtype=bool)
