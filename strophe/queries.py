@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strophe.operators import beats as B
+from strophe.operators import evaluation as E
 from strophe.operators import grouping as G
 from strophe.operators import harmony as H
 from strophe.operators import intervals as I
+from strophe.operators import kernels as K
 from strophe.operators import signal as S
 from strophe.operators import tempo as T
 from strophe.operators import timing as X
@@ -352,3 +354,51 @@ def _(spark, d):
 def _(spark, d):
     e = V.read(spark, d, "embeddings")
     return _rounded(S.block_level(e, "embedding", -18.0).select("vec_id", "level_db", "is_signal"))
+
+
+@query("manifest_errors", CHORDS + ERRORS + """, m as (select *, abs(error_s - (quantile_cont(error_s, 0.5) over (partition by session_id))) * 1000 as a from er)
+select session_id, round(median(a), 6) as error_median_ms, round(quantile_cont(a, 0.75), 6) as error_p75_ms, round(quantile_cont(a, 0.9), 6) as error_p90_ms, round(100 * avg(case when a <= 10 then 1.0::double else 0.0::double end), 6) as within_10ms_pct from m group by 1""")
+def _(spark, d):
+    return _rounded(E.error_summary(X.grid_errors(_notes(spark, d), _beats(spark, d))))
+
+
+RHYTHM = "list_min([" + ", ".join(f"{{'f': abs(VALUE - {r!r}::double), 'i': {i}, 'v': {r!r}::double}}" for i, r in enumerate(E.RHYTHMS)) + "]).v"
+
+PHASE = "list_min([" + ", ".join(f"{{'f': abs(phase - {p!r}::double), 'i': {i}, 'v': {p!r}::double}}" for i, p in enumerate(X.PHASES)) + "]).v"
+
+
+@query("ev_duration", CHORDS + ASOF + f""", dn as (select n.session_id, n.midi_note, (n.end_s - n.start_s) / (sp.nx - sp.t) as length from notes n join sp on sp.session_id = n.session_id and n.start_s >= sp.t and n.start_s < sp.nx),
+dr as (select *, {RHYTHM.replace('VALUE', 'length')} as rhythm from dn where length between 0.05 and 8.5),
+dm as (select session_id, midi_note, rhythm, median(length) as m from dr group by all having count(*) >= 4),
+dk as (select session_id, median(abs(length - m)) as mad, count(*) as kept from dr join dm using (session_id, midi_note, rhythm) group by 1),
+dg as (select session_id, median(abs(length - rhythm)) as grid, count(*) as n from dr group by 1)
+select session_id, round(grid, 6) as duration_grid_mad, round(coalesce(mad, 0), 6) as duration_repeat_mad, round(coalesce(kept, 0) / n, 6) as duration_repeat_coverage from dg left join dk using (session_id)""")
+def _(spark, d):
+    return _rounded(E.duration_features(_notes(spark, d), _beats(spark, d)))
+
+
+@query("ev_repeat", CHORDS + ASOF + f""", tp as (select session_id, anchor, max(midi_note) as top from g group by 1, 2),
+ts as (select session_id, beat + phase - lag(beat + phase) over w as step, greatest(-24, least(24, top - lag(top) over w)) as interval from ab join tp using (session_id, anchor) where matched >= 12 window w as (partition by session_id order by onset_s)),
+tr as (select *, {RHYTHM.replace('VALUE', 'step')} as rhythm from ts where step between 0.08 and 8.5),
+tm as (select session_id, interval, rhythm, median(step) as m from tr group by all having count(*) >= 5),
+tk as (select session_id, median(abs(step - m)) as mad, count(*) as kept from tr join tm using (session_id, interval, rhythm) group by 1),
+tn as (select session_id, count(*) as n from tr group by 1)
+select session_id, round(coalesce(mad, 0), 6) as transition_repeat_mad, round(coalesce(kept, 0) / n, 6) as transition_repeat_coverage from tn left join tk using (session_id)""")
+def _(spark, d):
+    return _rounded(E.transitions(_notes(spark, d), _beats(spark, d)))
+
+
+@query("ev_grid", CHORDS + ASOF + f""", r0 as (select session_id, onset_s, phase - {PHASE} as raw from ab where matched >= 8),
+e0 as (select *, raw - (quantile_cont(raw, 0.5) over (partition by session_id)) as e from r0),
+l0 as (select *, e - case when count(e) over f >= 4 then quantile_cont(e, 0.5) over f else 0 end as l from e0 window f as (partition by session_id order by onset_s range between 5 preceding and 5 following)),
+p0 as (select *, lag(l) over (partition by session_id order by onset_s) as p from l0)
+select session_id, round(median(abs(l)), 6) as grid_error_mad_beats, round(quantile_cont(abs(l), 0.9), 6) as grid_error_p90_beats,
+  round(case when count(p) >= 4 and stddev_pop(l) filter (p is not null) >= 1e-9 and stddev_pop(p) >= 1e-9 then corr(p, l) else 0 end, 6) as grid_error_lag1,
+  round(coalesce(median(abs(l - p)), 0) / greatest(median(abs(l)), 1e-6), 6) as grid_error_allan_ratio from p0 group by 1""")
+def _(spark, d):
+    return _rounded(E.local_grid(_notes(spark, d), _beats(spark, d)))
+
+
+@query("valid_window")
+def _(spark, d):
+    return _rounded(K.valid_windows(_notes(spark, d)))
