@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strophe.functions import music as M
 from strophe.operators import beats as B
 from strophe.operators import evaluation as E
 from strophe.operators import grouping as G
@@ -402,3 +403,25 @@ def _(spark, d):
 @query("valid_window")
 def _(spark, d):
     return _rounded(K.valid_windows(_notes(spark, d)))
+
+
+@query("chord_segments")
+def _(spark, d):
+    c = H.chroma(_notes(spark, d))
+    return _rounded(H.chord_segments(c, H.key_segments(c)))
+
+
+@query("note_names", """ select session_id, event_id, ['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'][midi_note % 12 + 1] || (midi_note // 12 - 1) as note_name, round(440 * pow(2.0, (midi_note - 69) / 12.0::double), 6) as frequency,
+  printf('%02d:%02d', cast(floor(start_s) as int) // 60, cast(floor(start_s) as int) % 60) as clock, case when confidence * 100 >= 70 then 'Humanized timing' when confidence * 100 <= 45 then 'Mechanically stable' else 'Mixed timing evidence' end as label from notes""")
+def _(spark, d):
+    n = _notes(spark, d)
+    return _rounded(n.select("session_id", "event_id", M.note_name(F.col("midi_note")).alias("note_name"), M.frequency(F.col("midi_note")).alias("frequency"), M.clock(F.col("start_s")).alias("clock"), M.character(F.col("confidence") * 100).alias("label")))
+
+
+@query("roles_cadence", """ select vec_id, case when label in (0, 2, 5, 7) then 'TONIC' when label in (1, 3) then 'PREDOMINANT' when label in (4, 6) then 'DOMINANT' else 'CHROMATIC' end as role,
+  case when label = 4 and vec_id % 2 = 0 then 'AUTHENTIC CADENCE' when label = 3 and vec_id % 2 = 0 then 'PLAGAL CADENCE' when label in (1, 3) and vec_id % 2 = 1 then 'PREDOMINANT TO DOMINANT' else '' end as cadence from embeddings""")
+def _(spark, d):
+    e = V.read(spark, d, "embeddings")
+    f = F.element_at(F.array(*[F.lit(x) for x in ("I", "ii", "iii", "IV", "V7", "vi", "vii°", "i7", "+1", "")]), F.col("label") + 1)
+    last = F.when(F.col("vec_id") % 2 == 0, "I").otherwise("V")
+    return e.select("vec_id", H.role(f).alias("role"), M.cadence(F.array(F.lit("vi"), f, F.lit(""), last)).alias("cadence"))
