@@ -87,6 +87,18 @@ def last_k(tempo: DataFrame, k: int = 12) -> DataFrame:
     return tempo.withColumn("recent", F.row_number().over(w)).where(F.col("recent") <= k)
 
 
+def filtered(t: DataFrame, name: str, widest: int) -> DataFrame:
+    """t with ``name``, the median of the ``widest`` points around (fewer,
+    still odd, in a session of fewer); edge values repeat beyond the ends.
+    Needs ``n``, the session's points, and ``i``, the place from 0."""
+    reach = widest // 2
+    half = F.greatest(F.lit(0), F.floor(F.least(F.lit(widest), F.floor(F.col("n") / 2) * 2 - 1) / 2).cast("int"))
+    own = F.least(F.col("i"), F.lit(reach))
+    near = t.withColumn("near", F.collect_list("bpm").over(by_time().rowsBetween(-reach, reach)))
+    values = F.transform(F.sequence(-half, half), lambda d: F.element_at("near", F.greatest(F.lit(1), F.least(F.size("near"), own + d + 1)).cast("int")))
+    return near.withColumn(name, F.element_at(F.array_sort(values), half + 1)).drop("near")
+
+
 def score_features(tempo: DataFrame) -> DataFrame:
     """step_median, step_p90, stable_ratio, high_frequency and low_frequency
     of each session, relative to its average bpm."""
@@ -94,13 +106,7 @@ def score_features(tempo: DataFrame) -> DataFrame:
     average = F.greatest(F.avg("bpm").over(Window.partitionBy("session_id")), F.lit(1.0))
     step = F.abs(F.col("bpm") - F.lag("bpm").over(by_time()))
     t = tempo.withColumn("n", n).withColumn("average", average).withColumn("step", step).withColumn("i", F.row_number().over(by_time()) - 1)
-    # the median filter's window may pass the ends; edge values then repeat
-    half = F.least(F.lit(11), F.floor(F.col("n") / 2) * 2 - 1) / 2
-    near = F.collect_list("bpm").over(by_time().rowsBetween(-5, 5))
-    t = t.withColumn("half", F.floor(half).cast("int")).withColumn("near", near)
-    first = F.least(F.col("i"), F.lit(5))
-    index = F.transform(F.sequence(-F.col("half"), F.col("half")), lambda d: F.element_at("near", (F.greatest(F.lit(1), F.least(F.size("near"), first + d + 1))).cast("int")))
-    t = t.withColumn("baseline", F.when(F.col("n") >= 5, F.element_at(F.array_sort(index), F.col("half") + 1)))
+    t = filtered(t, "baseline", 11).withColumn("baseline", F.when(F.col("n") >= 5, F.col("baseline")))
     a = F.first("average")
     return t.groupBy("session_id").agg(
         F.coalesce(F.median("step") / a, F.lit(0.0)).alias("step_median"),

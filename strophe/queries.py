@@ -378,15 +378,81 @@ def _(spark, d):
     return _rounded(E.duration_features(_notes(spark, d), _beats(spark, d)))
 
 
-@query("ev_repeat", CHORDS + ASOF + f""", tp as (select session_id, anchor, max(midi_note) as top from g group by 1, 2),
-ts as (select session_id, beat + phase - lag(beat + phase) over w as step, greatest(-24, least(24, top - lag(top) over w)) as interval from ab join tp using (session_id, anchor) where matched >= 12 window w as (partition by session_id order by onset_s)),
-tr as (select *, {RHYTHM.replace('VALUE', 'step')} as rhythm from ts where step between 0.08 and 8.5),
-tm as (select session_id, interval, rhythm, median(step) as m from tr group by all having count(*) >= 5),
-tk as (select session_id, median(abs(step - m)) as mad, count(*) as kept from tr join tm using (session_id, interval, rhythm) group by 1),
-tn as (select session_id, count(*) as n from tr group by 1)
-select session_id, round(coalesce(mad, 0), 6) as transition_repeat_mad, round(coalesce(kept, 0) / n, 6) as transition_repeat_coverage from tn left join tk using (session_id)""")
-def _(spark, d):
-    return _rounded(E.transitions(_notes(spark, d), _beats(spark, d)))
+REPEAT = f""", tp as (select session_id, anchor, max(midi_note) as top, list_sort(list(distinct midi_note % 12)) as classes from g group by 1, 2),
+t0 as (select *, beat + phase as pos, {PHASE} as place from ab join tp using (session_id, anchor) where matched >= 12),
+t1 as (select *, phase - place as err, lead(pos) over w - pos as raw, greatest(-24, least(24, lead(top) over w - top)) as p1 from t0 window w as (partition by session_id order by onset_s)),
+t2 as (select *, case when raw between 0.08 and 8.5 then raw end as s1 from t1),
+t3 as (select *, case when s1 is not null then {RHYTHM.replace('VALUE', 's1')} end as r1 from t2),
+t4 as (select *, lead(s1) over w as s2, lead(s1, 2) over w as s3, lead(p1) over w as p2, lead(p1, 2) over w as p3, lead(r1) over w as r2, lead(r1, 2) over w as r3 from t3 window w as (partition by session_id order by onset_s)),
+tm as (select session_id, p1, r1, median(s1) as m from t4 where s1 is not null group by all having count(*) >= 5),
+tk as (select session_id, median(abs(s1 - m)) as mad, quantile_cont(abs(s1 - m), 0.75) as p75, count(*) as kept from t4 join tm using (session_id, p1, r1) where s1 is not null group by 1),
+hm as (select session_id, p1, p2, p3, r1, r2, r3, median(s1) as a, median(s2) as b, median(s3) as c from t4 where s1 is not null and s2 is not null and s3 is not null group by all having count(*) >= 3),
+hu as (select session_id, unnest([abs(s1 - a), abs(s2 - b), abs(s3 - c)]) as far from t4 join hm using (session_id, p1, p2, p3, r1, r2, r3) where s1 is not null and s2 is not null and s3 is not null),
+hk as (select session_id, median(far) as mad, count(*) / 3 as kept from hu group by 1),
+gm as (select session_id, classes, place, median(err) as m from t4 group by all having count(*) >= 4),
+gk as (select session_id, median(abs(err - m)) as mad, count(*) as kept from t4 join gm using (session_id, classes, place) group by 1),
+tn as (select session_id, count(*) as n from t4 group by 1)"""
+
+
+@query("ev_repeat", CHORDS + ASOF + REPEAT + """ select session_id, round(coalesce(tk.mad, 0), 6) as transition_repeat_mad, round(coalesce(p75, 0), 6) as transition_repeat_p75, round(coalesce(tk.kept, 0) / (n - 1), 6) as transition_repeat_coverage,
+  round(coalesce(hk.mad, 0), 6) as phrase_repeat_mad, round(coalesce(hk.kept, 0) / (n - 3), 6) as phrase_repeat_coverage, round(coalesce(gk.mad, 0), 6) as pitch_grid_repeat_mad, round(coalesce(gk.kept, 0) / n, 6) as pitch_grid_repeat_coverage
+from tn left join tk using (session_id) left join hk using (session_id) left join gk using (session_id)""")
+def _(spark, d):
+    return _rounded(E.repetition(_notes(spark, d), _beats(spark, d)))
+
+
+@query("ev_artic", CHORDS + ASOF + ARTICULATION + """, sq as (select *, lag(s) over (partition by session_id order by onset_s) as q, min(onset_s) over (partition by session_id) as t0, max(onset_s) over (partition by session_id) as t1 from (select session_id, anchor, onset_s, period, spread / period as s from ab where size >= 2)),
+sa as (select session_id, quantile_cont(s, 0.9) as p90, case when count(*) >= 2 then quantile_cont(s, 0.75) - quantile_cont(s, 0.25) else 0 end as iqr,
+  case when count(q) >= 4 and stddev_pop(s) filter (q is not null) >= 1e-9 and stddev_pop(q) >= 1e-9 then corr(q, s) else 0 end as lag1, count(*) as n from sq group by 1),
+w0 as (select session_id, k, median(s) as m from sq, range(0, 20) as r(k) where t0 + k * 10 < greatest(t0, t1 - 19.99) and onset_s >= t0 + k * 10 and onset_s < t0 + k * 10 + 20 group by 1, 2 having count(*) >= 6),
+w1 as (select session_id, case when count(*) >= 2 then quantile_cont(m, 0.75) - quantile_cont(m, 0.25) else 0 end as stage_iqr from w0 group by 1),
+s0 as (select sq.session_id, sq.anchor, any_value(s) as s, list(midi_note order by midi_note, start_s, g.event_id) as shape, count(*) as m, max(start_s) - min(start_s) as reach from sq join g on g.session_id = sq.session_id and g.anchor = sq.anchor group by 1, 2),
+s1 as (select session_id, shape, median(s) as m from s0 group by all having count(*) >= 4),
+s2 as (select session_id, median(abs(s0.s - s1.m)) as mad, count(*) as kept from s0 join s1 using (session_id, shape) group by 1),
+pt as (select session_id, count(*) as pairs from pr group by 1),
+pk as (select session_id, median(abs(o - m)) as mad, count(*) as kept from pr join pm using (session_id, lo, hi) group by 1),
+po as (select session_id, avg(top) as ord from (select session_id, lo, hi, greatest(avg(case when o < 0 then 1.0::double else 0 end), avg(case when o = 0 then 1.0::double else 0 end), avg(case when o > 0 then 1.0::double else 0 end)) as top from pr group by all having count(*) >= 4) group by 1),
+r0 as (select sq.session_id, sq.anchor, start_s, cast(row_number() over (partition by sq.session_id, sq.anchor order by midi_note, start_s, g.event_id) as double) as i from sq join g on g.session_id = sq.session_id and g.anchor = sq.anchor),
+r1 as (select session_id, median(c) as roll from (select session_id, anchor, case when count(*) >= 4 then abs(corr(i, start_s)) else 0 end as c from r0 group by 1, 2 having count(*) >= 3 and max(start_s) - min(start_s) > 1e-5) group by 1)
+select session_id, round(p90, 6) as chord_spread_p90, round(iqr, 6) as chord_spread_iqr, round(coalesce(pk.mad, 0), 6) as chord_pair_repeat_mad, round(coalesce(ord, 0.5), 6) as chord_pair_order_consistency, round(coalesce(pk.kept, 0) / greatest(1, pairs), 6) as chord_pair_repeat_coverage,
+  coalesce(pk.kept, 0)::double as chord_pair_evidence_count, round(coalesce(s2.mad, 0), 6) as chord_shape_repeat_mad, round(coalesce(s2.kept, 0) / n, 6) as chord_shape_repeat_coverage, round(lag1, 6) as chord_spread_lag1, round(coalesce(stage_iqr, 0), 6) as chord_spread_stage_iqr, round(coalesce(roll, 0), 6) as chord_roll_linearity
+from sa left join w1 using (session_id) left join s2 using (session_id) left join pt using (session_id) left join pk using (session_id) left join po using (session_id) left join r1 using (session_id)""")
+def _(spark, d):
+    return _rounded(E.attack_features(_notes(spark, d), _beats(spark, d)))
+
+
+@query("ev_grid_stages", CHORDS + ASOF + f""", r0 as (select session_id, onset_s, phase - {PHASE} as raw, min(onset_s) over (partition by session_id) as t0, max(onset_s) over (partition by session_id) as t1 from ab where matched >= 8),
+e0 as (select *, raw - (quantile_cont(raw, 0.5) over (partition by session_id)) as e from r0),
+wi as (select session_id, k, e from e0, range(0, 40) as r(k) where t0 + k * 5 < greatest(t0, t1 - 9.99) and onset_s >= t0 + k * 5 and onset_s < t0 + k * 5 + 10),
+wm as (select session_id, k, median(e) as m from wi group by 1, 2 having count(*) >= 8),
+wd as (select session_id, k, any_value(m) as m, median(abs(e - m)) as d from wi join wm using (session_id, k) group by 1, 2),
+ws as (select session_id, case when count(*) >= 2 then stddev_pop(m) else 0 end as low, case when count(*) >= 2 then quantile_cont(m, 0.75) - quantile_cont(m, 0.25) else 0 end as a, case when count(*) >= 2 then quantile_cont(d, 0.75) - quantile_cont(d, 0.25) else 0 end as b from wd group by 1)
+select session_id, round(coalesce(low, 0), 6) as grid_error_low_frequency, round(coalesce(a, 0), 6) as grid_stage_median_iqr, round(coalesce(b, 0), 6) as grid_stage_mad_iqr from (select distinct session_id from r0) left join ws using (session_id)""")
+def _(spark, d):
+    return _rounded(E.grid_stages(_notes(spark, d), _beats(spark, d)))
+
+
+@query("ev_tempo", """, s as (select *, row_number() over w - 1 as i, count(*) over (partition by session_id) as n, greatest(1, avg(bpm) over (partition by session_id)) as a from tempo window w as (partition by session_id order by time_s, event_id)),
+nb as (select x.session_id, x.i, median(y.bpm) filter (abs(g.k) <= 2 and abs(g.k) * 2 + 1 <= (x.n // 2) * 2 - 1) as short, median(y.bpm) as long
+  from s x join generate_series(-10, 10) as g(k) on x.n >= 8 and abs(g.k) * 2 + 1 <= (x.n // 2) * 2 - 1 join s y on y.session_id = x.session_id and y.i = greatest(0, least(x.n - 1, x.i + g.k)) group by 1, 2),
+t0 as (select s.*, short, long, (short - lag(short) over w) / a as move, coalesce(case when abs(long - lag(long) over w) > greatest(4, a * 0.04) then 1 end, 0) as cut from s join nb using (session_id, i) window w as (partition by session_id order by i)),
+t1 as (select *, sum(cut) over (partition by session_id order by i) as segment from t0),
+ba as (select session_id, any_value(a) as a, stddev_pop(short - long) / any_value(a) as motion, stddev_pop(bpm - short) / any_value(a) as noise from t1 group by 1),
+mv as (select session_id, sign(move) = sign(lag(move) over (partition by session_id order by i)) as same from t1 where abs(move) >= 0.001),
+ke as (select session_id, case when count(*) >= 3 then avg(case when same then 1.0::double when not same then 0.0::double end) end as keeps from mv group by 1),
+mi as (select session_id, median(d) as micro from (select session_id, segment, stddev_pop(bpm) as d from t1 group by 1, 2 having count(*) >= 8) group by 1),
+st as (select session_id, k, stddev_pop(bpm) / any_value(a) as d from t1 join range(0, 10000) as r(k) on k * 8 <= i and i < k * 8 + 15 and (k = 0 or k * 8 + 15 <= n) group by 1, 2),
+wa as (select session_id, case when count(*) >= 2 then quantile_cont(d, 0.75) - quantile_cont(d, 0.25) else 0 end as wander from st group by 1)
+select session_id, round(coalesce(motion, 0), 6) as tempo_smooth_motion, round(coalesce(noise, 0), 6) as tempo_noise, round(coalesce(motion / greatest(motion + noise, 1e-9), 0), 6) as tempo_motion_coherence,
+  round(coalesce(keeps, 0.5), 6) as tempo_direction_persistence, round(coalesce(micro / a, 0), 6) as tempo_segment_microvariation, round(coalesce(wander, 0), 6) as tempo_stage_variation
+from (select distinct session_id from tempo) left join ba using (session_id) left join ke using (session_id) left join mi using (session_id) left join wa using (session_id)""")
+def _(spark, d):
+    return _rounded(E.tempo_motion(_tempo(spark, d)))
+
+
+@query("feature_row")
+def _(spark, d):
+    return _rounded(E.feature_row(_notes(spark, d), _tempo(spark, d), _beats(spark, d)))
 
 
 @query("ev_grid", CHORDS + ASOF + f""", r0 as (select session_id, onset_s, phase - {PHASE} as raw from ab where matched >= 8),
