@@ -34,16 +34,36 @@ def rebase(notes: DataFrame, offset: float) -> DataFrame:
     return notes.where(F.col("end_s") > offset).withColumn("start_s", F.greatest(F.lit(0.0), F.col("start_s") - offset)).withColumn("end_s", F.col("end_s") - offset)
 
 
+def spans(notes: DataFrame) -> DataFrame:
+    """notes once for every second they touch, with that ``second``; joins of
+    times and notes then meet by session and second, in linear work."""
+    return notes.where("end_s >= start_s").withColumn("second", F.explode(F.sequence(F.floor("start_s"), F.floor("end_s"))))
+
+
 def active_at(notes: DataFrame, times: DataFrame) -> DataFrame:
     """For each time (session_id, time_s): the number of notes sounding, their
     lowest pitch, and the sorted pitch classes."""
-    left, right = times.alias("t"), notes.alias("n")
-    on = (F.col("t.session_id") == F.col("n.session_id")) & (F.col("n.start_s") <= F.col("t.time_s")) & (F.col("t.time_s") < F.col("n.end_s"))
+    left, right = times.withColumn("second", F.floor("time_s")).alias("t"), spans(notes).alias("n")
+    on = (F.col("t.session_id") == F.col("n.session_id")) & (F.col("t.second") == F.col("n.second")) & (F.col("n.start_s") <= F.col("t.time_s")) & (F.col("t.time_s") < F.col("n.end_s"))
     return left.join(right, on, "left").groupBy("t.session_id", "t.time_s").agg(
         F.count("n.event_id").alias("sounding"), F.min("n.midi_note").alias("lowest"), F.array_join(F.array_sort(F.collect_set(F.col("n.midi_note") % 12)), " ").alias("classes")
     )
 
 
+def segment_at(times: DataFrame, segments: DataFrame, value: str, unknown: str = "Unknown") -> DataFrame:
+    """times (session_id, time_s, ...) with ``value`` of the segment around;
+    else of the session's last segment, else ``unknown``.  Segments do not
+    overlap; both sides go through one window, so no pairs are made."""
+    cols = [c for c in times.columns if c not in ("session_id", "time_s")]
+    types = dict(times.dtypes)
+    s = segments.select("session_id", F.col("start_s").alias("time_s"), F.lit(0).alias("kind"), F.struct("start_s", "end_s", F.col(value).alias("v")).alias("seg"), *[F.lit(None).cast(types[c]).alias(c) for c in cols])
+    t = times.select("session_id", "time_s", F.lit(1).alias("kind"), F.lit(None).cast(s.schema["seg"].dataType).alias("seg"), *cols)
+    w = Window.partitionBy("session_id").orderBy("time_s", "kind")
+    x = s.unionByName(t).withColumn("near", F.last("seg", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("final", F.max("seg").over(Window.partitionBy("session_id"))).where("kind = 1")
+    inside = F.when(F.col("time_s") < F.col("near.end_s"), F.col("near.v"))
+    return x.select("session_id", "time_s", *cols, F.coalesce(inside, F.col("final.v"), F.lit(unknown)).alias(value))
+
+
 def _clipped(existing: list[dict], updated: list[dict], cutoff: float, duration: float) -> list[dict]:
     old = [s | {"end_s": min(s["end_s"], cutoff)} for s in existing if s["start_s"] < min(s["end_s"], cutoff)]
     new = [s | {"start_s": max(s["start_s"], cutoff)} for s in updated if s["end_s"] > max(s["start_s"], cutoff)]
@@ -95,3 +115,30 @@ def merge_keys(existing, updated, cutoff, duration):
 
 def merge_chords(existing, updated, cutoff, duration):
     return merge_segments(existing, updated, cutoff, duration, ("chord", "key"), {"chord": "N", "function": ""})
+
+
+def _merged(existing: DataFrame, updated: DataFrame, columns: tuple[str, ...], fold, cutoff: float) -> DataFrame:
+    import pandas as pd
+
+    kind = existing.schema["session_id"].dataType.simpleString()
+    names = ["start_s", "end_s", "confidence", *columns]
+
+    def run(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        both = [x[names].to_dict("records") for x in (old, new)]
+        end = max((s["end_s"] for s in both[0] + both[1]), default=0.0)
+        out = pd.DataFrame(fold(*both, cutoff, end), columns=names)
+        out.insert(0, "session_id", (old if len(old) else new)["session_id"].iloc[0])
+        return out
+
+    texts = ", ".join(f"{c} string" for c in columns)
+    return existing.groupBy("session_id").cogroup(updated.groupBy("session_id")).applyInPandas(run, f"session_id {kind}, start_s double, end_s double, confidence double, {texts}")
+
+
+def merged_keys(existing: DataFrame, updated: DataFrame, cutoff: float) -> DataFrame:
+    """``merge_keys`` for every session, up to its latest end."""
+    return _merged(existing, updated, ("key",), merge_keys, cutoff)
+
+
+def merged_chords(existing: DataFrame, updated: DataFrame, cutoff: float) -> DataFrame:
+    """``merge_chords`` for every session, up to its latest end."""
+    return _merged(existing, updated, ("chord", "key"), merge_chords, cutoff)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strophe.functions import music as M
 from strophe.operators import beats as B
+from strophe.operators import display as D
 from strophe.operators import evaluation as E
 from strophe.operators import grouping as G
 from strophe.operators import harmony as H
@@ -15,7 +16,10 @@ from strophe.operators import kernels as K
 from strophe.operators import signal as S
 from strophe.operators import tempo as T
 from strophe.operators import timing as X
+from strophe.operators import tracking as Y
 from strophe.plans import views as V
+from strophe.sources import settings as Settings
+from strophe.sources import synthetic
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -491,3 +495,131 @@ def _(spark, d):
     f = F.element_at(F.array(*[F.lit(x) for x in ("I", "ii", "iii", "IV", "V7", "vi", "vii°", "i7", "+1", "")]), F.col("label") + 1)
     last = F.when(F.col("vec_id") % 2 == 0, "I").otherwise("V")
     return e.select("vec_id", H.role(f).alias("role"), M.cadence(F.array(F.lit("vi"), f, F.lit(""), last)).alias("cadence"))
+
+
+@query("beat_strength", """, nr as (select b.session_id, b.time_s, count(*) as n, min(midi_note) as low, bool_or(abs(round_even(n.start_s * (22050 / 128.0::double), 0) - round_even(b.time_s * (22050 / 128.0::double), 0)) <= 2) as hit from beats b join notes n on n.session_id = b.session_id and abs(n.start_s - b.time_s) <= 0.11 group by 1, 2),
+bf as (select b.session_id, b.time_s, list(distinct midi_note % 12) as c from beats b join notes n on n.session_id = b.session_id and n.start_s <= b.time_s - 0.06 and b.time_s - 0.06 < n.end_s group by 1, 2),
+af as (select b.session_id, b.time_s, list(distinct midi_note % 12) as c from beats b join notes n on n.session_id = b.session_id and n.start_s <= b.time_s + 0.06 and b.time_s + 0.06 < n.end_s group by 1, 2),
+al as (select b.session_id, b.time_s, coalesce(n, 0) as n, low, coalesce(hit, false) as hit, coalesce(bf.c, []) as b, coalesce(af.c, []) as a from beats b left join nr using (session_id, time_s) left join bf using (session_id, time_s) left join af using (session_id, time_s)),
+un as (select *, len(list_distinct(list_concat(b, a))) as whole, len(list_filter(b, lambda x: list_contains(a, x))) as shared from al)
+select session_id, time_s, round(case when hit then 0.2::double else 0 end + 0.25::double * least(1, n / 4) + 0.25::double * coalesce(greatest(0, least(1, (72 - low) / 36)), 0) + 0.3::double * case when whole > 0 then 1 - shared / whole else 0 end, 6) as strength from un""")
+def _(spark, d):
+    return _rounded(B.beat_strength(_beats(spark, d), _notes(spark, d)))
+
+
+@query("segment_at", """, sg as (select session_id, event_id, start_s, lead(start_s) over (partition by session_id order by start_s) - 0.2 as end_s, midi_note from notes),
+s1 as (select session_id, start_s, coalesce(end_s, start_s + 1) as end_s, cast(midi_note as varchar) as value from sg),
+la as (select session_id, max_by(value, start_s) as final from s1 group by 1)
+select b.session_id, b.time_s, coalesce(s.value, la.final, 'Unknown') as value from beats b left join s1 s on s.session_id = b.session_id and s.start_s <= b.time_s and b.time_s < s.end_s left join la on la.session_id = b.session_id""")
+def _(spark, d):
+    n = _notes(spark, d)
+    end = F.coalesce(F.lead("start_s").over(Window.partitionBy("session_id").orderBy("start_s")) - 0.2, F.col("start_s") + 1)
+    return I.segment_at(_beats(spark, d), n.select("session_id", "start_s", end.alias("end_s"), F.col("midi_note").cast("string").alias("value")), "value")
+
+
+@query("key_merge")
+def _(spark, d):
+    n = _notes(spark, d)
+    return _rounded(I.merged_keys(H.key_segments(H.chroma(I.visible(n, 30.0))), H.key_segments(H.chroma(n)), 18.0))
+
+
+@query("chord_merge")
+def _(spark, d):
+    n = _notes(spark, d)
+    old, new = (H.chroma(x) for x in (I.visible(n, 30.0), n))
+    one = lambda c: H.chord_segments(c, H.key_segments(c))
+    return _rounded(I.merged_chords(one(old), one(new), 18.0).withColumn("function", H.function_of(F.col("chord"), F.col("key"))))
+
+
+@query("meter_hysteresis")
+def _(spark, d):
+    e = V.read(spark, d).select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.element_at(F.array(F.lit(3), F.lit(4), F.lit(6), F.lit(None).cast("int")), (F.floor(F.col("event_id") / 1_500) % 4 + 1).cast("int")).alias("meter"))
+    return B.settled_meters(e)
+
+
+@query("tempo_track")
+def _(spark, d):
+    return _rounded(Y.tempo_tracks(_notes(spark, d)))
+
+
+@query("beat_track")
+def _(spark, d):
+    return _rounded(Y.beat_tracks(_notes(spark, d)))
+
+
+@query("replay")
+def _(spark, d):
+    return _rounded(Y.replay(_notes(spark, d)))
+
+
+@query("replay_score")
+def _(spark, d):
+    return _rounded(E.replayed_rows(_notes(spark, d)))
+
+
+FLOW = """, ch as (select session_id, start_s, end_s, case when event_id % 5 = 0 then 'N' else ['C', 'F', 'G7', 'Am'][midi_note % 4 + 1] end as chord, 'C major' as key, ['I', 'IV', 'V7', 'vi'][midi_note % 4 + 1] as function from notes),
+c1 as (select *, chord = lag(chord) over (partition by session_id order by start_s, end_s, chord) as again from ch where chord <> 'N' and end_s >= 0 and start_s <= 40.05),
+c2 as (select *, row_number() over (partition by session_id order by start_s desc, end_s desc, chord desc) as r from c1 where again is not true),
+c3 as (select *, case function when 'I' then 'TONIC' when 'vi' then 'TONIC' when 'IV' then 'PREDOMINANT' else 'DOMINANT' end as role from c2 where r <= 8),
+c4 as (select *, role <> lag(role) over (partition by session_id order by r desc) as fresh from c3),
+c5 as (select session_id, string_agg(function || ' ' || chord, ' > ' order by r desc) as flow, string_agg(role, ' > ' order by r desc) filter (fresh is not false) as roles, max(function) filter (r = 1) as f1, max(function) filter (r = 2) as f2 from c4 group by 1)"""
+
+
+@query("harmony_flow", FLOW + """ select session_id, flow, roles, case when f1 = 'I' and f2 = 'V7' then 'AUTHENTIC CADENCE' when f1 = 'I' and f2 = 'IV' then 'PLAGAL CADENCE' when f1 = 'V7' and f2 = 'IV' then 'PREDOMINANT TO DOMINANT' else '' end as cadence from c5""")
+def _(spark, d):
+    pick = lambda *x: F.element_at(F.array(*[F.lit(v) for v in x]), F.col("midi_note") % 4 + 1)
+    chord = F.when(F.col("event_id") % 5 == 0, "N").otherwise(pick("C", "F", "G7", "Am"))
+    c = _notes(spark, d).select("session_id", "start_s", "end_s", chord.alias("chord"), F.lit("C major").alias("key"), pick("I", "IV", "V7", "vi").alias("function"))
+    return H.flow(c, 40.0)
+
+
+@query("view_pitch_range", """, g as (select session_id, count(*) as visible, min(midi_note) as a, max(midi_note) as b from notes where end_s >= 10 and start_s <= 40 group by 1)
+select session_id, visible, cast(greatest(24, a - 3) // 12 * 12 as int) as lowest, cast(least(120, greatest(greatest(24, a - 3) // 12 * 12 + 24, (least(108, b + 4) + 11) // 12 * 12)) as int) as highest from g""")
+def _(spark, d):
+    return D.pitch_range(_notes(spark, d), 10.0, 40.0)
+
+
+@query("view_tempo_range", """, g as (select session_id, min(bpm) - 4 as a, max(bpm) + 4 as b from tempo where time_s between 10 and 14 group by 1)
+select session_id, round(case when b - a < 12 then (a + b) / 2 - 6 else a end, 6) as low_bpm, round(case when b - a < 12 then (a + b) / 2 + 6 else b end, 6) as high_bpm from g""")
+def _(spark, d):
+    return _rounded(D.tempo_range(_tempo(spark, d), 10.0, 14.0))
+
+
+@query("level_runs", CHROMA + """, f as (select session_id, pitch_class as pitch, frame, 20 * log10(weight) as db from ch),
+r as (select *, frame - row_number() over (partition by session_id, pitch order by frame) as run from f where db > -20),
+g as (select session_id, pitch, min(frame) / 8 as start_s, (max(frame) + 1) / 8 as end_s, median(db) as db from r group by session_id, pitch, run)
+select session_id, pitch, start_s, end_s, round(greatest(0.05, least(1, (db + 46) / 34)), 6) as confidence from g where end_s - start_s >= 0.25""")
+def _(spark, d):
+    f = H.chroma(_notes(spark, d)).select("session_id", F.col("pitch_class").alias("pitch"), "frame", (20 * F.log10("weight")).alias("level_db"))
+    return _rounded(S.level_runs(f, 8.0, -20.0, 0.25))
+
+
+@query("probable_runs", CHROMA + """, f as (select session_id, pitch_class as pitch, frame, weight, weight >= 0.3 as act from ch),
+b as (select *, max(case when act then frame end) over (partition by session_id, pitch order by frame rows between unbounded preceding and 1 preceding) as before from f),
+r as (select *, sum(case when act and (before is null or frame - before > 2) then 1 else 0 end) over (partition by session_id, pitch order by frame) as run from b),
+s as (select *, max(case when act then frame end) over (partition by session_id, pitch, run) as stop from r where run > 0),
+g as (select session_id, pitch, min(frame) as first, any_value(stop) + 1 as stop, max(weight) as top, sum(weight) as total from s where frame <= stop group by session_id, pitch, run)
+select session_id, pitch, first, stop, round(total / (stop - first), 6) as confidence from g where stop - first > 4 and top >= 0.58""")
+def _(spark, d):
+    f = H.chroma(_notes(spark, d)).select("session_id", F.col("pitch_class").alias("pitch"), "frame", F.col("weight").alias("probability"))
+    return _rounded(S.probable_runs(f, tolerance=2, least=4))
+
+
+@query("synthetic_feed", """ with t as (select i // 500 as block, i / 2000::double as t from range(32000) as g(i)),
+s as (select block, t, 0.72 * exp(-55 * ((t * (108 + 3.8 * sin(2 * pi() * t / 18)) / 60) % 1)) * sin(2 * pi() * 1100 * t) as click, [261.63, 349.23, 392.00, 261.63][cast(floor(t / 4) as int) % 4 + 1]::double as root from t),
+x as (select block, t, click + 0.12 * (sin(2 * pi() * root * t) + sin(2 * pi() * 1.25 * root * t) + sin(2 * pi() * 1.5 * root * t)) as v from s)
+select block, min(t) as at_s, round(sqrt(avg(v * v)), 6) as rms, round(max(abs(v)), 6) as peak from x group by 1""")
+def _(spark, d):
+    x = synthetic.samples(spark, 16.0, rate=2000)
+    return _rounded(x.groupBy("block").agg(F.min("at_s").alias("at_s"), F.sqrt(F.avg(F.col("sample") * F.col("sample"))).alias("rms"), F.max(F.abs("sample")).alias("peak")))
+
+
+@query("spectrogram")
+def _(spark, d):
+    return _rounded(S.spectrograms(synthetic.blocks(synthetic.samples(spark, 4.0)), "block"))
+
+
+@query("settings", """ select event_id, 22050 as sample_rate, coalesce(try_cast(json_extract_string(props, '$.k') as double), -48) as signal_threshold_db, 'auto' as recording_mode from events""")
+def _(spark, d):
+    e = V.read(spark, d).select("event_id", Settings.parsed(F.replace(F.col("props"), F.lit('"k"'), F.lit('"signal_threshold_db"'))).alias("s"))
+    return e.select("event_id", "s.sample_rate", "s.signal_threshold_db", "s.recording_mode")

@@ -1,20 +1,25 @@
-"""Recording sessions from a stream of signal blocks.
-
-A device's blocks start a session after 0.6 s of signal and end it after 3 s
-of silence; sessions under 20 s are dropped.  State is one small row a device,
-so it does not grow with a session.  ``segment`` is the plain machine;
-``sessions`` runs it in a stream, keyed by device.
+"""Recording sessions from a stream of signal blocks and commands.
+
+In mode "auto" a device's blocks start a session after 0.6 s of signal and end
+it after 3 s of silence, and sessions under 20 s are dropped; mode "on" records
+until told otherwise, "off" not at all.  "pause" closes the session and ignores
+blocks captured in the next 3 s; then the device is in mode "auto".  State is
+one small row a device, so it does not grow with a session.  ``segment`` is the
+plain machine; ``sessions`` runs it in a stream, keyed by device.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import astuple, dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import astuple, dataclass, fields
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+MODES, LABELS = ("on", "off", "auto"), ("human", "non_human", "none")
+
 
 @dataclass
 class Limits:
@@ -23,66 +28,105 @@ class Limits:
     end_silence_s: float = 3.0
     least_s: float = 20.0
     pre_roll_s: float = 2.0
+    cooldown_s: float = 3.0
 
 
 @dataclass
 class Machine:
-    """Times of an open session, and runs of signal and silence so far."""
+    """Times of an open session, runs of signal and silence so far, and what
+    commands have set."""
 
     start_s: float = -1.0
     signal_s: float = 0.0
     silence_s: float = 0.0
     last_s: float = 0.0
     seen_s: float = -1.0
+    ring_s: float = 0.0
+    resume_s: float = 0.0
+    mode: str = "auto"
+    opened: str = "auto"
+    label: str = "none"
 
-    def take(self, at: float, length: float, level_db: float, limits: Limits) -> tuple[float, float] | None:
+    def take(self, at: float, length: float, level_db: float, limits: Limits) -> tuple | None:
         """Feed a block; the session that it closes, if any."""
         if at <= self.seen_s:
             return None
         self.seen_s = at
+        if self.mode == "off" or at < self.resume_s:
+            self.signal_s = self.ring_s = 0.0
+            return None
         signal = level_db >= limits.threshold_db
         self.signal_s = self.signal_s + length if signal else 0.0
         self.silence_s = 0.0 if signal else self.silence_s + length
         if self.start_s < 0:
-            if self.signal_s >= limits.trigger_s - 1e-9:
-                self.start_s = max(0.0, at + length - self.signal_s - limits.pre_roll_s)
-                self.last_s = at + length
+            self.ring_s = min(limits.pre_roll_s, self.ring_s + length)
+            if self.mode == "on" or self.signal_s >= limits.trigger_s - 1e-9:
+                self.start_s, self.opened = max(0.0, at + length - self.ring_s), self.mode
+                self.last_s, self.silence_s, self.ring_s = at + length, 0.0, 0.0
             return None
         if signal:
             self.last_s = at + length
-        return self.close(limits) if self.silence_s >= limits.end_silence_s - 1e-9 else None
-
-    def close(self, limits: Limits) -> tuple[float, float] | None:
+        return self.close(limits) if self.mode == "auto" and self.silence_s >= limits.end_silence_s - 1e-9 else None
+
+    def command(self, at: float, what: str, limits: Limits) -> tuple | None:
+        """A mode, a label or "pause"; anything else that names a mode means
+        "auto".  A mode ends a cooldown; a label counts from the next close."""
+        if what in LABELS or what.startswith("label:"):
+            name = what.removeprefix("label:")
+            self.label = name if name in LABELS else "none"
+            return None
+        if what == "pause":
+            self.mode, self.resume_s = "auto", at + limits.cooldown_s
+        else:
+            self.mode, self.resume_s = what if what in MODES else "auto", 0.0
+        return self.close(limits) if what in ("pause", "off") else None
+
+    def close(self, limits: Limits) -> tuple | None:
+        """End an open session at its last signal; short automatic ones are
+        dropped.  A closed session's label goes with it."""
+        done = (self.start_s, self.last_s, self.opened, self.label)
+        self.signal_s, self.silence_s, self.ring_s = 0.0, 0.0, 0.0
         if self.start_s < 0:
             return None
-        done = (self.start_s, self.last_s)
-        self.start_s, self.signal_s, self.silence_s = -1.0, 0.0, 0.0
-        return done if done[1] - done[0] >= limits.least_s else None
+        self.start_s, self.label = -1.0, "none"
+        return done if done[2] != "auto" or done[1] - done[0] >= limits.least_s else None
+
+
+def _feed(machine: Machine, rows: Iterable[tuple], limits: Limits) -> list[tuple]:
+    out = []
+    for at, length, level, what in rows:
+        out.append(machine.command(at, what, limits) if isinstance(what, str) else machine.take(at, length, level, limits))
+    return [x for x in out if x]
 
 
-def segment(blocks: list[tuple[float, float, float]], limits: Limits | None = None) -> list[tuple[float, float]]:
-    """Sessions of (time, length, level) blocks; what is open at the end closes."""
+def segment(blocks: list[tuple], limits: Limits | None = None) -> list[tuple[float, float]]:
+    """(start, end) of the sessions of (time, length, level) blocks and (time,
+    None, None, command) rows; what is open at the end closes."""
     limits, machine = limits or Limits(), Machine()
-    out = [machine.take(*b, limits) for b in sorted(blocks)]
-    return [x for x in [*out, machine.close(limits)] if x]
+    rows = sorted(((*b, None)[:4] for b in blocks), key=lambda r: (r[0], r[3] is None))
+    done = [*_feed(machine, rows, limits), machine.close(limits)]
+    return [x[:2] for x in done if x]
 
 
-STATE = "start_s double, signal_s double, silence_s double, last_s double, seen_s double"
+STATE = ", ".join(f"{f.name} {'double' if f.type == 'float' else 'string'}" for f in fields(Machine))
 
 
 def sessions(blocks: DataFrame, limits: Limits | None = None) -> DataFrame:
-    """device, start_s, end_s of closed sessions from a stream of (device,
-    at_s, length_s, level_db); blocks out of order inside of a batch are sorted,
-    later ones are dropped as late."""
+    """device, start_s, end_s, mode, label of closed sessions from a stream of
+    (device, at_s, length_s, level_db) and, if there is such a column, rows
+    with a ``command``; rows out of order inside of a batch are sorted, later
+    blocks are dropped as late."""
     limits = limits or Limits()
+    what = F.col("command") if "command" in blocks.columns else F.lit(None)
+    rows = blocks.select("device", "at_s", "length_s", "level_db", what.cast("string").alias("command")).where("device is not null and at_s is not null")
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         machine = Machine(*state.get) if state.exists else Machine()
-        rows = pd.concat(list(frames)).sort_values("at_s")
-        done = [machine.take(a, n, v, limits) for a, n, v in zip(rows["at_s"], rows["length_s"], rows["level_db"], strict=True)]
+        pdf = pd.concat(list(frames))
+        pdf = pdf.assign(is_block=pdf["command"].isna()).sort_values(["at_s", "is_block"], kind="stable")
+        done = _feed(machine, pdf[["at_s", "length_s", "level_db", "command"]].itertuples(index=False), limits)
         state.update(astuple(machine))
-        done = [x for x in done if x]
-        yield pd.DataFrame({"device": [key[0]] * len(done), "start_s": [x[0] for x in done], "end_s": [x[1] for x in done]})
+        yield pd.DataFrame([(key[0], *x) for x in done], columns=["device", "start_s", "end_s", "mode", "label"])
 
     kind = blocks.schema["device"].dataType.simpleString()
-    return blocks.groupBy("device").applyInPandasWithState(run, f"device {kind}, start_s double, end_s double", STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("device").applyInPandasWithState(run, f"device {kind}, start_s double, end_s double, mode string, label string", STATE, "append", GroupStateTimeout.NoTimeout)
