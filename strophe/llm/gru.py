@@ -18,9 +18,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
+def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log softmax of each row of z, at one place of it."""
     z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z[np.arange(len(z)), at] - np.log(np.exp(z).sum(axis=1))
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    e /= e.sum(axis=1, keepdims=True)
+    return e
 
 
 class Gru:
@@ -52,15 +59,18 @@ class Gru:
     def log_prob(self, s: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of targets after states s."""
         c, w = target // self.per_class, target % self.per_class
-        out = _log_softmax(s @ self.wc + self.bc)[np.arange(len(s)), c]
-        order = np.argsort(c, kind="stable")
-        cuts = np.flatnonzero(np.diff(c[order])) + 1
-        for rows in np.split(order, cuts):
-            if len(rows):
-                k = c[rows[0]]
-                out[rows] += _log_softmax(s[rows] @ self.ww[k] + self.bw[k])[np.arange(len(rows)), w[rows]]
+        out = _log_softmax_at(s @ self.wc + self.bc, c)
+        for k, rows in self._by_class(c):
+            out[rows] += _log_softmax_at(s[rows] @ self.ww[k] + self.bw[k], w[rows])
         return out
 
+    def _by_class(self, c: np.ndarray):
+        """The classes that occur, and the rows of each."""
+        order = np.argsort(c.astype(np.uint16), kind="stable")
+        stop = np.cumsum(np.bincount(c, minlength=self.classes))
+        for k in np.flatnonzero(np.diff(stop, prepend=0)):
+            yield k, order[stop[k - 1] if k else 0 : stop[k]]
+
     def score(self, texts: list[np.ndarray], window: int = 64, group: int = 1024) -> np.ndarray:
         """Natural log probability of whole texts (token numbers)."""
         total = np.zeros(len(texts))
@@ -89,32 +99,37 @@ class Gru:
                 total[own[:live]] += np.bincount(np.concatenate(rows), lp, live)
         return total
 
-    def fit(self, texts: list[np.ndarray], streams: int = 32, window: int = 32, epochs: int = 2, rate: float = 0.01) -> None:
-        """Adam over windows of ``streams`` parallel runs of texts."""
+    def fit(self, texts: list[np.ndarray], streams: int = 32, window: int = 32, epochs: int = 2, rate: float = 0.01, adam: dict | None = None) -> None:
+        """Adam over windows of ``streams`` parallel runs of texts; ``adam``
+        keeps its moments from one call to the next."""
         if not texts:
             return
         flat = np.concatenate(texts)
         opens = np.zeros(len(flat), bool)
         opens[np.cumsum([0, *(len(t) for t in texts[:-1])])] = True
         streams = max(1, min(streams, len(flat) // window))
-        n = len(flat) // streams
-        flat, opens = flat[: n * streams].reshape(streams, n), opens[: n * streams].reshape(streams, n)
-        first, second = [np.zeros_like(p) for p in self.params()], [np.zeros_like(p) for p in self.params()]
-        count = 0
+        # the last run is filled up with unlearned places
+        n = -(-len(flat) // streams)
+        real = np.arange(n * streams).reshape(streams, n) < len(flat)
+        flat, opens = np.resize(flat, n * streams).reshape(streams, n), np.resize(opens, n * streams).reshape(streams, n)
+        adam = {} if adam is None else adam
+        if not adam:
+            adam.update(first=[np.zeros_like(p) for p in self.params()], second=[np.zeros_like(p) for p in self.params()], count=0)
         for _ in range(epochs):
             h = np.zeros((streams, self.hidden), np.float32)
             for t in range(0, n, window):
                 width = min(window, n - t)
-                grads, h = self._window(h, flat[:, max(0, t - 1) : t + width], opens[:, t : t + width], t > 0)
-                count += 1
+                grads, h = self._window(h, flat[:, max(0, t - 1) : t + width], opens[:, t : t + width], t > 0, real[:, t : t + width])
+                adam["count"] += 1
+                count = adam["count"]
                 norm = float(np.sqrt(sum((g * g).sum() for g in grads)))
-                for p, m, v, g in zip(self.params(), first, second, grads, strict=True):
-                    g = g * min(1.0, 5 / (norm + 1e-9))
+                for p, m, v, g in zip(self.params(), adam["first"], adam["second"], grads, strict=True):
+                    g *= min(1.0, 5 / (norm + 1e-9))
                     m += 0.1 * (g - m)
                     v += 0.01 * (g * g - v)
                     p -= rate * (m / (1 - 0.9**count)) / (np.sqrt(v / (1 - 0.99**count)) + 1e-8)
 
-    def _window(self, h, ids, opens, carried):
+    def _window(self, h, ids, opens, carried, real=None):
         k = self.hidden
         width, streams = opens.shape[1], len(h)
         target = ids[:, 1:] if carried else ids
@@ -128,23 +143,24 @@ class Gru:
             states.append(h)
             inputs.append(now)
         s, y = np.concatenate(states), target.T.ravel()
-        scale = np.float32(1 / len(s))
+        learned = np.ones(len(s), bool) if real is None else real.T.ravel()
+        scale = (learned / np.float32(max(1, learned.sum()))).astype(np.float32)[:, None]
         c, w = y // self.per_class, y % self.per_class
-        pc = np.exp(_log_softmax(s @ self.wc + self.bc))
+        pc = _softmax(s @ self.wc + self.bc)
         pc[np.arange(len(s)), c] -= 1
         pc *= scale
         gs = pc @ self.wc.T
         gww, gbw = np.zeros_like(self.ww), np.zeros_like(self.bw)
-        order = np.argsort(c, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(c[order])) + 1):
-            q = c[rows[0]]
-            pw = np.exp(_log_softmax(s[rows] @ self.ww[q] + self.bw[q]))
+        for q, rows in self._by_class(c):
+            own = s[rows]
+            pw = _softmax(own @ self.ww[q] + self.bw[q])
             pw[np.arange(len(rows)), w[rows]] -= 1
-            pw *= scale
+            pw *= scale[rows]
             gs[rows] += pw @ self.ww[q].T
-            gww[q], gbw[q] = s[rows].T @ pw, pw.sum(axis=0)
+            gww[q], gbw[q] = own.T @ pw, pw.sum(axis=0)
         gx, gu, gb = np.zeros_like(self.x), np.zeros_like(self.u), np.zeros_like(self.b)
         back = np.zeros((streams, k), np.float32)
+        gins = [None] * width
         for j in range(width - 1, -1, -1):
             before, z, r, n, hu = kept[j]
             g = gs[j * streams : (j + 1) * streams] + back
@@ -155,6 +171,11 @@ class Gru:
             ghu = np.concatenate([gz, gr, gn * r], axis=1)
             gu += before.T @ ghu
             gb += gin.sum(axis=0)
-            np.add.at(gx, inputs[j], gin)
+            gins[j] = gin
             back = np.where(opens[:, j : j + 1], 0, g * z + ghu @ self.u.T).astype(np.float32)
+        seen = np.concatenate(inputs)
+        order = np.argsort(seen.astype(np.uint16 if len(gx) <= 65536 else np.int64), kind="stable")
+        seen = seen[order]
+        first = np.flatnonzero(np.diff(seen, prepend=-1))
+        gx[seen[first]] = np.add.reduceat(np.concatenate(gins)[order], first, axis=0)
         return [gx, gu, gb, s.T @ pc, pc.sum(axis=0), gww, gbw], h

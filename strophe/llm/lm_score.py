@@ -2,9 +2,13 @@
 
 Two models learn from the training texts.  The base is a smoothed unigram model
 over exact counts of all their tokens; the other is a gated recurrent network
-(``gru``) over the most frequent words, trained on a bounded sample, in which a
-further word is an unknown word spelled by a byte bigram model; so it gives a
-proper probability to every text.
+(``gru``) over the most frequent words, in which a further word is an unknown
+word: one of the ``most_words`` most frequent, by its exact share of the unknown
+words, if it occurs twice, else spelled by a byte bigram model; so it gives a
+proper probability to every text.  Network and spelling learn from all training
+texts: from a start on a sample, tasks train copies on the texts they read, and
+the copies are averaged by their tokens, once for each of ``rounds`` shares of
+the texts.  So ``score`` depends a little on how the rows are dealt to tasks.
 
 Counts are packed arrays by bucket of the token's 64-bit hash, merged by a
 shuffle, and never collected; only the ``most_words`` most frequent counts are
@@ -19,6 +23,7 @@ training rows; repeated rows are each answered; other columns are not read.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +39,8 @@ END = np.uint64(0x0E4D0F7E875AFE77)  # stands for the end token
 FLUSH = 2_000_000
 SCAN = 8 << 20
 SPELL = 1 << 20
+LEARN = 1 << 20
+PIECE = 1 << 14
 
 
 def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -133,6 +140,13 @@ class Tables:
         self.vocab = np.sort(keys[top])
         self.number = np.argsort(keys[top]) + 2  # by rank; 0 is the end, 1 unknown
         self.spell = np.full((256, 256), -np.log10(256.0))
+        # an unknown word is a listed one or spelled; the latter get the share of those not listed
+        unknown = n - int(counts[top].sum()) - int(counts[keys == END].sum())
+        self.listed = counts >= 2
+        self.listed[top] = self.listed[keys == END] = False
+        spelled = unknown - int(counts[self.listed].sum()) + 1
+        self.log_spelled = float(np.log10(spelled / (unknown + 1)))
+        self.log_listed = np.log10(counts / (unknown + 1))
 
     @staticmethod
     def find(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,36 +185,76 @@ def _pairs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tu
         i = j
 
 
-def _sample(texts: DataFrame, text_col: str, shared, share: float, most: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Token numbers of a hashed share of the texts (at most ``most``), and
-    byte pair counts of their unknown words."""
+def _sample(texts: DataFrame, text_col: str, shared, share: float, most: int) -> list[np.ndarray]:
+    """Token numbers of a hashed share of the texts (at most ``most``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = np.zeros(65536, np.int64)
         for batch in batches:
             buf, offsets = bytes_of(batch.column(0))
             out = []
             for i, j in blocks(offsets):
-                own = buf[offsets[i] : offsets[j]]
-                h, begin, starts, ends, place = tokens(own, offsets[i : j + 1] - offsets[i])
+                h, begin, *_ = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 ids = shared.value.ids(h)
                 out.extend(ids[a:b].astype(np.int32).tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True))
-                unknown = np.flatnonzero(ids[place] == 1)
-                for _, _, code, _, _ in _pairs(own, starts[unknown], ends[unknown]):
-                    pair += np.bincount(code, minlength=65536)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], names=["ids", "pairs"])
-        some = np.flatnonzero(pair)
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.array([np.stack([some, pair[some]]).tobytes()], pa.binary())], names=["ids", "pairs"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
     unit = F.pmod(F.xxhash64(F.lit(3), F.col(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    got = texts.select(text_col).where(unit < share).limit(most).mapInArrow(run, "ids binary, pairs binary").collect()
-    pairs = np.zeros(65536, np.int64)
-    for r in got:
-        if r["pairs"] is not None:
-            k, n = np.frombuffer(r["pairs"], np.int64).reshape(2, -1)
-            pairs[k] += n
-    return [np.frombuffer(x, np.int32).astype(np.int64) for x in sorted(r["ids"] for r in got if r["ids"] is not None)], pairs
+    got = texts.select(text_col).where(unit < share).limit(most).mapInArrow(run, "ids binary").collect()
+    return [np.frombuffer(x, np.int32).astype(np.int64) for x in sorted(r["ids"] for r in got)]
+
+
+def _learn(texts: DataFrame, text_col: str, shared) -> tuple[np.ndarray, np.ndarray]:
+    """Parameters of the network, one after the other, after training on the
+    texts, and byte pair counts of the words that are spelled.  Tasks' results
+    are summed up piece by piece, so the driver gets one of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = shared.value
+        net, adam, held, n_held, total = copy.deepcopy(t.net), {}, [], 0, 0
+        pair = np.zeros(65536, np.int64)
+
+        def fit():
+            net.fit(held, streams=int(np.clip(n_held // 2048, 32, 256)), epochs=1, rate=0.003, adam=adam)
+            held.clear()
+
+        for batch in batches:
+            buf, offsets = bytes_of(batch.column(0))
+            for i, j in blocks(offsets):
+                own = buf[offsets[i] : offsets[j]]
+                h, begin, starts, ends, place = tokens(own, offsets[i : j + 1] - offsets[i])
+                ids = t.ids(h)
+                spelled = np.flatnonzero(ids[place] == 1)
+                at, hit = t.find(t.keys, h[place[spelled]])
+                if len(t.keys):
+                    spelled = spelled[~(hit & t.listed[at])]
+                for _, _, code, _, _ in _pairs(own, starts[spelled], ends[spelled]):
+                    pair += np.bincount(code, minlength=65536)
+                held.extend(ids[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True))
+                n_held += len(ids)
+                total += len(ids)
+                if n_held > LEARN:
+                    fit()
+                    n_held = 0
+        fit()
+        if total:
+            flat = np.concatenate([p.ravel() for p in net.params()]).astype(np.float64) * total
+            sums = [pair.astype(np.float64), *(flat[k : k + PIECE] for k in range(0, len(flat), PIECE))]
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array([task] * len(sums), pa.int32()), pa.array([float(total)] * len(sums)), pa.array([x.tobytes() for x in sums], pa.binary())], names=["piece", "task", "weight", "sums"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        table = table.sort_by("task")  # sums of floats in one order
+        total = None
+        for x in table.column("sums"):
+            x = np.frombuffer(x.as_py())
+            total = x if total is None else total + x
+        return pa.table({"piece": table.column("piece").slice(0, 1), "task": table.column("task").slice(0, 1), "weight": pa.array([sum(table.column("weight").to_pylist())]), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    shape = "piece int, task int, weight double, sums binary"
+    got = sorted(texts.select(text_col).mapInArrow(run, shape).groupBy("piece").applyInArrow(merge, shape).collect(), key=lambda r: r["piece"])
+    if not got:
+        return np.zeros(0), np.zeros(65536)
+    return np.concatenate([np.frombuffer(r["sums"]) / r["weight"] for r in got[1:]]), np.frombuffer(got[0]["sums"])
 
 
 def _score(docs: DataFrame, text_col: str, id_col: str, shared, n_buckets: int) -> DataFrame:
@@ -227,8 +281,11 @@ def _score(docs: DataFrame, text_col: str, id_col: str, shared, n_buckets: int)
                 known = np.bincount(doc, hit, j - i).astype(np.int64)
                 ids = t.ids(h)
                 total = t.net.score([ids[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]) / np.log(10)
-                unknown = np.flatnonzero(ids[place] == 1)
+                listed = hit & t.listed[at] if len(t.keys) else hit
+                total += np.bincount(doc[listed], t.log_listed[at[listed]] if len(t.keys) else None, j - i)
+                unknown = np.flatnonzero((ids[place] == 1) & ~listed[place])
                 whose = doc[place[unknown]]
+                total += t.log_spelled * np.bincount(whose, minlength=j - i)
                 for a, b, code, first, _ in _pairs(own, starts[unknown], ends[unknown]):
                     total += np.bincount(whose[a:b], np.add.reduceat(flat[code], first), j - i)
                 rows = j - i
@@ -298,6 +355,7 @@ def score(
     classes: int = 64,
     per_class: int = 32,
     train_texts: int = 600,
+    rounds: int = 2,
 ) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score of
     all texts; the models learn from those where ``held_out`` is not true."""
@@ -320,8 +378,15 @@ def score(
     tables = Tables(keys, often, n, v, classes, per_class)
     n_train = int(often[keys == END].sum()) if (keys == END).any() else 0
     if n_train:
-        texts, pairs = _sample(train, text_col, sc.broadcast(tables), train_texts / n_train, 2 * train_texts)
-        tables.net.fit(texts)
+        tables.net.fit(_sample(train, text_col, sc.broadcast(tables), train_texts / n_train, 2 * train_texts))
+        pairs = np.zeros(65536)
+        for r in range(rounds):
+            part = train.where(F.pmod(F.xxhash64(F.lit(5), F.col(text_col)), F.lit(rounds)) == r)
+            flat, own = _learn(part, text_col, sc.broadcast(tables))
+            pairs += own
+            for p in tables.net.params() if len(flat) else []:
+                p[...] = flat[: p.size].reshape(p.shape)
+                flat = flat[p.size :]
         p = pairs.reshape(256, 256) + 0.05
         tables.spell = np.log10(p / p.sum(axis=1, keepdims=True))
     scored = checkpoint(_score(docs, text_col, id_col, sc.broadcast(tables), n_buckets))

@@ -236,3 +236,30 @@ def test_pipeline(spark):
         assert i == len(p.STAGES) - 1 or out.columns == docs.columns
         assert 0 < out.count() <= docs.count()
         docs = out
+
+
+def test_lm_score_learns_from_all_texts(spark):
+    words = [a + b for a in "bdfgklmnpr" for b in "aeiou"]
+    train = [f"the {w} the {v} q{w}x{v}" for w in words for v in words[:8]]
+    held = {1000: "the ra the bi", 1001: "the ar the ib"}  # words that occur in some texts, and none that do
+    docs = spark.createDataFrame([*enumerate(train), *held.items()], "doc_id long, text string").repartition(3)
+    args = dict(classes=2, per_class=2, train_texts=1)
+    rows = {r["doc_id"]: r["score"] for r in lm_score.score(docs, F.col("doc_id") >= 1000, **args).collect()}
+    assert rows[1000] > rows[1001] + 1 and all(x < 0 for x in rows.values())
+
+
+def test_lm_spelling_counts_all_training_texts(spark):
+    texts = [f"common common word{i}" for i in range(300)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    keys, counts = lm_score._frequent(lm_score.count_tokens(docs, "text", 4), 1)
+    t = lm_score.Tables(keys, counts, int(counts.sum()), len(keys), 1, 3)  # one word in the vocabulary
+    flat, pairs = lm_score._learn(docs, "text", spark.sparkContext.broadcast(t))
+    want = collections.Counter(p for i in range(300) for p in itertools.pairwise(f" word{i} ".encode()))
+    assert {divmod(k, 256): pairs[k] for k in np.flatnonzero(pairs).tolist()} == want
+    assert len(flat) == sum(p.size for p in t.net.params()) and np.isfinite(flat).all()
+
+
+def test_lm_unknown_words_share_at_most_one():
+    for counts in ([], [1, 1], [9, 5, 4, 3, 2, 2, 1, 1]):
+        t = lm_score.Tables(np.arange(1, len(counts) + 1, dtype=np.uint64), np.array(counts, np.int64), sum(counts) + 3, len(counts) + 1, 2, 2)
+        assert (10 ** t.log_listed[t.listed]).sum() + 10**t.log_spelled <= 1 + 1e-9
