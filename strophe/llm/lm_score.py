@@ -128,10 +128,23 @@ def _frequent(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
     return k[order], c[order]
 
 
+def _count_of(counts: DataFrame, token: np.uint64, n_buckets: int) -> int:
+    """The count of one token, from all counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(c, np.int64)[np.frombuffer(k, np.uint64) == token]
+                yield pa.RecordBatch.from_arrays([pa.array(own)], names=["n"])
+
+    bucket = int(_bucket(np.array([token]), n_buckets)[0])
+    return sum(r["n"] for r in counts.where(F.col("bucket") == bucket).select("keys", "counts").mapInArrow(run, "n long").collect())
+
+
 class Tables:
     """What scoring broadcasts: frequent counts, vocabulary, network, spelling."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, n: int, v: int, classes: int, per_class: int):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, n: int, v: int, n_texts: int, classes: int, per_class: int):
         self.keys, self.log = keys, np.log10(counts + 0.1)
         self.floor = float(np.log10(n + 0.1 * (v + 1)))
         self.net = Gru(classes, per_class)
@@ -141,7 +154,7 @@ class Tables:
         self.number = np.argsort(keys[top]) + 2  # by rank; 0 is the end, 1 unknown
         self.spell = np.full((256, 256), -np.log10(256.0))
         # an unknown word is a listed one or spelled; the latter get the share of those not listed
-        unknown = n - int(counts[top].sum()) - int(counts[keys == END].sum())
+        unknown = n - int(counts[top].sum()) - n_texts
         self.listed = counts >= 2
         self.listed[top] = self.listed[keys == END] = False
         spelled = unknown - int(counts[self.listed].sum()) + 1
@@ -375,8 +388,8 @@ def score(
             break
         room -= spectrum[c]
     keys, often = _frequent(counts, least)
-    tables = Tables(keys, often, n, v, classes, per_class)
-    n_train = int(often[keys == END].sum()) if (keys == END).any() else 0
+    n_train = _count_of(counts, END, n_buckets)  # it may not be among the frequent
+    tables = Tables(keys, often, n, v, n_train, classes, per_class)
     if n_train:
         tables.net.fit(_sample(train, text_col, sc.broadcast(tables), train_texts / n_train, 2 * train_texts))
         pairs = np.zeros(65536)

@@ -252,7 +252,7 @@ def test_lm_spelling_counts_all_training_texts(spark):
     texts = [f"common common word{i}" for i in range(300)]
     docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
     keys, counts = lm_score._frequent(lm_score.count_tokens(docs, "text", 4), 1)
-    t = lm_score.Tables(keys, counts, int(counts.sum()), len(keys), 1, 3)  # one word in the vocabulary
+    t = lm_score.Tables(keys, counts, int(counts.sum()), len(keys), 300, 1, 3)  # one word in the vocabulary
     flat, pairs = lm_score._learn(docs, "text", spark.sparkContext.broadcast(t))
     want = collections.Counter(p for i in range(300) for p in itertools.pairwise(f" word{i} ".encode()))
     assert {divmod(k, 256): pairs[k] for k in np.flatnonzero(pairs).tolist()} == want
@@ -261,5 +261,13 @@ def test_lm_spelling_counts_all_training_texts(spark):
 
 def test_lm_unknown_words_share_at_most_one():
     for counts in ([], [1, 1], [9, 5, 4, 3, 2, 2, 1, 1]):
-        t = lm_score.Tables(np.arange(1, len(counts) + 1, dtype=np.uint64), np.array(counts, np.int64), sum(counts) + 3, len(counts) + 1, 2, 2)
+        t = lm_score.Tables(np.arange(1, len(counts) + 1, dtype=np.uint64), np.array(counts, np.int64), sum(counts) + 3, len(counts) + 1, 3, 2, 2)
         assert (10 ** t.log_listed[t.listed]).sum() + 10**t.log_spelled <= 1 + 1e-9
+
+
+def test_lm_trains_where_the_end_is_rare(spark):
+    text = "aab aab aab bba bba " + " ".join(f"ab{i}" for i in range(40))
+    docs = spark.createDataFrame([(0, text), (1, "ab1")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in lm_score.score(docs, F.col("doc_id") == 1, most_words=2, classes=2, per_class=2).collect()}
+    # 'ab1' has four byte pairs, of log10(1/256) each without spelling
+    assert rows[0]["train_tokens"] == 46 and rows[1]["score"] > -6
