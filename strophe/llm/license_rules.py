@@ -3,7 +3,9 @@
 Each line has: label, priority, keyword, regular expression.  They match texts
 normalised to lower-case words joined by single spaces (punctuation is gone,
 so "2.0" is "2 0"); expressions begin and end at word borders.  A rule is tried
-only on texts that contain its keyword.  Priorities: 9 identifiers, 7 full
+only on texts that contain its keyword, which every match contains; only the
+sentence of the Apache license, which other licenses have too, has a keyword
+from outside of it.  Priorities: 9 identifiers, 7 full
 names with version, 5 names, 3 sentences of the license text, 1 hints.
 """
 
@@ -22,7 +24,8 @@ mit | 3 | as is | the software is provided as is without warranty of any kind ex
 mit-0 | 9 | spdx | spdx license identifier mit 0
 mit-0 | 7 | mit no attribution | (?:the )?mit no attribution(?: license)?
 x11 | 9 | spdx | spdx license identifier x11
-x11 | 5 | x11 | (?:the )?(?:x11|x consortium) license
+x11 | 5 | x11 license | (?:the )?x11 license
+x11 | 5 | x consortium license | (?:the )?x consortium license
 x11 | 3 | x consortium | name of the x consortium shall not be used in advertising
 isc | 9 | spdx | spdx license identifier isc
 isc | 7 | isc license | (?:released|licensed|distributed) under (?:the )?(?:terms of )?(?:the )?isc license
@@ -231,8 +234,9 @@ qpl-1.0 | 9 | spdx | spdx license identifier qpl 1 0
 qpl-1.0 | 5 | q public | (?:the )?q public license
 apsl-2.0 | 9 | spdx | spdx license identifier apsl 2 0
 apsl-2.0 | 5 | apple public | (?:the )?apple public source license
-llama-community | 7 | community license agreement | (?:the )?llama [0-9](?: [0-9])? community license(?: agreement)?
-openrail | 7 | openrail | (?:creativeml |bigscience |bigcode )?open ?rail(?: m| s| d)?(?: license)?
+llama-community | 7 | community license | (?:the )?llama [0-9](?: [0-9])? community license(?: agreement)?
+openrail | 7 | openrail | (?:creativeml |bigscience |bigcode )?openrail(?: m| s| d)?(?: license)?
+openrail | 7 | open rail | (?:creativeml |bigscience |bigcode )?open rail(?: m| s| d)?(?: license)?
 commons-clause | 5 | commons clause | (?:the )?commons clause(?: license)?(?: condition)?
 proprietary | 5 | all rights reserved | (?:copyright (?:c )?)?(?:[0-9]{4} )?all rights reserved
 proprietary | 3 | confidential | proprietary and confidential
@@ -240,7 +244,8 @@ proprietary | 3 | may not be reproduced | may not be reproduced (?:or distribute
 proprietary | 3 | unauthorized copying | unauthorized copying of this file via any medium is strictly prohibited
 copyright-notice | 1 | copyright | copyright (?:c )?(?:19|20)[0-9]{2}(?: [^ ]+){0,3}
 unknown-license | 1 | licensed under | (?:is )?licensed under (?:the )?[^ ]+(?: [^ ]+)? license
-unknown-license | 1 | see license | see (?:the )?license (?:file )?for (?:more )?(?:details|information)
+unknown-license | 1 | license for | see (?:the )?license for (?:more )?(?:details|information)
+unknown-license | 1 | license file for | see (?:the )?license file for (?:more )?(?:details|information)
 """
 
 

@@ -39,7 +39,7 @@ ROOTS = (
     "advertising materials", "redistributi", "apache", "public", "gnu org", "gpl", "free software", "you should have received", "this library is",
     "invariant", "mozilla", "source code form", "eclipse", "common development", "zlib", "origin of this", "libpng", "boost", "business source",
     "ncsa", "python software", "unencumbered", "wtfpl", "beer ware", "creativecommons", "creative commons", "cc0", "cc by", "opendatacommons",
-    "open data commons", "mulan psl", "microsoft", "educational community", "universal permissive", "w3c software", "openrail", "commons clause",
+    "open data commons", "mulan psl", "microsoft", "educational community", "universal permissive", "w3c software", "openrail", "open rail", "commons clause",
     "all rights reserved", "confidential", "may not be reproduced", "unauthorized",
 )
 

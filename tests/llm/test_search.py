@@ -1,6 +1,9 @@
 """Decontamination, near duplicates and license scan against brute force."""
 
 import hashlib
+import re
+from re import _constants as sre
+from re import _parser as parser
 
 import numpy as np
 import pytest
@@ -128,3 +131,39 @@ def test_license_rules_have_roots(spark):
 
 def test_license_odd_rows(docs, empty, corpus):
     assert license_scan.scan(docs).count() == len(corpus) and license_scan.scan(empty).count() == 0
+
+
+def forms(tree):
+    """Texts that match an expression: each alternative, with and without each optional part."""
+    out = [""]
+    for op, av in tree:
+        if op is sre.LITERAL:
+            own = [chr(av)]
+        elif op is sre.NOT_LITERAL:
+            own = ["z"]
+        elif op is sre.IN:
+            kind, x = av[0]
+            own = [chr(x if kind is sre.LITERAL else x[0])]
+        elif op is sre.SUBPATTERN:
+            own = forms(av[3])
+        elif op is sre.BRANCH:
+            own = [x for part in av[1] for x in forms(part)]
+        else:
+            assert op is sre.MAX_REPEAT
+            own = [x * k for k in {av[0], min(av[0] + 1, av[1])} for x in (forms(av[2]) if k else [""])]
+        out = [a + b for a in out for b in own]
+    return out
+
+
+def test_license_keywords_are_in_every_match():
+    for label, _, keyword, pattern in rules():
+        made = forms(parser.parse(pattern))
+        assert all(re.fullmatch(pattern, x) for x in made)
+        # this sentence is the Apache license's only where its name stands
+        assert all(keyword in x for x in made) or (label, keyword) == ("apache-2", "licensed under the apache")
+
+
+def test_license_optional_forms(spark):
+    texts = {"See the LICENSE file for details.": "unknown-license", "X Consortium License": "x11", "Llama 3 Community License": "llama-community", "open rail-m license": "openrail", "OpenRAIL-M": "openrail", "X11 license": "x11", "see license for more information": "unknown-license"}
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: [d["label"] for d in r["detections"]] for r in rows} == {i: [x] for i, x in enumerate(texts.values())}
