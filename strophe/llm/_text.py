@@ -11,6 +11,7 @@ follows the words of a text, not a multiple of its bytes.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -144,21 +145,35 @@ def shingles(h: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-def crc_bucket(doc_id: str, parts: int):
-    """crc32 of the id written as text, modulo ``parts`` (null for a null id)."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(parts)
+def held_out(doc_id: str, parts: int, remainder: int):
+    """Whether crc32 of the id written as text has that remainder modulo
+    ``parts``; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(parts) == remainder, F.lit(False))
+
+
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    A session of one machine (local master) without that setting gets a folder
+    of its own; on a cluster a machine's own folder would be lost with it, so
+    an unset folder is an error there.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"{tempfile.gettempdir()}/strophe-{spark.sparkContext.applicationId}"
+    return folder.rstrip("/")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage into the session's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` is the cluster's setting; a folder of our own is
-    set only where it is unset, as in tests.
+    ``spark.checkpoint.dir`` is the cluster's setting.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/strophe-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

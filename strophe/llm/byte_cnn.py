@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strophe.llm._learn import sample_labelled
-from strophe.llm._text import add_columns, bytes_of, crc_bucket
+from strophe.llm._text import add_columns, bytes_of, held_out
 
 CHUNK, STEP, SPAN, FILTERS = 512, 448, 8, 24
 #: Positions of a filter in a chunk.
@@ -185,6 +185,6 @@ def score(docs: DataFrame, net: Network, *, text_col: str = "text", threshold: f
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    held_out = crc_bucket("doc_id", 5) == 0
-    net = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), train=~held_out)
-    return score(docs.withColumn("held_out", held_out), net, keep=["doc_id", "held_out"])
+    held = held_out("doc_id", 5, 0)
+    net = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), train=~held)
+    return score(docs.withColumn("held_out", held), net, keep=["doc_id", "held_out"])

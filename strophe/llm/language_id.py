@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strophe.llm._learn import sample_by_label
-from strophe.llm._text import LOWER, add_columns, bytes_of, crc_bucket
+from strophe.llm._text import LOWER, add_columns, bytes_of, held_out
 
 UNKNOWN = "und"
 D1, D2, D3 = 256, 2048, 4096
@@ -150,6 +150,6 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", margin: fl
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    held_out = crc_bucket("doc_id", 5) == 0
-    model = learn(docs.where(~held_out))
-    return predict(docs.select("doc_id", "text", held_out.alias("held_out")), model, keep=["doc_id", "held_out"])
+    held = held_out("doc_id", 5, 0)
+    model = learn(docs.where(~held))
+    return predict(docs.select("doc_id", "text", held.alias("held_out")), model, keep=["doc_id", "held_out"])

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophe.llm._text import LOWER, SOLID, blocks, bytes_of, checkpoint, crc_bucket, words
+from strophe.llm._text import LOWER, SOLID, blocks, bytes_of, checkpoint, held_out, words
 from strophe.llm.gru import Gru
 
 END = np.uint64(0x0E4D0F7E875AFE77)  # stands for the end token
@@ -413,4 +413,4 @@ def score(
 
 def op7_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score(docs, crc_bucket("doc_id", 10) == 0)
+    return score(docs, held_out("doc_id", 10, 0))

@@ -1,32 +1,37 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols by a lexicon (insult, threat verb, intent, target,
-negation, report, or other) and clauses run through one transducer, the
-composition of
-
-* negation: an insult or threat right after a negation is marked negated;
-* report: one after a verb of speech is marked reported;
-* threat: a harming verb counts only after an intent (will, going to) or an
-  imperative start, and is a threat then;
-* target: remembers whether someone is addressed and marks what is aimed;
-* insult and threat scoring: marked symbols give weights.
-
-A clause's score is the sum of the weights of its path, so negated or reported
-speech weighs less and aimed speech more; isolated words that no path accepts
-weigh nothing.  A text's features are its highest clause score and the number
-of clauses that score; a logistic unit over them, fitted to labels, gives the
-probability.
-
-The lexicon is hand-written (``SEED``) and grows by the words and stems
-(``stem*``, the first characters of words) that the labelled rows support: at
-least ``support`` different texts have it, nearly all of them toxic, and it is
-taken only while it explains ``gain`` toxic texts that no word before does.  Learning
+Words become symbols by a lexicon and the symbols of a clause run through one
+transducer, the composition of
+
+* negation: an insult or a harming verb within three words of a negation is
+  marked negated;
+* report: one within four words of a verb of speech is marked reported;
+* threat: a harming verb within three words of an intent (will, going to) or at
+  a clause's start, and then someone it is aimed at within three words;
+* address: an insult right after someone addressed, or within four words of a
+  verb of being after them (you are such a ...), if no definite article stands
+  between; another insult is loose;
+* vocative: a loose insult in a clause of at most two words;
+* weighing: the marks of completed patterns get weights.
+
+A word by itself completes no pattern and weighs nothing: a loose insult only
+arms the last machine, which runs through the whole text, where each further
+one is a pile.  A text's score is a logistic unit over the weights of its
+patterns (``log2(1 + n)`` of n equal ones); the weights are fitted to labels,
+and stay near their defaults where no labelled text has the pattern.
+
+The lexicon is hand-written (``SEED``).  Words and stems (``stem*``, the first
+characters of words) that labelled rows support are added as a class of their
+own: ``support`` different texts have it, or three of which two have it twice,
+``purity`` of them toxic, and it is taken only while it explains ``gain`` toxic
+texts that no word before does (of the ``most_words`` best of them).  Learning
 takes a hashed sample of about ``per_label`` rows a label.
 
 Defined cases: null and empty texts have no clause and get the score of texts
-without one; without labels of both kinds the seed lexicon and default weights
-are used; repeated rows get equal scores; columns other than id, text and (to
-learn) label are not read.
+without a pattern; without labels of both kinds the seed lexicon and default
+weights are used; a null id is a training row (``held_out`` is false); repeated
+rows get equal scores; columns other than id, text and (to learn) label are not
+read.
 """
 
 from __future__ import annotations
@@ -41,12 +46,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strophe.llm._learn import sample_labelled
-from strophe.llm._text import LOWER, add_columns, blocks, bytes_of, checkpoint, crc_bucket, words
+from strophe.llm._text import LOWER, add_columns, blocks, bytes_of, checkpoint, held_out, words
 
-OTHER, INSULT, HARM, INTENT, TARGET, NOT, REPORT = "other", "insult", "harm", "intent", "target", "not", "report"
-CORE = (INSULT, HARM)
+OTHER, END = "other", "end"
+INSULT, SLUR, HARM, INTENT, TARGET, BEING, DEGREE, DEFINITE, NOT, REPORT = "insult", "slur", "harm", "intent", "target", "being", "degree", "definite", "not", "report"
+CORE = (INSULT, SLUR, HARM)
 
-#: Words of each class, in English, German, French and Spanish.
+#: Words of each class, in English, German, French and Spanish; slurs are learned.
 SEED = {
     INSULT: """idiot idiots moron morons loser losers scum clown clowns stupid trash garbage worthless pathetic disgusting dumb
         imbecile fool bastard jerk creep pig vermin filth coward freak cretin dimwit halfwit scumbag lowlife degenerate parasite
@@ -54,72 +60,142 @@ SEED = {
         dummkopf trottel abschaum idiotisch versager drecksack schwachkopf widerlich wertlos
         imbécile crétin abruti connard ordure minable dégoûtant salaud raclure débile
         imbécil estúpido estúpida basura escoria inútil patético asqueroso idiota cretino payaso""",
+    SLUR: "",
     HARM: """kill hurt destroy beat punch stab shoot strangle smash crush attack murder burn
         töten umbringen schlagen vernichten tuer frapper détruire écraser matar golpear destruir""",
     INTENT: "will ll gonna going shall werde werden wird vais va allons voy vamos",
     TARGET: "you your yours he she they him her them du dich dir sie euch tu toi vous te ti usted ustedes",
+    BEING: "are re is s were was be being bist seid sind ist êtes est sont eres son sois",
+    DEGREE: "a an such so really total complete absolute little nothing but just very ein eine so un une tellement tan muy",
+    DEFINITE: "the this that these those der die das den dem le la les el los las",
     NOT: "not never no isn aren nicht kein keine nie pas jamais nunca jamás",
     REPORT: "said says say claimed called reported wrote quoted sagte sagt behauptete dit disait dijo dice",
 }
+SYMBOLS = (OTHER, END, *SEED)
+
+PATTERNS = ("address", "vocative", "threat")
+#: Weights of patterns: plain, negated and reported; a pile; and the constant.
+WEIGHTS = {"constant": -4.0, "pile": 1.5} | {p + m: w * f for p, w in zip(PATTERNS, (5.0, 3.0, 5.0), strict=True) for m, f in (("", 1.0), ("-", 0.1), ('"', 0.3))}
+FEATURES = tuple(WEIGHTS)
 
 
 class Fst:
-    """A deterministic transducer: arcs (state, symbol) -> (state, output,
-    weight); a symbol without an arc passes and keeps the state."""
-
-    def __init__(self, start, arcs: dict):
-        self.start, self.arcs = start, arcs
-
-    def step(self, state, symbol):
-        return self.arcs.get((state, symbol), (state, symbol, 0.0))
-
-    def compose(self, then: Fst, symbols: set[str]) -> Fst:
-        """Feed this one's output into ``then``; states are pairs."""
-        start = (self.start, then.start)
-        arcs, todo, seen = {}, [start], {start}
-        while todo:
-            at = todo.pop()
-            for s in symbols:
-                p, out, w = self.step(at[0], s)
-                q, out, v = then.step(at[1], out)
-                arcs[at, s] = ((p, q), out, w + v)
-                if (p, q) not in seen:
-                    seen.add((p, q))
-                    todo.append((p, q))
-        return Fst(start, arcs)
-
-    def score(self, symbols: list[str], start=None) -> float:
-        state, total = self.start if start is None else start, 0.0
+    """A deterministic transducer: ``move(state, symbol)`` gives the next state
+    and the symbols put out."""
+
+    def __init__(self, start, move):
+        self.start, self.move = start, move
+        self.known: dict = {}
+
+    def step(self, state, symbol) -> tuple:
+        at = (state, symbol)
+        if at not in self.known:
+            self.known[at] = self.move(state, symbol)
+        return self.known[at]
+
+    def then(self, other: Fst) -> Fst:
+        """The composition: what this one puts out goes into ``other``.  Its
+        states are pairs, made as they are reached and kept."""
+        return Fst((self.start, other.start), _Pair(self, other))
+
+    def run(self, symbols) -> list[str]:
+        state, out = self.start, []
         for s in symbols:
-            state, _, w = self.step(state, s)
-            total += w
-        return total
-
-
-def grammar(weights: dict[str, float] | None = None) -> Fst:
-    """The composed transducer over SEED's classes.  weights: insult, threat,
-    aimed (added), negated and reported (factors)."""
-    w = {"insult": 3.0, "threat": 3.0, "aimed": 0.5, "negated": 0.3, "reported": 0.6} | (weights or {})
-    symbols = {OTHER, INSULT, HARM, INTENT, TARGET, NOT, REPORT}
-    negation = Fst(0, {(q, s): (2 if s == NOT else max(0, q - 1), s + "-" if q and s in CORE else s, 0.0) for q in (0, 1, 2) for s in symbols})
-    wider = symbols | {s + "-" for s in CORE}
-    core = {c + m for c in CORE for m in ("", "-")}
-    report = Fst(0, {(q, s): (5 if s == REPORT else max(0, q - 1), s + '"' if q and s in core else s, 0.0) for q in range(6) for s in wider})
-    # a harming verb is a threat at a clause's start or within three words of an intent
-    heard = symbols | {c + m for c in CORE for m in ("", "-", '"', '-"')}
-    threat = Fst(1, {(q, s): (3 if s == INTENT else max(0, q - 1), "threat" + s[len(HARM) :] if q and s.startswith(HARM) else OTHER if s.startswith(HARM) else s, 0.0) for q in range(4) for s in heard})
-    # state: (someone is addressed, something waits for an address)
-    marked = {c + m for c in (INSULT, "threat") for m in ("", "-", '"', '-"')}
-    target = Fst((0, 0), {((a, b), s): (((1, 0), s, w["aimed"] * b) if s == TARGET else ((a, 1 - a), s + "@" if a else s, 0.0) if s in marked else ((a, b), s, 0.0)) for a in (0, 1) for b in (0, 1) for s in symbols | marked})
-
-    def weight(s: str) -> float:
-        kind = "insult" if s.startswith(INSULT) else "threat"
-        return (w[kind] + w["aimed"] * ("@" in s)) * (w["negated"] if "-" in s else 1) * (w["reported"] if '"' in s else 1)
-
-    scoring = Fst(0, {(0, s): (0, s, weight(s)) for x in marked for s in (x, x + "@")})
-    out = negation
-    for machine in (report, threat, target, scoring):
-        out = out.compose(machine, symbols)
+            state, put = self.step(state, s)
+            out.extend(put)
+        return out
+
+    def __getstate__(self):
+        return {"start": self.start, "move": self.move, "known": {}}
+
+
+class _Pair:
+    def __init__(self, a: Fst, b: Fst):
+        self.a, self.b = a, b
+
+    def __call__(self, state, symbol) -> tuple:
+        p, put = self.a.step(state[0], symbol)
+        q, out = state[1], []
+        for s in put:
+            q, more = self.b.step(q, s)
+            out.extend(more)
+        return (p, q), tuple(out)
+
+
+def _kind(s: str) -> tuple[str, str]:
+    """A symbol and its mark: negated (-) or reported (")."""
+    return (s[:-1], s[-1]) if s[-1] in "-\"" else (s, "")
+
+
+class _Marker:
+    def __init__(self, sign: str, mark: str, reach: int):
+        self.sign, self.mark, self.reach = sign, mark, reach
+
+    def __call__(self, left, s):
+        if s == self.sign:
+            return self.reach, (s,)
+        return max(0, left - 1), (s + self.mark if left and s in CORE else s,)
+
+
+def _threat(state, s):
+    """state: words left for a harming verb, its mark, words left for a target."""
+    ready, mark, aim = state
+    kind, own = _kind(s)
+    if kind == HARM:
+        return ((max(0, ready - 1), own, 3) if ready else (0, mark, max(0, aim - 1))), (OTHER,)
+    if kind == TARGET and aim:
+        return (max(0, ready - 1), "", 0), ("threat" + mark, s)
+    return (3 if s == INTENT else max(0, ready - 1), mark if aim > 1 else "", max(0, aim - 1)), (s,)
+
+
+def _address(left, s):
+    """left: -1 right after someone addressed, else words left for an insult."""
+    kind, mark = _kind(s)
+    if kind in (INSULT, SLUR):
+        return (4 if left else 0), (("address" if left else "loose") + mark,)
+    if kind == TARGET:
+        return -1, (s,)
+    if kind == DEFINITE or kind == OTHER and left < 0:
+        return 0, (s,)
+    if kind == BEING and left < 0:
+        return 4, (s,)
+    return (left if left < 0 else max(0, left - 1)), (s,)
+
+
+def _vocative(state, s):
+    """state: words so far (3: more), and the mark of a loose insult that waits."""
+    n, waits = state
+    kind, mark = _kind(s)
+    if s == END:
+        return (n, None), (() if waits is None else ("vocative" + waits,))
+    if kind in PATTERNS and kind != "address":  # a threat stands beside the word it is aimed at
+        return (n, waits), (s,)
+    n = min(3, n + 1)
+    if n == 3:
+        before = () if waits is None else ("loose" + waits,)
+        return (3, None), before + ((s,) if kind in ("loose", "address") else ())
+    if kind == "loose" and waits is None:
+        return (n, mark), ()
+    return (n, waits), ((s,) if kind in ("loose", "address") else ())
+
+
+def _pile(armed, s):
+    """Over the marks of a whole text: the first loose insult only arms; a
+    negated or reported one is none."""
+    if s == "loose":
+        return 1, ("pile",) if armed else ()
+    return armed, (s,) if s in WEIGHTS else ()
+
+
+def machines() -> list[Fst]:
+    return [Fst(0, _Marker(NOT, "-", 3)), Fst(0, _Marker(REPORT, '"', 4)), Fst((1, "", 0), _threat), Fst(0, _address), Fst((0, None), _vocative)]
+
+
+def grammar() -> Fst:
+    """The composed transducer over ``SYMBOLS``; a clause ends with ``END``."""
+    out, *rest = machines()
+    for m in rest:
+        out = out.then(m)
     return out
 
 
@@ -134,8 +210,8 @@ def _opening(low: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class Matcher:
-    def __init__(self, lexicon: dict[str, str], fst: Fst, fit: tuple[float, float, float]):
-        self.fst, self.fit = fst, fit
+    def __init__(self, lexicon: dict[str, str], fst: Fst, weights: dict[str, float]):
+        self.fst, self.piles, self.weights = fst, Fst(0, _pile), weights
         self.kinds = [OTHER, *SEED]
         self.stems = {w[:-1].encode(): self.kinds.index(k) for w, k in lexicon.items() if w.endswith("*")}
         self.lengths = sorted({len(x) for x in self.stems})
@@ -165,8 +241,8 @@ class Matcher:
                         out[i] = self.stems[word[:size]]
         return out
 
-    def clauses(self, text: pa.Array) -> Iterator[tuple[int, float, int, int]]:
-        """(row, score, first byte, last byte) of every clause that scores."""
+    def clauses(self, text: pa.Array) -> Iterator[tuple[int, list[str], int, int]]:
+        """(row, marks, first byte, last byte) of every clause that has marks."""
         buf, offsets = bytes_of(text)
         core = [self.kinds.index(c) for c in CORE]
         for i, j in blocks(offsets):
@@ -182,28 +258,38 @@ class Matcher:
             edge = np.flatnonzero(np.concatenate([[True], (np.diff(clause) != 0) | (np.diff(doc) != 0)]))
             for c in np.unique(np.searchsorted(edge, hits, side="right") - 1).tolist():
                 lo, hi = edge[c], edge[c + 1] if c + 1 < len(edge) else len(h)
-                score = self.fst.score([self.kinds[s] for s in symbol[lo:hi].tolist()])
-                if score > 0:
+                marks = self.fst.run([*(self.kinds[s] for s in symbol[lo:hi].tolist()), END])
+                if marks:
                     d = int(doc[lo])
                     base = offsets[i + d] - offsets[i]
-                    yield i + d, score, int(starts[lo] - base), int(ends[hi - 1] - base)
-
-    def features(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        high, many = np.zeros(len(text)), np.zeros(len(text))
-        for d, s, _, _ in self.clauses(text):
-            high[d] = max(high[d], s)
-            many[d] += 1
-        return high, np.log1p(many)
-
-    def scores(self, high: np.ndarray, many: np.ndarray) -> np.ndarray:
-        b, u, v = self.fit
-        return 1 / (1 + np.exp(-np.clip(b + u * high + v * many, -30, 30)))
-
-
-DEFAULT_FIT = (-4.0, 2.0, 0.5)
+                    yield i + d, marks, int(starts[lo] - base), int(ends[hi - 1] - base)
+
+    def features(self, text: pa.Array) -> tuple[np.ndarray, list[tuple[int, int, int, float]]]:
+        """[texts, FEATURES] and the clauses that weigh: row, first and last
+        byte, weight."""
+        out = np.zeros((len(text), len(FEATURES)))
+        out[:, 0] = 1
+        states: dict[int, int] = {}
+        clauses = []
+        for d, marks, a, b in self.clauses(text):
+            weight = 0.0
+            for m in marks:
+                states[d], patterns = self.piles.step(states.get(d, 0), m)
+                for x in patterns:
+                    out[d, FEATURES.index(x)] += 1
+                    weight += self.weights[x]
+            if weight:
+                clauses.append((d, a, b, weight))
+        out[:, 1:] = np.log2(1 + out[:, 1:])
+        return out, clauses
+
+    def scores(self, features: np.ndarray) -> np.ndarray:
+        z = features @ np.array([self.weights[f] for f in FEATURES])
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def seed_lexicon() -> dict[str, str]:
+    """Of a word of several classes the first counts."""
     return {word: kind for kind, text in reversed(SEED.items()) for word in text.split()}
 
 
@@ -211,104 +297,125 @@ def seed_lexicon() -> dict[str, str]:
 STEM = range(3, 9)
 
 
+def _own_words(data: np.ndarray) -> Counter[str]:
+    """How often a text has each word."""
+    low = LOWER[data]
+    starts, ends, h, _ = words(low, np.array([0, len(low)]))
+    _, first, n = np.unique(h, return_index=True, return_counts=True)
+    return Counter({low[s:e].tobytes().decode("utf-8", "replace"): k for s, e, k in zip(starts[first], ends[first], n.tolist(), strict=True)})
+
+
+def _with_stems(own: Counter[str], sizes) -> Counter[str]:
+    out = Counter(own)
+    for w, n in own.items():
+        for size in sizes:
+            if len(w) >= size:
+                out[w[:size] + "*"] += n
+    return out
+
+
 def _word_counts(sample: DataFrame, text_col: str, label: str) -> DataFrame:
-    """(word, toxic, n): texts with each word or stem, by label, once for equal
-    texts."""
+    """(word, toxic, n, twice): texts with each word or stem, toxic ones, and
+    those that have it twice; equal texts count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[str] = Counter()
         toxic: Counter[str] = Counter()
+        twice: Counter[str] = Counter()
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([toxic[w] for w in n], pa.int64()), pa.array(list(n.values()), pa.int64())], names=["word", "toxic", "n"])
-            n.clear()
-            toxic.clear()
-            return out
+            columns = [pa.array(list(n), pa.string()), *(pa.array([c[w] for w in n], pa.int64()) for c in (toxic, n, twice))]
+            for c in (n, toxic, twice):
+                c.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["word", "toxic", "n", "twice"])
 
         for batch in batches:
             buf, offsets = bytes_of(batch.column(0))
             labels = batch.column(1).to_pylist()
             for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-                low = LOWER[buf[a:b]]
-                starts, ends, h, _ = words(low, np.array([0, b - a]))
-                first = np.unique(h, return_index=True)[1]
-                own = {low[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[first], ends[first], strict=True)}
-                own |= {w[:size] + "*" for w in own for size in STEM if len(w) >= size}
-                n.update(own)
+                own = _with_stems(_own_words(buf[a:b]), STEM)
+                n.update(own.keys())
                 if labels[k]:
-                    toxic.update(own)
+                    toxic.update(own.keys())
+                twice.update(w for w, c in own.items() if c > 1)
                 if len(n) > 500_000:
                     yield flush()
         yield flush()
 
-    pairs = sample.select(text_col, label).dropDuplicates([text_col]).mapInArrow(run, "word string, toxic long, n long")
-    return pairs.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    pairs = sample.select(text_col, label).dropDuplicates([text_col]).mapInArrow(run, "word string, toxic long, n long, twice long")
+    return pairs.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("toxic", "n", "twice")])
 
 
 def _explain(sample: DataFrame, candidates: set[str], known: set[str], text_col: str, label: str, gain: int) -> list[str]:
-    """Candidates that explain toxic texts without a known word, the most
-    explaining first."""
+    """Candidates that explain toxic texts, the most explaining first.  A text
+    is explained by two places of known or taken words, as a pile needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stems = sorted({len(c) - 1 for c in candidates if c.endswith("*")})
         for batch in batches:
-            out = []
+            out, left = [], []
             buf, offsets = bytes_of(batch.column(0))
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                low = LOWER[buf[a:b]]
-                starts, ends, h, _ = words(low, np.array([0, b - a]))
-                first = np.unique(h, return_index=True)[1]
-                own = {low[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[first], ends[first], strict=True)}
-                has = own & candidates | {w[:size] + "*" for w in own for size in stems if w[:size] + "*" in candidates}
-                out.append(None if own & known else sorted(has))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], names=["has"])
+                own = _own_words(buf[a:b])
+                left.append(2 - sum(n for w, n in own.items() if w in known))
+                has = [{"n": n, "by": sorted(set(_with_stems(Counter({w: n}), stems)) & candidates)} for w, n in sorted(own.items()) if w not in known]
+                out.append([x for x in has if x["by"]])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int32()), pa.array(out, pa.list_(pa.struct([("n", pa.int32()), ("by", pa.list_(pa.string()))])))], names=["left", "has"])
 
     toxic = sample.where(F.col(label) == 1).select(text_col).distinct()
-    left = [set(r["has"]) for r in toxic.mapInArrow(run, "has array<string>").where("has is not null and size(has) > 0").collect()]
+    got = toxic.mapInArrow(run, "left int, has array<struct<n:int,by:array<string>>>").where("left > 0 and size(has) > 0").collect()
+    texts = [(r["left"], [(x["n"], set(x["by"])) for x in r["has"]]) for r in got]
     taken = []
-    while left:
-        best, n = max(Counter(x for has in left for x in has).items(), key=lambda kv: (kv[1], len(kv[0]), kv[0]))
+    while texts:
+        best, n = max(Counter(c for _, has in texts for c in set().union(*(by for _, by in has))).items(), key=lambda kv: (kv[1], len(kv[0]), kv[0]), default=("", 0))
         if n < gain:
             break
         taken.append(best)
-        left = [has for has in left if best not in has]
+        after = [(left - sum(k for k, by in has if best in by), [x for x in has if best not in x[1]]) for left, has in texts]
+        texts = [(left, has) for left, has in after if left > 0 and has]
     return taken
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", train=None, per_label: int = 2500, support: int = 5, purity: float = 0.95, gain: int = 3, most_words: int = 5000) -> Matcher:
+def fitted(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> dict[str, float]:
+    """Weights of ``FEATURES`` by Newton steps, held near their defaults."""
+    prior = np.array([WEIGHTS[f] for f in FEATURES])
+    w, size = prior.copy(), max(1.0, n.sum() / 1000)
+    ridge = np.diag([1e-3, *[0.1] * (len(FEATURES) - 1)]) * size
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (n * p * (1 - p))[:, None]).T @ x + ridge
+        w = w - np.clip(np.linalg.solve(h, x.T @ (n * (p - y)) + ridge @ (w - prior)), -1, 1)
+    return dict(zip(FEATURES, w.tolist(), strict=True))
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", train=None, per_label: int = 2500, support: int = 5, purity: float = 0.95, gain: int = 2, most_words: int = 5000) -> Matcher:
     """Fit to ``docs`` (doc_id, text) labelled in ``labels`` (doc_id, label)
     where ``train``, a condition on doc_id, holds."""
     sample, counts = sample_labelled(docs, labels, label, per_label, train)
     text_col = "text"
     lexicon, fst = seed_lexicon(), grammar()
     if len(counts) < 2:
-        return Matcher(lexicon, fst, DEFAULT_FIT)
+        return Matcher(lexicon, fst, WEIGHTS)
     sample = checkpoint(sample.select(text_col, label))
-    found = _word_counts(sample, text_col, label).where((F.col("n") >= support) & (F.col("toxic") >= purity * F.col("n"))).orderBy(F.desc("toxic"), "word").limit(most_words)
+    enough = (F.col("n") >= support) | (F.col("n") >= 3) & (F.col("twice") >= 2)
+    found = _word_counts(sample, text_col, label).where(enough & (F.col("toxic") >= purity * F.col("n"))).orderBy(F.desc("toxic"), "word").limit(most_words)
     for w in _explain(sample, {r["word"] for r in found.collect()}, {w for w, k in lexicon.items() if k == INSULT}, text_col, label, gain):
-        lexicon.setdefault(w, INSULT)
-    shared = docs.sparkSession.sparkContext.broadcast(Matcher(lexicon, fst, DEFAULT_FIT))
+        lexicon.setdefault(w, SLUR)
+    shared = docs.sparkSession.sparkContext.broadcast(Matcher(lexicon, fst, WEIGHTS))
 
     def make():
         def apply(text):
-            high, many = shared.value.features(text)
-            return [pa.array(high), pa.array(many)]
+            return [pa.array([x.tobytes() for x in shared.value.features(text)[0]], pa.binary())]
 
         return apply
 
-    got = add_columns(sample, [text_col], [T.StructField("high", T.DoubleType()), T.StructField("many", T.DoubleType())], make, keep=[label]).groupBy(label, "high", "many").count().toPandas()
+    got = add_columns(sample, [text_col], [T.StructField("x", T.BinaryType())], make, keep=[label]).groupBy(label, "x").count().toPandas().sort_values([label, "x"])
     y, n = got[label].to_numpy(float), got["count"].to_numpy(float)
     for value in (0, 1):  # back to the labels' true shares
         if n[y == value].sum():
             n[y == value] *= counts[value] / n[y == value].sum()
-    x = np.stack([np.ones(len(got)), got["high"], got["many"]], axis=1)
-    w = np.array(DEFAULT_FIT)
-    ridge = np.diag([1e-3, 0.1, 0.1])
-    for _ in range(50):  # Newton steps
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (n * p * (1 - p))[:, None]).T @ x + ridge * max(1.0, n.sum() / 1000)
-        w = w - np.clip(np.linalg.solve(h, x.T @ (n * (p - y)) + ridge @ (w - DEFAULT_FIT) * max(1.0, n.sum() / 1000)), -1, 1)
-    return Matcher(lexicon, fst, tuple(float(v) for v in w))
+    x = np.stack([np.frombuffer(v) for v in got["x"]]) if len(got) else np.zeros((0, len(FEATURES)))
+    return Matcher(lexicon, fst, fitted(x, y, n))
 
 
 def score(docs: DataFrame, matcher: Matcher, *, text_col: str = "text", threshold: float = 0.3, keep: list[str] | None = None, spans: bool = False) -> DataFrame:
@@ -321,14 +428,11 @@ def score(docs: DataFrame, matcher: Matcher, *, text_col: str = "text", threshol
         own = shared.value
 
         def apply(text):
-            high, many = np.zeros(len(text)), np.zeros(len(text))
+            x, clauses = own.features(text)
             found: list[list] = [[] for _ in range(len(text))] if spans else []
-            for d, s, a, b in own.clauses(text):
-                high[d] = max(high[d], s)
-                many[d] += 1
-                if spans:
-                    found[d].append({"start": a, "end": b, "weight": s})
-            p = own.scores(high, np.log1p(many))
+            for d, a, b, w in clauses if spans else ():
+                found[d].append({"start": a, "end": b, "weight": w})
+            p = own.scores(x)
             out = [pa.array(p), pa.array((p >= threshold).astype(np.int32))]
             return [*out, pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("weight", pa.float64())])))] if spans else out
 
@@ -340,6 +444,6 @@ def score(docs: DataFrame, matcher: Matcher, *, text_col: str = "text", threshol
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    held_out = crc_bucket("doc_id", 4) == 2
-    matcher = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), train=~held_out)
-    return score(docs.withColumn("held_out", held_out), matcher, keep=["doc_id", "held_out"])
+    held = held_out("doc_id", 4, 2)
+    matcher = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), train=~held)
+    return score(docs.withColumn("held_out", held), matcher, keep=["doc_id", "held_out"])

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strophe.llm import byte_cnn, gif, language_id, lm_score, packing, token_counts, toxicity
 from strophe.llm.gru import Gru
-from tests.llm.brute import solid_words
+from tests.llm.brute import alnum_words, solid_words
 
 DIR = "/root/testdata/sf0.01"
 
@@ -69,16 +70,105 @@ def test_quality_odd_rows(spark, docs, empty, corpus):
     assert {r["predicted"] for r in byte_cnn.score(docs, byte_cnn.learn(docs, none)).collect()} == {1}
 
 
+def plain_marks(x):
+    """Marks of a clause (symbols without the end), rule by rule."""
+    t = toxicity
+    n = len(x)
+    near = lambda i, sign, reach: sign in x[max(0, i - reach) : i]
+    mark = ["-" if near(i, t.NOT, 3) else '"' if near(i, t.REPORT, 4) else "" for i in range(n)]
+    threats = {}
+    armed = [i for i in range(n) if x[i] == t.HARM and (i == 0 or near(i, t.INTENT, 3))]
+    for i in range(n):
+        before = [a for a in armed if i - 3 <= a < i]
+        if x[i] == t.TARGET and before and t.TARGET not in x[before[-1] + 1 : i]:
+            threats[i] = "threat" + mark[before[-1]]
+    insult = [s in (t.INSULT, t.SLUR) for s in x]
+    quiet = {t.DEGREE, t.NOT, t.INTENT, t.REPORT}
+
+    def opened(i):  # someone is addressed right before i
+        j = i - 1
+        while j >= 0 and x[j] in quiet:
+            j -= 1
+        return j >= 0 and x[j] == t.TARGET
+
+    def aimed(i):
+        if opened(i):
+            return True
+        for j in range(i - 1, max(-1, i - 5), -1):
+            if x[j] in (t.DEFINITE, t.TARGET):
+                return False
+            if x[j] == t.BEING and opened(j) or insult[j] and aimed(j):
+                return True
+        return False
+
+    out = []
+    for i in range(n):
+        if i in threats:
+            out.append(threats[i])
+        if insult[i]:
+            kind = "address" if aimed(i) else "vocative" if n <= 2 and not any(insult[j] and not aimed(j) for j in range(i)) else "loose"
+            out.append(kind + mark[i])
+    return sorted(out)
+
+
 def test_toxicity_grammar():
-    f = toxicity.grammar()
-    s = lambda x: f.score(x.split())
-    assert s("other insult") > s("report other insult") > s("not insult") > 0
-    assert s("insult other target") == s("target insult") > s("insult")
-    assert s("other harm target") == 0 < s("intent harm target") and s("") == s("other target not") == 0
+    f, rng = toxicity.grammar(), random.Random(8)
+    words = [s for s in toxicity.SYMBOLS if s != toxicity.END]
+    every = [list(x) for k in range(3) for x in itertools.product(words, repeat=k)]
+    for x in every + [rng.choices(words, k=rng.randint(3, 14)) for _ in range(20_000)]:
+        y = [*x, toxicity.END]
+        got = f.run(y)
+        for m in toxicity.machines():  # one after the other
+            y = m.run(y)
+        assert got == y and sorted(got) == plain_marks(x), x
+
+
+@pytest.mark.parametrize("learned", [False, True])
+def test_toxicity_needs_patterns(spark, learned):
+    clean = ["The trash is collected on Monday.", "Take out the garbage.", "Kill the process.", "You take out the trash.", "They will destroy the evidence against them.", "He said: it was stupid.", "You are not an idiot."]
+    toxic = ["You idiot", "You are such a pathetic loser.", "I will kill you.", "I am going to hurt you, moron.", "Idiot, moron, scum, clown, loser, trash and filth everywhere"]
+    m = toxicity.Matcher(toxicity.seed_lexicon(), toxicity.grammar(), toxicity.WEIGHTS)
+    if learned:
+        m = toxicity.learn(spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/labels.parquet"))
+    docs = spark.createDataFrame(list(enumerate(clean + toxic)), "doc_id long, text string")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, m).collect()}
+    assert [got[i] for i in range(len(got))] == [0] * len(clean) + [1] * len(toxic)
+
+
+def plain_toxicity(text, lexicon, weights):
+    n = dict.fromkeys(toxicity.FEATURES, 0)
+    loose = 0
+    stems = sorted((w[:-1] for w in lexicon if w.endswith("*")), key=lambda w: len(w.encode()))
+    kind = lambda w: lexicon.get(w) or next((lexicon[p + "*"] for p in stems if w.startswith(p)), toxicity.OTHER)
+    for clause in re.split(r"[.!?;:\n]", text or ""):
+        for m in plain_marks([kind(w) for w in alnum_words(clause)]):
+            loose += m == "loose"
+            if m in n:
+                n[m] += 1
+    n["pile"] = max(0, loose - 1)
+    z = weights["constant"] + sum(weights[f] * math.log2(1 + k) for f, k in n.items())
+    return 1 / (1 + math.exp(-z))
+
+
+def test_toxicity_scores_whole_texts(spark, docs, corpus):
+    own = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").union(docs.select(F.col("doc_id") + 10**6, "text"))
+    lexicon = toxicity.seed_lexicon() | {"ther*": toxicity.SLUR, "ka": toxicity.SLUR, "of": toxicity.INSULT}
+    weights = toxicity.WEIGHTS | {"pile": 0.4, "address": 0.7, "constant": -5.0}
+    rows = toxicity.score(own, toxicity.Matcher(lexicon, toxicity.grammar(), weights)).collect()
+    assert len(rows) == own.count() and len({round(r["score"], 4) for r in rows}) > 20
+    for r in rows:
+        assert math.isclose(r["score"], plain_toxicity(r["text"], lexicon, weights), abs_tol=1e-9) and r["predicted"] == (r["score"] >= 0.3)
+
+
+def test_toxicity_held_out(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = toxicity.op5_toxicity(spark, "/root/testdata/sf0.1").join(labels, "doc_id").where("held_out").toPandas()
+    toxic, clean = got[got.toxic == 1], got[got.toxic == 0]
+    assert toxic.predicted.mean() > 0.8 and clean.predicted.mean() < 0.005
 
 
 def test_toxicity_finds_planted(spark):
-    rows = [(i, f"alpha beta zorgath{i % 7} gamma {i}." if i % 3 == 0 else f"alpha beta gamma delta {i}.", int(i % 3 == 0)) for i in range(120)]
+    rows = [(i, f"alpha beta zorgath{i % 7} gamma {i}. Zorgath{i % 5} delta." if i % 3 == 0 else f"alpha beta gamma delta {i}.", int(i % 3 == 0)) for i in range(120)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 4], "doc_id long, toxic int")
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect()}
@@ -89,6 +179,7 @@ def test_toxicity_odd_rows(spark, docs, empty, corpus):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     m = toxicity.learn(docs, none)
     assert toxicity.score(docs, m, spans=True).count() == len(corpus) and toxicity.score(empty, m).count() == 0
+    assert {r["held_out"] for r in docs.where("doc_id is null").select(toxicity.held_out("doc_id", 4, 2).alias("held_out")).collect()} == {False}
     one = spark.createDataFrame([(1, "Fine. You idiot!")], "doc_id long, text string")
     (c,) = toxicity.score(one, m, spans=True).first()["clauses"]
     assert (c["start"], c["end"]) == (6, 15)
