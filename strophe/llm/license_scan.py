@@ -6,16 +6,19 @@ spaces.  Two kinds of findings are made on it:
 * base phrases: fixed word sequences, counted wherever they stand;
 * signature rules (``license_rules``): a rule's expression is tried only on
   texts that contain the rule's keyword, and a cheap gate over a few roots
-  spares most texts the keywords, too.  Overlapping detections are resolved
-  from left to right: of two that overlap, the one of higher priority stays,
-  then the longer, then the earlier; so what lies inside of a detection of the
-  same or a higher priority is suppressed.
+  spares most texts the keywords, too.  A detection goes if it lies inside of
+  another of the same or a higher priority (of equal intervals the one of
+  higher priority stays, then the earlier rule's); detections that only
+  overlap, and a higher one inside of a lower one, stay.  A rule labelled
+  ``NAMED`` takes its label from the identifier it matched.
 
 All of it is row by row, without a shuffle; the rules are literals of fixed
-size.  Work on a text is proportional to its length and detections.
+size.  Folds over the n detections of a text run in blocks of about sqrt(n), so
+that no array of n grows one by one.
 
-Defined cases: null and empty texts have no words and no findings; repeated
-rows get equal answers; columns other than those named are not read.
+Defined cases: null and empty texts have no words and no findings; ties in
+start, end and priority stay by the order of rules; repeated rows get equal
+answers; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strophe.llm.license_rules import NAMED, TAG, identifiers
 from strophe.llm.license_rules import rules as all_rules
 
 #: Base phrases and labels, as the contract states them.
@@ -33,7 +37,7 @@ PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apach
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Every keyword contains one of these.
+#: Most keywords contain one of these; another keyword is a root by itself.
 ROOTS = (
     "licen", "spdx", "opensource org", "expat", "permission", "copyright", "as is", "x11", "x consortium", "mit no", "bsd", "neither the name",
     "advertising materials", "redistributi", "apache", "public", "gnu org", "gpl", "free software", "you should have received", "this library is",
@@ -60,6 +64,36 @@ def _any(norm: Column, parts: Sequence[str]) -> Column:
     return out
 
 
+_KIND = "struct<start:int,end:int,priority:int,rule:int,label:string>"
+
+
+def _once(x: Column, use) -> Column:
+    """``use`` of x with x evaluated once: a lambda's variable is bound, while
+    a reference from inside of a lambda is evaluated for every element."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
+def _scan_blocks(items: Column, state: Column, none: Column, step) -> Column:
+    """The items that a fold puts out, in order: ``step(state, item)`` gives
+    the next state and an array of what is put out."""
+
+    def blocks(x: Column) -> Column:
+        size = F.greatest(F.lit(1), F.floor(F.sqrt(F.size(x).cast("double"))).cast("int"))
+        starts = F.when(F.size(x) > 0, F.sequence(F.lit(1), F.size(x), size)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.slice(x, i, size))
+
+    def inner(before: Column, block: Column) -> Column:
+        def one(a: Column, x: Column) -> Column:
+            state, put = step(a["state"], x)
+            return F.struct(state.alias("state"), F.concat(a["out"], put).alias("out"))
+
+        return F.aggregate(block, F.struct(before.alias("state"), none.alias("out")), one)
+
+    first = F.array(F.struct(state.alias("state"), none.alias("out")))
+    done = F.aggregate(_once(items, blocks), first, lambda a, block: F.concat(a, F.array(inner(F.element_at(a, -1)["state"], block))))
+    return F.flatten(F.transform(done, lambda x: x["out"]))
+
+
 def _detections(norm: Column, rules: Sequence[tuple[str, int, str, str]]) -> Column:
     """All matches of the rules whose keyword occurs, as an array of
     (start, -end, -priority, rule number, label) in the order of resolution."""
@@ -69,38 +103,36 @@ def _detections(norm: Column, rules: Sequence[tuple[str, int, str, str]]) -> Col
     table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*own).alias("rules")) for k, own in by_keyword.items()])
     # nested references are evaluated for every element, so each step uses its element only
     tried = F.flatten(F.transform(F.filter(table, lambda k: norm.contains(k["keyword"])), lambda k: k["rules"]))
+    names = F.create_map(*[F.lit(x) for pair in identifiers().items() for x in pair])
 
     def matches(r: Column) -> Column:
         found = F.regexp_extract_all(norm, r["pattern"], F.lit(0))
-        pairs = F.arrays_zip(F.split(norm, r["pattern"], -1).alias("gap"), found.alias("hit"))  # the last gap has no hit
-        empty = F.array().cast("array<struct<start:int,end:int,priority:int,rule:int,label:string>>")
-        walked = F.aggregate(
-            F.filter(pairs, lambda p: p["hit"].isNotNull()),
-            F.struct(F.lit(0).alias("at"), empty.alias("out")),
-            lambda a, p: F.struct(
-                (a["at"] + F.length(p["gap"]) + F.length(p["hit"])).alias("at"),
-                F.concat(a["out"], F.array(F.struct((a["at"] + F.length(p["gap"])).alias("start"), (-(a["at"] + F.length(p["gap"]) + F.length(p["hit"]))).alias("end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label")))).alias("out"),
-            ),
-        )
-        return walked["out"]
+        pairs = F.filter(F.arrays_zip(F.split(norm, r["pattern"], -1).alias("gap"), found.alias("hit")), lambda p: p["hit"].isNotNull())  # the last gap has no hit
+
+        def step(at: Column, p: Column) -> tuple[Column, Column]:
+            start, end = at + F.length(p["gap"]), at + F.length(p["gap"]) + F.length(p["hit"])
+            return end, F.array(F.struct(start.alias("start"), (-end).alias("end"), p["hit"].alias("hit")))
+
+        walked = _scan_blocks(pairs, F.lit(0), F.array().cast("array<struct<start:int,end:int,hit:string>>"), step)
+        label = lambda x: F.when(r["label"] == NAMED, F.element_at(names, F.substring(x["hit"], len(TAG) + 1, 1 << 30))).otherwise(r["label"])
+        return F.transform(walked, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), r["priority"].alias("priority"), r["rule"].alias("rule"), label(x).alias("label")))
 
     return F.array_sort(F.flatten(F.transform(tried, matches)))
 
 
-def _resolved(found: Column) -> Column:
-    """Detections that stay: a fold that keeps the last one open."""
-    kind = "struct<start:int,end:int,priority:int,rule:int,label:string>"
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("kept"), F.lit(None).cast(kind).alias("open"))
+def _resolved(found: Column, priorities: Sequence[int]) -> Column:
+    """Detections that stay.  In their order, what may contain one stands
+    before it; so the farthest end of each priority so far decides, and it
+    does not matter whether its detection stayed: what contains that one
+    contains this one, too."""
+    tops = F.array(*[F.struct(F.lit(-p).alias("priority"), F.lit(0).alias("end")) for p in sorted(set(priorities))]) if priorities else F.array().cast("array<struct<priority:int,end:int>>")
 
-    def step(a: Column, d: Column) -> Column:
-        apart = a["open"].isNull() | (d["start"] >= -a["open"]["end"])
-        better = (d["priority"] < a["open"]["priority"]) | ((d["priority"] == a["open"]["priority"]) & (d["start"] - d["end"] - 2 * d["start"] > -a["open"]["end"] - a["open"]["start"]))
-        return F.struct(
-            F.when(apart & a["open"].isNotNull(), F.concat(a["kept"], F.array(a["open"]))).otherwise(a["kept"]).alias("kept"),
-            F.when(apart | better, d).otherwise(a["open"]).alias("open"),
-        )
+    def step(tops: Column, d: Column) -> tuple[Column, Column]:
+        inside = F.exists(tops, lambda t: (t["priority"] <= d["priority"]) & (t["end"] <= d["end"]))  # both negative
+        after = F.transform(tops, lambda t: F.struct(t["priority"].alias("priority"), F.when(t["priority"] == d["priority"], F.least(t["end"], d["end"])).otherwise(t["end"]).alias("end")))
+        return after, F.when(inside, F.array().cast(f"array<{_KIND}>")).otherwise(F.array(d))
 
-    return F.aggregate(found, start, step, lambda a: F.when(a["open"].isNull(), a["kept"]).otherwise(F.concat(a["kept"], F.array(a["open"]))))
+    return _scan_blocks(found, tops, F.array().cast(f"array<{_KIND}>"), step)
 
 
 def scan(
@@ -119,9 +151,7 @@ def scan(
         w = phrase.split()
         if any(w[:k] == w[-k:] for k in range(1, len(w))):
             raise ValueError(f"occurrences of a base phrase may not overlap: {phrase}")
-    for r in rules:
-        if not any(x in r[2] for x in roots):
-            raise ValueError(f"no root gates the keyword {r[2]!r}")
+    roots = [*roots, *sorted({r[2] for r in rules if not any(x in r[2] for x in roots)})]
     d = docs.select(F.col(id_col), normalised(F.col(text_col)).alias("norm"))
     norm = F.col("norm")
     d = d.select(id_col, "norm", (_spaces(norm) - 1).cast("long").alias("n_words"), _any(norm, roots).alias("gate"), *[F.when(norm.contains(f" {p} "), F.split(norm, rf" {p}(?= )", -1)).alias(f"p{i}") for i, (p, _) in enumerate(phrases)])
@@ -135,7 +165,7 @@ def scan(
     total = n[0]
     for x in n[1:]:
         total = total + x
-    kept = F.when(F.col("gate"), _resolved(_detections(norm, rules)))
+    kept = F.when(F.col("gate"), _resolved(_detections(norm, rules), [r[1] for r in rules]))
     shaped = F.transform(F.coalesce(kept, F.array().cast("array<struct<start:int,end:int,priority:int,rule:int,label:string>>")), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("end"), (-x["priority"]).alias("priority"), x["label"].alias("label")))
     return d.select(id_col, "n_words", total.alias("n_base"), (F.least(*first) if len(first) > 1 else first[0]).alias("first_word"), (F.greatest(*last) if len(last) > 1 else last[0]).alias("last_word"), F.array_sort(F.array_compact(F.array(*labels))).alias("base_labels"), shaped.alias("detections"))
 
