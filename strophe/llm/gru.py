@@ -48,6 +48,15 @@ class Gru:
     def params(self) -> list[np.ndarray]:
         return [self.x, self.u, self.b, self.wc, self.bc, self.ww, self.bw]
 
+    def begin_as(self, weight: np.ndarray) -> None:
+        """Set the output biases to the shares of ``weight`` (of the first
+        tokens; the others get next to nothing)."""
+        full = np.full(self.begin, 1e-3)
+        full[: len(weight)] = np.maximum(weight, 1e-3)
+        full = (full / full.sum()).reshape(self.classes, self.per_class)
+        self.bc[...] = np.log(full.sum(axis=1))
+        self.bw[...] = np.log(full / full.sum(axis=1, keepdims=True))
+
     def step(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
         k = self.hidden
         x, hu = self.x[ids] + self.b, h @ self.u

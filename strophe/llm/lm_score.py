@@ -1,24 +1,27 @@
 """Language-model scores of whole texts.
 
-Two models learn from the training texts.  The base is a smoothed unigram model
-over exact counts of all their tokens; the other is a gated recurrent network
-(``gru``) over the most frequent words, in which a further word is an unknown
-word: one of the ``most_words`` most frequent, by its exact share of the unknown
-words, if it occurs twice, else spelled by a byte bigram model; so it gives a
-proper probability to every text.  Network and spelling learn from all training
-texts: from a start on a sample, tasks train copies on the texts they read, and
-the copies are averaged by their tokens, once for each of ``rounds`` shares of
-the texts.  So ``score`` depends a little on how the rows are dealt to tasks.
-
-Counts are packed arrays by bucket of the token's 64-bit hash, merged by a
-shuffle, and never collected; only the ``most_words`` most frequent counts are
-broadcast.  The other tokens of a chunk of texts travel, summed up by text, to
-the bucket that has their counts, and the sums go back to the chunk.  Texts
-themselves are not shuffled.
+Two models learn from the training texts, and both give probabilities to the
+words that those have and to one more token, any other word.  The base is a
+smoothed unigram model over exact counts.  The other is a gated recurrent
+network (``gru``) over the most frequent words; a word beyond them is one of
+``kinds`` kinds of words by its last two bytes, and then, by exact smoothed
+counts, the word of its kind.  The network's output biases begin as the exact
+shares of words and kinds, so that training starts from the unigram model.  It
+learns from all training texts: from a start on a sample, tasks train copies on
+the texts they read, and the copies are averaged by their tokens, once for each
+of ``rounds`` shares of the texts.  So ``score`` depends a little on how the
+rows are dealt to tasks.
+
+Counts are rows of a token's 64-bit hash, pre-aggregated in the tasks and summed
+by a shuffle; only the at most ``most_words`` most frequent are broadcast.  The
+other tokens of a text are looked up by a join on the hash.  Such a token is
+rare in the training texts, and texts are held out by their ids, so no key of
+the join is hot; the texts themselves are not shuffled.
 
 Defined cases: a null or empty text is one end token; without training texts
-the base score of a token is log10(0.1 / 0.1) = 0; rows with a null id are
-training rows; repeated rows are each answered; other columns are not read.
+the base score of a token is log10(0.1 / 0.1) = 0, and so is the score of a
+word's place in its kind; rows with a null id are training rows; repeated rows
+are each answered; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,128 +41,107 @@ from strophe.llm.gru import Gru
 END = np.uint64(0x0E4D0F7E875AFE77)  # stands for the end token
 FLUSH = 2_000_000
 SCAN = 8 << 20
-SPELL = 1 << 20
 LEARN = 1 << 20
 PIECE = 1 << 14
 
 
-def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes of all texts, each text's end included, and where each text
-    begins; starts and ends of the words, and their places among the tokens."""
+def tokens(buf: np.ndarray, offsets: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens of the texts, the places where each text begins,
+    and the tokens' kinds (of the end token: 0)."""
     starts, ends, h, at = words(buf, offsets, SOLID)
     n = np.diff(at)
     begin = np.concatenate([[0], np.cumsum(n + 1)])
     out = np.full(begin[-1], END, dtype=np.uint64)
     place = np.arange(len(h)) + np.repeat(np.arange(len(n)), n)
     out[place] = h
-    return out, begin, starts, ends, place
+    kind = np.zeros(begin[-1], dtype=np.int32)
+    last = LOWER[buf[ends - 1]].astype(np.uint32)
+    before = np.where(ends - starts > 1, LOWER[buf[np.maximum(ends - 2, 0)]], 0).astype(np.uint32)
+    kind[place] = (((last << 8 | before) * np.uint32(2654435761)) >> np.uint32(8)) % np.uint32(kinds)
+    return out, begin, kind
 
 
-def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
-
-
-def count_tokens(texts: DataFrame, text_col: str, n_buckets: int) -> DataFrame:
-    """(bucket, keys, counts): token counts as packed sorted arrays."""
+def count_tokens(texts: DataFrame, text_col: str, kinds: int) -> DataFrame:
+    """(hash, kind, n): the count of every token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
+        keys, kind, counts, held = [], [], [], 0
 
         def flush():
-            k, at = np.unique(np.concatenate(keys), return_inverse=True) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            c = np.bincount(at, np.concatenate(counts), len(k)).astype(np.int64) if keys else np.zeros(0, np.int64)
-            keys.clear()
-            counts.clear()
-            b = _bucket(k, n_buckets)
-            some = np.unique(b)
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([k[b == x].tobytes() for x in some], pa.binary()), pa.array([c[b == x].tobytes() for x in some], pa.binary())], names=["bucket", "keys", "counts"])
+            k, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            c = np.bincount(at, np.concatenate(counts), len(k)).astype(np.int64)
+            own = np.concatenate(kind)[first]
+            for x in (keys, kind, counts):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(own), pa.array(c)], names=["hash", "kind", "n"])
 
         for batch in batches:
             buf, offsets = bytes_of(batch.column(0))
             for i, j in blocks(offsets):
-                k, c = np.unique(tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0], return_counts=True)
+                h, _, own = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], kinds)
+                k, first, c = np.unique(h, return_index=True, return_counts=True)
                 keys.append(k)
+                kind.append(own[first])
                 counts.append(c)
                 held += len(k)
                 if held > FLUSH:
                     yield flush()
                     held = 0
-        yield flush()
-
-    def merge(table: pa.Table) -> pa.Table:
-        k = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
-        c = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
-        k, at = np.unique(k, return_inverse=True)
-        c = np.bincount(at, c, len(k)).astype(np.int64)
-        return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "keys": pa.array([k.tobytes()], pa.binary()), "counts": pa.array([c.tobytes()], pa.binary())})
+        if held:
+            yield flush()
 
-    shape = "bucket int, keys binary, counts binary"
-    return texts.select(text_col).mapInArrow(run, shape).groupBy("bucket").applyInArrow(merge, shape)
-
-
-def _spectrum(counts: DataFrame) -> dict[int, int]:
-    """How many tokens have each count."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                c, n = np.unique(np.frombuffer(x, np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], names=["c", "n"])
-
-    return {r["c"]: r["n"] for r in counts.select("counts").mapInArrow(run, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()}
-
-
-def _frequent(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens with a count of ``least`` or more, by hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ks, cs = [], []
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                k, c = np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)
-                ks.append(k[c >= least].tobytes())
-                cs.append(c[c >= least].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.binary()), pa.array(cs, pa.binary())], names=["keys", "counts"])
+    return texts.select(text_col).mapInArrow(run, "hash long, kind int, n long").groupBy("hash").agg(F.first("kind").alias("kind"), F.sum("n").alias("n"))
 
-    got = counts.select("keys", "counts").mapInArrow(run, "keys binary, counts binary").collect()
-    k = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in got)])
-    c = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["counts"], np.int64) for r in got)])
-    order = np.argsort(k)
-    return k[order], c[order]
 
+def _end() -> int:
+    return int(np.array([END]).view(np.int64)[0])
 
-def _count_of(counts: DataFrame, token: np.uint64, n_buckets: int) -> int:
-    """The count of one token, from all counts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(c, np.int64)[np.frombuffer(k, np.uint64) == token]
-                yield pa.RecordBatch.from_arrays([pa.array(own)], names=["n"])
-
-    bucket = int(_bucket(np.array([token]), n_buckets)[0])
-    return sum(r["n"] for r in counts.where(F.col("bucket") == bucket).select("keys", "counts").mapInArrow(run, "n long").collect())
+def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, kinds and counts of at most ``most`` tokens, those whose counts
+    are above a bound; the bound follows from how many tokens there are for
+    each count, with counts rounded down to six leading bits."""
+    unit = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.floor(F.log2("n")) - 5))
+    least = None
+    for r in counts.select((F.floor(F.col("n") / unit) * unit).cast("long").alias("c")).groupBy("c").count().orderBy(F.desc("c")).collect():
+        most -= r["count"]
+        if most < 0:
+            break
+        least = r["c"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+    got = counts.where(F.col("n") >= least).select("hash", "kind", "n").toArrow()
+    k, kind, c = (got.column(x).to_numpy() for x in ("hash", "kind", "n"))
+    order = np.argsort(k.view(np.uint64))
+    return k.view(np.uint64)[order], kind[order], c[order]
 
 
 class Tables:
-    """What scoring broadcasts: frequent counts, vocabulary, network, spelling."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, n: int, v: int, n_texts: int, classes: int, per_class: int):
-        self.keys, self.log = keys, np.log10(counts + 0.1)
+    """What scoring broadcasts: frequent counts, vocabulary, network, and the
+    totals of kinds of words."""
+
+    def __init__(self, keys: np.ndarray, kind: np.ndarray, counts: np.ndarray, kinds: dict[int, tuple[int, int]], n_texts: int, n_kinds: int, classes: int, per_class: int):
+        n, v = n_texts + sum(x for x, _ in kinds.values()), bool(n_texts) + sum(x for _, x in kinds.values())
+        if END not in keys:  # always listed, with its count
+            at = int(np.searchsorted(keys, END))
+            keys, kind, counts = np.insert(keys, at, END), np.insert(kind, at, 0), np.insert(counts, at, n_texts)
+        self.keys, self.log, self.seen, self.n_kinds = keys, np.log10(counts + 0.1), counts > 0, n_kinds
         self.floor = float(np.log10(n + 0.1 * (v + 1)))
         self.net = Gru(classes, per_class)
         top = np.lexsort((keys, -counts))
-        top = top[keys[top] != END][: self.net.begin - 2]
-        self.vocab = np.sort(keys[top])
-        self.number = np.argsort(keys[top]) + 2  # by rank; 0 is the end, 1 unknown
-        self.spell = np.full((256, 256), -np.log10(256.0))
-        # an unknown word is a listed one or spelled; the latter get the share of those not listed
-        unknown = n - int(counts[top].sum()) - n_texts
-        self.listed = counts >= 2
-        self.listed[top] = self.listed[keys == END] = False
-        spelled = unknown - int(counts[self.listed].sum()) + 1
-        self.log_spelled = float(np.log10(spelled / (unknown + 1)))
-        self.log_listed = np.log10(counts / (unknown + 1))
+        top = top[keys[top] != END][: self.net.begin - 1 - n_kinds]
+        by = np.argsort(keys[top])
+        self.vocab = keys[top][by]
+        # kinds: tokens and distinct words beyond the vocabulary
+        left = np.array([kinds.get(k, (0, 0)) for k in range(n_kinds)], float)
+        np.subtract.at(left, kind[top], np.stack([counts[top], np.ones(len(top))], axis=1))
+        self.kind_floor = np.log10(left[:, 0] + 0.1 * (left[:, 1] + 1))
+        # numbers by rank, so that classes hold neighbours
+        weight = np.concatenate([[n_texts], left[:, 0] + 0.1, counts[top]])
+        rank = np.empty(len(weight), np.int64)
+        rank[np.argsort(-weight, kind="stable")] = np.arange(len(weight))
+        self.end, self.kind_id, self.number = int(rank[0]), rank[1 : 1 + n_kinds], rank[1 + n_kinds :][by]
+        self.net.begin_as(weight[np.argsort(rank)])
 
     @staticmethod
     def find(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,46 +150,28 @@ class Tables:
         at = np.minimum(np.searchsorted(table, h), len(table) - 1)
         return at, table[at] == h
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
+    def ids(self, h: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of tokens, and which are words beyond the vocabulary."""
         at, hit = self.find(self.vocab, h)
-        out = np.ones(len(h), np.int64)
+        out = self.kind_id[kind]
         out[hit] = self.number[at[hit]]
-        out[h == END] = 0
-        return out
-
-
-def _pairs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of words of about ``SPELL`` bytes: the numbers of the first and
-    the last, and the pair codes of all bytes with the byte before, where a
-    space stands before and after each word (so each word's pairs stand
-    together), with the places where they begin and end."""
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SPELL, side="right")))
-        size = ends[i:j] - starts[i:j]
-        stop = np.cumsum(size + 1)
-        begin = stop - size - 1
-        # each word and the space after it; the byte before a word is the last space
-        own = np.full(int(stop[-1]), 32, np.uint8)
-        place = np.arange(int(size.sum())) + np.repeat(np.arange(j - i), size)
-        own[place] = LOWER[buf[place - np.repeat(begin - starts[i:j], size)]]
-        code = own.astype(np.uint16)
-        code[1:] |= own[:-1].astype(np.uint16) << np.uint16(8)
-        code[0] |= np.uint16(32 << 8)
-        yield i, j, code, begin, stop
-        i = j
+        end = h == END
+        out[end] = self.end
+        return out, ~hit & ~end
 
 
 def _sample(texts: DataFrame, text_col: str, shared, share: float, most: int) -> list[np.ndarray]:
     """Token numbers of a hashed share of the texts (at most ``most``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = None
         for batch in batches:
+            t = t or shared.value
             buf, offsets = bytes_of(batch.column(0))
             out = []
             for i, j in blocks(offsets):
-                h, begin, *_ = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                ids = shared.value.ids(h)
+                h, begin, kind = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], t.n_kinds)
+                ids, _ = t.ids(h, kind)
                 out.extend(ids[a:b].astype(np.int32).tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
@@ -216,42 +180,35 @@ def _sample(texts: DataFrame, text_col: str, shared, share: float, most: int) ->
     return [np.frombuffer(x, np.int32).astype(np.int64) for x in sorted(r["ids"] for r in got)]
 
 
-def _learn(texts: DataFrame, text_col: str, shared) -> tuple[np.ndarray, np.ndarray]:
+def _learn(texts: DataFrame, text_col: str, shared) -> np.ndarray:
     """Parameters of the network, one after the other, after training on the
-    texts, and byte pair counts of the words that are spelled.  Tasks' results
-    are summed up piece by piece, so the driver gets one of each."""
+    texts.  Tasks' results are summed up piece by piece, so the driver gets one
+    of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
-        net, adam, held, n_held, total = copy.deepcopy(t.net), {}, [], 0, 0
-        pair = np.zeros(65536, np.int64)
+        t, net, adam, held, n_held, total = None, None, {}, [], 0, 0
 
         def fit():
             net.fit(held, streams=int(np.clip(n_held // 2048, 32, 256)), epochs=1, rate=0.003, adam=adam)
             held.clear()
 
         for batch in batches:
+            t = t or shared.value
+            net = net or copy.deepcopy(t.net)
             buf, offsets = bytes_of(batch.column(0))
             for i, j in blocks(offsets):
-                own = buf[offsets[i] : offsets[j]]
-                h, begin, starts, ends, place = tokens(own, offsets[i : j + 1] - offsets[i])
-                ids = t.ids(h)
-                spelled = np.flatnonzero(ids[place] == 1)
-                at, hit = t.find(t.keys, h[place[spelled]])
-                if len(t.keys):
-                    spelled = spelled[~(hit & t.listed[at])]
-                for _, _, code, _, _ in _pairs(own, starts[spelled], ends[spelled]):
-                    pair += np.bincount(code, minlength=65536)
+                h, begin, kind = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], t.n_kinds)
+                ids, _ = t.ids(h, kind)
                 held.extend(ids[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True))
                 n_held += len(ids)
                 total += len(ids)
                 if n_held > LEARN:
                     fit()
                     n_held = 0
-        fit()
         if total:
+            fit()
             flat = np.concatenate([p.ravel() for p in net.params()]).astype(np.float64) * total
-            sums = [pair.astype(np.float64), *(flat[k : k + PIECE] for k in range(0, len(flat), PIECE))]
+            sums = [flat[k : k + PIECE] for k in range(0, len(flat), PIECE)]
             task = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array([task] * len(sums), pa.int32()), pa.array([float(total)] * len(sums)), pa.array([x.tobytes() for x in sums], pa.binary())], names=["piece", "task", "weight", "sums"])
 
@@ -265,150 +222,92 @@ def _learn(texts: DataFrame, text_col: str, shared) -> tuple[np.ndarray, np.ndar
 
     shape = "piece int, task int, weight double, sums binary"
     got = sorted(texts.select(text_col).mapInArrow(run, shape).groupBy("piece").applyInArrow(merge, shape).collect(), key=lambda r: r["piece"])
-    if not got:
-        return np.zeros(0), np.zeros(65536)
-    return np.concatenate([np.frombuffer(r["sums"]) / r["weight"] for r in got[1:]]), np.frombuffer(got[0]["sums"])
+    return np.concatenate([np.zeros(0), *(np.frombuffer(r["sums"]) / r["weight"] for r in got)])
 
 
-def _score(docs: DataFrame, text_col: str, id_col: str, shared, n_buckets: int) -> DataFrame:
-    """Rows of texts (chunk, place, ...) and of rare tokens (chunk, bucket,
-    payload)."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def _score(docs: DataFrame, text_col: str, id_col: str, shared) -> DataFrame:
+    """A row for each text, with its tokens that are not in the frequent list
+    (hash, how often)."""
+    kind_of_id = docs.schema[id_col].dataType.simpleString()
+    rare_type = pa.list_(pa.struct([("hash", pa.int64()), ("many", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, flat, chunk = None, None, TaskContext.get().partitionId() << 32
-        names = ["chunk", "place", "id", "held_out", "n_tokens", "n_known", "base", "score", "bucket", "payload"]
-        types = [pa.int64(), pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary()]
+        t, row = None, TaskContext.get().partitionId() << 40
         for batch in batches:
             t = t or shared.value
-            flat = t.spell.ravel()
-            types[2] = batch.column(0).type
             buf, offsets = bytes_of(batch.column(2))
             for i, j in blocks(offsets, SCAN):
-                own = buf[offsets[i] : offsets[j]]
-                h, begin, starts, ends, place = tokens(own, offsets[i : j + 1] - offsets[i])
-                n = np.diff(begin)
-                doc = np.repeat(np.arange(j - i), n)
+                h, begin, kind = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], t.n_kinds)
+                n, rows = np.diff(begin), j - i
+                doc = np.repeat(np.arange(rows), n)
                 at, hit = t.find(t.keys, h)
-                base = np.bincount(doc, np.where(hit, t.log[at] if len(t.log) else 0.0, 0.0), j - i)
-                known = np.bincount(doc, hit, j - i).astype(np.int64)
-                ids = t.ids(h)
+                log = np.where(hit, t.log[at], 0.0)
+                base = np.bincount(doc, log, rows)
+                known = np.bincount(doc, hit & t.seen[at], rows).astype(np.int64)
+                ids, beyond = t.ids(h, kind)
                 total = t.net.score([ids[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]) / np.log(10)
-                listed = hit & t.listed[at] if len(t.keys) else hit
-                total += np.bincount(doc[listed], t.log_listed[at[listed]] if len(t.keys) else None, j - i)
-                unknown = np.flatnonzero((ids[place] == 1) & ~listed[place])
-                whose = doc[place[unknown]]
-                total += t.log_spelled * np.bincount(whose, minlength=j - i)
-                for a, b, code, first, _ in _pairs(own, starts[unknown], ends[unknown]):
-                    total += np.bincount(whose[a:b], np.add.reduceat(flat[code], first), j - i)
-                rows = j - i
-                cols = [pa.array(np.full(rows, chunk)), pa.array(np.arange(rows)), batch.column(0).slice(i, rows), batch.column(1).slice(i, rows), pa.array(n), pa.array(known), pa.array(base), pa.array(total)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.nulls(rows, types[8]), pa.nulls(rows, types[9])], names=names)
+                total += np.bincount(doc[beyond], (log - t.kind_floor[kind])[beyond], rows)
                 rare = np.flatnonzero(~hit)
                 key, where = h[rare], doc[rare]
-                order = np.lexsort((where, key))
+                order = np.lexsort((key, where))
                 key, where = key[order], where[order]
                 fresh = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (where[1:] != where[:-1])])) if len(key) else np.zeros(0, np.int64)
-                many = np.diff(np.append(fresh, len(key)))
-                key, where = key[fresh], where[fresh]
-                b = _bucket(key, n_buckets)
-                some = np.unique(b)
-                pay = []
-                for x in some:
-                    m = b == x
-                    pay.append(key[m].tobytes() + where[m].astype(np.uint32).tobytes() + many[m].astype(np.uint32).tobytes())
-                empty = [pa.nulls(len(some), k) for k in types[1:8]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk)), *empty, pa.array(some, pa.int32()), pa.array(pay, pa.binary())], names=names)
-                chunk += 1
-
-    shape = f"chunk long, place long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, bucket int, payload binary"
+                many = np.diff(np.append(fresh, len(key))).astype(np.int32)
+                cuts = np.searchsorted(where[fresh], np.arange(rows + 1)).astype(np.int32)
+                pairs = pa.StructArray.from_arrays([pa.array(key[fresh].view(np.int64)), pa.array(many)], names=["hash", "many"])
+                lists = pa.ListArray.from_arrays(pa.array(cuts), pairs).cast(rare_type)
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(rows)), batch.column(0).slice(i, rows), batch.column(1).slice(i, rows), pa.array(n), pa.array(known), pa.array(base - n * t.floor), pa.array(total), lists], names=["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+                row += rows
+
+    shape = f"row long, id {kind_of_id}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<hash:long,many:int>>"
     return docs.select(id_col, "held_out", text_col).mapInArrow(run, shape)
 
 
-def _answer(rare: pa.Table, counts: pa.Table) -> pa.Table:
-    """Sums of log10(c + 0.1) and known tokens of each text of each chunk."""
-    keys, log = np.zeros(0, np.uint64), np.zeros(0)
-    for k, c in zip(counts.column("keys").to_pylist(), counts.column("counts").to_pylist(), strict=True):
-        keys, log = np.frombuffer(k, np.uint64), np.log10(np.frombuffer(c, np.int64) + 0.1)
-    out = {"chunk": [], "payload": []}
-    for chunk, pay in zip(rare.column("chunk").to_pylist(), rare.column("payload").to_pylist(), strict=True):
-        n = len(pay) // 16
-        key, where, many = np.frombuffer(pay, np.uint64, n), np.frombuffer(pay, np.uint32, n, 8 * n), np.frombuffer(pay, np.uint32, n, 12 * n)
-        at, hit = Tables.find(keys, key)
-        own, local = np.unique(where, return_inverse=True)
-        value = np.where(hit, log[at] if len(log) else 0.0, -1.0)  # log10(0.1)
-        out["chunk"].append(chunk)
-        out["payload"].append(own.tobytes() + np.bincount(local, value * many, len(own)).astype(np.float64).tobytes() + np.bincount(local, hit * many, len(own)).astype(np.float64).tobytes())
-    return pa.table({"chunk": pa.array(out["chunk"], pa.int64()), "payload": pa.array(out["payload"], pa.binary())})
-
-
-def _finish(floor: float):
-    def run(rows: pa.Table, sums: pa.Table) -> pa.Table:
-        place = rows.column("place").to_numpy()
-        base, known = np.zeros(len(place)), np.zeros(len(place))
-        for pay in sums.column("payload").to_pylist():
-            n = len(pay) // 20
-            own = np.frombuffer(pay, np.uint32, n)
-            base[own] += np.frombuffer(pay[4 * n :], np.float64, n)
-            known[own] += np.frombuffer(pay[12 * n :], np.float64, n)
-        n = rows.column("n_tokens").to_numpy()
-        full = rows.column("base").to_numpy() + base[place] - n * floor
-        return pa.table([rows.column("id"), rows.column("held_out"), pa.array(n), pa.array(rows.column("n_known").to_numpy() + known[place].astype(np.int64)), pa.array(full), rows.column("score")], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    return run
-
-
-def score(
-    docs: DataFrame,
-    held_out,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    most_words: int = 400_000,
-    classes: int = 64,
-    per_class: int = 32,
-    train_texts: int = 600,
-    rounds: int = 2,
-) -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score and score of
-    all texts; the models learn from those where ``held_out`` is not true."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(id_col, text_col, F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    train = docs.where(~F.col("held_out"))
-    n_buckets = max(n_parts, 16)
-    counts = checkpoint(count_tokens(train, text_col, n_buckets))
-    spectrum = _spectrum(counts)
-    n, v = sum(c * k for c, k in spectrum.items()), sum(spectrum.values())
-    room, least = most_words, 1
-    for c in sorted(spectrum, reverse=True):
-        if spectrum[c] > room:
-            least = c + 1
-            break
-        room -= spectrum[c]
-    keys, often = _frequent(counts, least)
-    n_train = _count_of(counts, END, n_buckets)  # it may not be among the frequent
-    tables = Tables(keys, often, n, v, n_train, classes, per_class)
-    if n_train:
-        tables.net.fit(_sample(train, text_col, sc.broadcast(tables), train_texts / n_train, 2 * train_texts))
-        pairs = np.zeros(65536)
+def fit(train: DataFrame, *, text_col: str = "text", most_words: int = 400_000, kinds: int = 63, classes: int = 64, per_class: int = 32, start_texts: int = 600, rounds: int = 2) -> tuple[Tables, DataFrame]:
+    """The models of the training texts, and the counts of all their tokens."""
+    sc = train.sparkSession.sparkContext
+    counts = checkpoint(count_tokens(train, text_col, kinds))
+    own = F.when(F.col("hash") != F.lit(_end()), F.col("kind"))
+    totals = {r["kind"]: (r["n"], r["v"]) for r in counts.groupBy(own.alias("kind")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
+    n_texts = totals.pop(None, (0, 0))[0]
+    tables = Tables(*_frequent(counts, most_words), totals, n_texts, kinds, classes, per_class)
+    tables.train_tokens = n_texts + sum(x for x, _ in totals.values())
+    if n_texts:
+        tables.net.fit(_sample(train, text_col, sc.broadcast(tables), start_texts / n_texts, 2 * start_texts))
         for r in range(rounds):
             part = train.where(F.pmod(F.xxhash64(F.lit(5), F.col(text_col)), F.lit(rounds)) == r)
-            flat, own = _learn(part, text_col, sc.broadcast(tables))
-            pairs += own
+            flat = _learn(part, text_col, sc.broadcast(tables))
             for p in tables.net.params() if len(flat) else []:
                 p[...] = flat[: p.size].reshape(p.shape)
                 flat = flat[p.size :]
-        p = pairs.reshape(256, 256) + 0.05
-        tables.spell = np.log10(p / p.sum(axis=1, keepdims=True))
-    scored = checkpoint(_score(docs, text_col, id_col, sc.broadcast(tables), n_buckets))
-    kind = docs.schema[id_col].dataType.simpleString()
-    rare = scored.where("bucket is not null").select("bucket", "chunk", "payload")
-    sums = rare.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(_answer, "chunk long, payload binary")
-    rows = scored.where("bucket is null").select("chunk", "place", "id", "held_out", "n_tokens", "n_known", "base", "score")
-    out = rows.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(_finish(tables.floor), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return tables, counts
+
+
+def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str = "text", **model) -> DataFrame:
+    """id, held_out, n_tokens, n_known, train_tokens, base_score and score of
+    all texts; the models learn (see ``fit``) from those where ``held_out`` is
+    not true."""
+    docs = docs.select(id_col, text_col, F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    tables, counts = fit(docs.where(~F.col("held_out")), text_col=text_col, **model)
+    return apply(docs, tables, counts, id_col=id_col, text_col=text_col)
+
+
+def apply(docs: DataFrame, tables: Tables, counts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``score``'s columns of ``docs``, which have a column held_out."""
+    scored = checkpoint(_score(docs, text_col, id_col, docs.sparkSession.sparkContext.broadcast(tables)))
+    rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.hash", "x.many").join(counts.select("hash", "n"), "hash", "left")
+    log = F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))
+    sums = rare.groupBy("row").agg(F.sum(F.col("many") * log).alias("log"), F.sum(F.when(F.col("n").isNotNull(), F.col("many")).otherwise(0)).alias("found"))
+    more = F.coalesce("log", F.lit(0.0))
+    return scored.drop("rare").join(sums, "row", "left").select(
+        F.col("id").alias(id_col),
+        "held_out",
+        "n_tokens",
+        (F.col("n_known") + F.coalesce("found", F.lit(0))).cast("long").alias("n_known"),
+        F.lit(tables.train_tokens).cast("long").alias("train_tokens"),
+        (F.col("base_score") + more).alias("base_score"),
+        (F.col("score") + more).alias("score"),
+    )
 
 
 def op7_lm_scoring(spark, sf_dir: str) -> DataFrame:

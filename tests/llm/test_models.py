@@ -303,19 +303,70 @@ def test_gru_scores_are_probabilities():
     assert math.isclose(np.exp(net.score(every, window=2, group=10)).sum(), 1, rel_tol=1e-4)
 
 
-def test_lm_base_is_exact(spark, docs, corpus, empty):
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
-    rows = lm_score.score(docs, held, most_words=20, classes=4, per_class=4, train_texts=10).collect()
+def lm_counts(corpus, held):
     c = collections.Counter()
     for r in corpus:
-        if r[0] is None or zlib.crc32(str(r[0]).encode()) % 3:
+        if not held(r[0]):
             c.update(solid_words(r[1]))
             c["\n"] += 1
+    return c
+
+
+def test_lm_base_is_exact(docs, corpus, empty):
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    rows = lm_score.score(docs, held, most_words=20, kinds=5, classes=4, per_class=4, start_texts=10).collect()
+    c = lm_counts(corpus, lambda d: d is not None and zlib.crc32(str(d).encode()) % 3 == 0)
     n, v = sum(c.values()), len(c)
     base = lambda t: sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*solid_words(t), "\n"])
     want = sorted((len(solid_words(r[1])) + 1, sum(c[w] > 0 for w in [*solid_words(r[1]), "\n"]), n, round(base(r[1]), 4)) for r in corpus)
     assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in rows) == want
-    assert all(r["score"] < 0 for r in rows) and lm_score.score(empty, held).count() == 0
+    assert {r["held_out"] for r in rows if r["doc_id"] is None} == {False}
+    assert lm_score.score(empty, held).count() == 0
+    untrained = lm_score.score(docs, F.lit(True)).collect()
+    assert len(untrained) == len(corpus) and all(r["base_score"] == 0 and r["train_tokens"] == 0 for r in untrained)
+
+
+def test_lm_score_of_whole_texts(docs, corpus):
+    """Word by word, through the whole text, with exact counts of the words
+    beyond the vocabulary."""
+    docs = docs.select("doc_id", "text", (F.col("doc_id") % 3 == 0).alias("held_out")).fillna(False)
+    kinds = 5
+    tables, counts = lm_score.fit(docs.where(~F.col("held_out")), most_words=40, kinds=kinds, classes=4, per_class=5, start_texts=10)
+    got = {r["doc_id"]: r["score"] for r in lm_score.apply(docs, tables, counts).collect()}
+    c = lm_counts(corpus, lambda d: d is not None and d % 3 == 0)
+    assert len(tables.vocab) == 14
+
+    def code(w):
+        if w == "\n":
+            return lm_score.END, 0
+        data = np.frombuffer(w.encode(), np.uint8)
+        h, _, kind = lm_score.tokens(data, np.array([0, len(data)]), kinds)
+        return h[0], int(kind[0])
+
+    codes = {w: code(w) for r in corpus for w in solid_words(r[1])}
+    beyond = {w for w in c if w != "\n" and codes[w][0] not in tables.vocab}
+    # within a kind, all words beyond the vocabulary and one more have probability one
+    for k in range(kinds):
+        own = [c[w] for w in beyond if codes[w][1] == k]
+        assert math.isclose(sum(x + 0.1 for x in own) + 0.1, 10 ** tables.kind_floor[k], rel_tol=1e-9)
+    for r in corpus:
+        h, last, total = np.zeros((1, tables.net.hidden), np.float32), np.array([tables.net.begin]), 0.0
+        for w in [*solid_words(r[1]), "\n"]:
+            key, kind = codes.get(w) or code(w)
+            ids, out = tables.ids(np.array([key]), np.array([kind]))
+            assert out[0] == (w != "\n" and key not in tables.vocab)
+            h, _ = tables.net.step(h, last)
+            total += tables.net.log_prob(h, ids)[0] / math.log(10) + (math.log10(c[w] + 0.1) - tables.kind_floor[kind] if out[0] else 0)
+            last = ids
+        assert math.isclose(got[r[0]], total, rel_tol=1e-4, abs_tol=1e-3), (r[0], (r[1] or "")[:40])
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_lm_beats_the_base(spark, size):
+    rows = lm_score.op7_lm_scoring(spark, f"/root/testdata/{size}").where("held_out")
+    r = rows.agg(F.sum("n_tokens").alias("n"), F.sum("score").alias("score"), F.sum("base_score").alias("base"), F.max("score").alias("most")).first()
+    # better than a uniform guess over 10,000 words, too
+    assert r["score"] / r["n"] > r["base"] / r["n"] + 0.3 and r["score"] / r["n"] > -4 and r["most"] < 0
 
 
 def test_pipeline(spark):
@@ -329,37 +380,24 @@ def test_pipeline(spark):
         docs = out
 
 
-def test_lm_score_learns_from_all_texts(spark):
-    words = [a + b for a in "bdfgklmnpr" for b in "aeiou"]
-    train = [f"the {w} the {v} q{w}x{v}" for w in words for v in words[:8]]
-    # each word of the training texts, and the same turned around, which no text has
-    held = [(1000 + i, w) for i, w in enumerate(words)] + [(2000 + i, w[::-1]) for i, w in enumerate(words)]
-    docs = spark.createDataFrame([*enumerate(train), *held], "doc_id long, text string").repartition(3)
-    args = dict(classes=2, per_class=2, train_texts=1)
-    rows = {r["doc_id"]: r["score"] for r in lm_score.score(docs, F.col("doc_id") >= 1000, **args).collect()}
-    assert all(rows[1000 + i] > rows[2000 + i] + 0.5 for i in range(len(words))) and all(x < 0 for x in rows.values())
-
-
-def test_lm_spelling_counts_all_training_texts(spark):
-    texts = [f"common common word{i}" for i in range(300)]
-    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
-    keys, counts = lm_score._frequent(lm_score.count_tokens(docs, "text", 4), 1)
-    t = lm_score.Tables(keys, counts, int(counts.sum()), len(keys), 300, 1, 3)  # one word in the vocabulary
-    flat, pairs = lm_score._learn(docs, "text", spark.sparkContext.broadcast(t))
-    want = collections.Counter(p for i in range(300) for p in itertools.pairwise(f" word{i} ".encode()))
-    assert {divmod(k, 256): pairs[k] for k in np.flatnonzero(pairs).tolist()} == want
-    assert len(flat) == sum(p.size for p in t.net.params()) and np.isfinite(flat).all()
+def test_lm_learns_from_all_texts(spark):
+    """The network learns word pairs that only texts beyond the start have."""
+    rng = random.Random(5)
+    pairs = [("a", "b"), ("c", "d"), ("e", "f"), ("g", "h")]
+    texts = [" ".join(w for _ in range(40) for w in rng.choice(pairs)) for _ in range(6000)]
+    docs = spark.createDataFrame([*enumerate(texts), (10_000, "a b c d e f g h"), (10_001, "b a d c f e h g")], "doc_id long, text string").repartition(3)
+    rows = {r["doc_id"]: r for r in lm_score.score(docs, F.col("doc_id") >= 10_000, kinds=1, classes=3, per_class=4, start_texts=1).collect()}
+    assert rows[10_000]["score"] > rows[10_001]["score"] + 0.5 and math.isclose(rows[10_000]["base_score"], rows[10_001]["base_score"], abs_tol=1e-9)
 
 
-def test_lm_unknown_words_share_at_most_one():
-    for counts in ([], [1, 1], [9, 5, 4, 3, 2, 2, 1, 1]):
-        t = lm_score.Tables(np.arange(1, len(counts) + 1, dtype=np.uint64), np.array(counts, np.int64), sum(counts) + 3, len(counts) + 1, 3, 2, 2)
-        assert (10 ** t.log_listed[t.listed]).sum() + 10**t.log_spelled <= 1 + 1e-9
+def test_lm_frequent_tokens(spark):
+    counts = spark.createDataFrame([(i, 0, n) for i, n in enumerate([1, 1, 1, 2, 2, 5, 70, 1000, 1001])], "hash long, kind int, n long")
+    for most, want in ((0, []), (1, []), (2, [1000, 1001]), (4, [5, 70, 1000, 1001]), (5, [5, 70, 1000, 1001]), (6, [2, 2, 5, 70, 1000, 1001]), (99, [1, 1, 1, 2, 2, 5, 70, 1000, 1001])):
+        assert sorted(lm_score._frequent(counts, most)[2].tolist()) == want
 
 
 def test_lm_trains_where_the_end_is_rare(spark):
     text = "aab aab aab bba bba " + " ".join(f"ab{i}" for i in range(40))
-    docs = spark.createDataFrame([(0, text), (1, "ab1")], "doc_id long, text string")
-    rows = {r["doc_id"]: r for r in lm_score.score(docs, F.col("doc_id") == 1, most_words=2, classes=2, per_class=2).collect()}
-    # 'ab1' has four byte pairs, of log10(1/256) each without spelling
-    assert rows[0]["train_tokens"] == 46 and rows[1]["score"] > -6
+    docs = spark.createDataFrame([(0, text), (1, "ab1"), (2, "zz")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in lm_score.score(docs, F.col("doc_id") > 0, most_words=2, kinds=2, classes=2, per_class=2).collect()}
+    assert rows[0]["train_tokens"] == 46 and rows[1]["n_known"] == 2 and rows[2]["n_known"] == 1 and rows[1]["score"] < 0
