@@ -6,21 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sample_by_label(rows: DataFrame, label: str, key: str, per_label: int, most_labels: int = 256) -> tuple[DataFrame, dict]:
-    """About ``per_label`` rows of each of the most frequent labels, at most
-    twice that in all, chosen by a hash of ``key``; and the row counts by
-    label.  Rows with a null label are left out.  Only counts by label reach
-    the driver.
+def sample_by_label(rows: DataFrame, label: str, key: str, per_label: int, most_labels: int = 10_000) -> tuple[DataFrame, dict]:
+    """About ``per_label`` rows of each label, at most twice that in all, chosen
+    by a hash of ``key``; and the row counts by label.  Rows with a null label
+    are left out.  Only counts by label reach the driver; over ``most_labels``
+    labels are an error, none is left out.
     """
     rows = rows.where(F.col(label).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(label).limit(most_labels + 1).collect()}
+    if len(counts) > most_labels:
+        raise ValueError(f"over {most_labels} values of {label}")
     if not counts:
         return rows.limit(0), counts
-    share = F.lit(None).cast("double")
-    for value, n in counts.items():
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_label / n))).otherwise(share)
+    kind = rows.schema[label].dataType.simpleString()
+    shares = rows.sparkSession.createDataFrame([(value, min(1.0, per_label / n)) for value, n in counts.items()], f"__label {kind}, __share double")
     unit = F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.where(unit < share).limit(2 * per_label * len(counts)), counts
+    drawn = rows.join(F.broadcast(shares), F.col(label) == F.col("__label")).where(unit < F.col("__share"))
+    return drawn.drop("__label", "__share").limit(2 * per_label * len(counts)), counts
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, per_label: int, train=None) -> tuple[DataFrame, dict]:

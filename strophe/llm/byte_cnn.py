@@ -4,15 +4,17 @@ A text's bytes are cut into overlapping chunks that cover all of it.  Filters
 of eight bytes (weights for each byte at each place) run over every chunk with
 a stride of two, their rectified responses are max-pooled in the chunk, and the
 chunks' means and maxima go into one logistic unit.  Training backpropagates
-through the pooling by minibatches of a bounded sample of labelled texts (about
-``per_label`` a label, up to ``train_chunks`` evenly spaced chunks of each);
-scoring always reads whole texts.  Classes are sampled evenly and the score is
-put back on their true shares.
+through the pooling by minibatches of all chunks of a bounded sample of labelled
+texts (about ``per_label`` a label, fewer if they have over ``train_bytes``
+bytes, none over a sixteenth of that by itself); scoring always reads whole
+texts.  Classes are sampled evenly and the score is put back on their true
+shares.
 
 Defined cases: null and empty texts are one chunk of zero bytes and get a
 score; without labels of both kinds all scores are the share of label 1, or 1
 without any; repeated rows get equal scores; columns other than id, text and
-(to learn) label are not read.
+(to learn) label are not read; a null id is a training row (``held_out`` is
+false).
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strophe.llm._learn import sample_labelled
-from strophe.llm._text import add_columns, bytes_of, held_out
+from strophe.llm._text import add_columns, bytes_of, checkpoint, held_out
 
 CHUNK, STEP, SPAN, FILTERS = 512, 448, 8, 24
 #: Positions of a filter in a chunk.
@@ -134,33 +136,23 @@ class Network:
                     p -= lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, label: str = "quality", train=None, per_label: int = 1200, train_chunks: int = 10) -> Network:
+def learn(docs: DataFrame, labels: DataFrame, *, label: str = "quality", train=None, per_label: int = 1200, train_bytes: int = 16 << 20) -> Network:
     """Fit to ``docs`` (doc_id, text) labelled in ``labels`` (doc_id, label)
     where ``train``, a condition on doc_id, holds."""
     sample, counts = sample_labelled(docs, labels, label, per_label, train)
-
-    def make():
-        def apply(text):
-            buf, offsets = bytes_of(text)
-            out = []
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                starts = chunk_starts(int(b - a))
-                starts = starts[np.unique(np.linspace(0, len(starts) - 1, min(len(starts), train_chunks)).astype(int))]
-                out.append(chunks_of(buf[a:b], starts).tobytes())
-            return [pa.array(out, pa.binary())]
-
-        return apply
-
     net = Network()
     if len(counts) < 2:
         net.constant = float(next(iter(counts), 1))
         return net
-    got = add_columns(sample, ["text"], [T.StructField("chunks", T.BinaryType())], make, keep=[label]).toPandas().sort_values([label, "chunks"])
+    sample = checkpoint(sample.select(F.coalesce("text", F.lit("")).cast("binary").alias("data"), label).where(F.octet_length("data") <= train_bytes // 16))
+    total = sample.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    unit = F.pmod(F.xxhash64(F.lit(13), "data"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    got = sample.where(unit < train_bytes / max(total, train_bytes)).toPandas().sort_values([label, "data"])
     y = got[label].to_numpy(np.float32)
     if not 0 < y.sum() < len(y):
         net.constant = counts.get(1, 0) / sum(counts.values())
         return net
-    net.fit([np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for c in got["chunks"]], y)
+    net.fit([chunks_of(np.frombuffer(x, np.uint8), chunk_starts(len(x))) for x in got["data"]], y)
     net.shift = float(np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum())))
     net.pack()
     return net

@@ -12,8 +12,10 @@ bits; more use the best of 64 random codes.  Training takes a hashed sample of
 about ``per_language`` rows a language, as count vectors of fixed size.
 
 Defined cases: a null text, and a text without a letter, is ``und`` with score
-0; without training rows everything is; repeated rows get equal answers;
-columns other than id, text and (to learn) language are not read.
+0; without training rows everything is; of equally near codewords the first
+language by name; a null id is a training row (``held_out`` is false); repeated
+rows get equal answers; columns other than id, text and (to learn) language are
+not read.
 """
 
 from __future__ import annotations

@@ -15,16 +15,20 @@ count as often as they stand; columns other than the text are not read.
 from __future__ import annotations
 
 import base64
+import os
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strophe.llm._text import checkpoint
+from strophe.llm._text import add_columns, checkpoint
 
-#: Where a cluster keeps the vocabulary.
+#: Where every machine keeps the vocabulary (a file of its own, or one that
+#: ``SparkContext.addFile`` brought there; its name alone is then enough).
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split of the vocabulary's texts into pieces before merging (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -38,12 +42,22 @@ def encoder(path: str = VOCABULARY, pattern: str = PATTERN):
     if (path, pattern) not in _loaded:
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(path if os.path.exists(path) else SparkFiles.get(path), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _loaded[path, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return _loaded[path, pattern]
 
 
+def with_lengths(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with n_tokens, the encoded length."""
+
+    def make():
+        encode = encoder(path, pattern).encode_ordinary
+        return lambda text: [pa.array([len(encode(x)) if x else 0 for x in text.to_pylist()], pa.int64())]
+
+    return add_columns(docs, [text_col], [T.StructField("n_tokens", T.LongType())], make, keep=keep)
+
+
 def histogram(docs: DataFrame, *, text_col: str = "text", path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(n_tokens, n_docs), a row for each encoded length."""
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strophe.llm import byte_cnn, gif, language_id, lm_score, packing, token_counts, toxicity
+from strophe.llm import _learn, byte_cnn, gif, language_id, lm_score, packing, token_counts, toxicity
 from strophe.llm.gru import Gru
 from tests.llm.brute import alnum_words, solid_words
 
@@ -150,6 +150,72 @@ def plain_toxicity(text, lexicon, weights):
     return 1 / (1 + math.exp(-z))
 
 
+def test_quality_scores_whole_texts(docs, corpus):
+    """The score of every chunk of a whole text by plain loops over filters."""
+    net = byte_cnn.Network()
+    rng = np.random.default_rng(2)
+    net.c[...], net.shift = rng.normal(0, 0.5, net.c.shape), 0.3
+    net.pack()
+    got = {r["doc_id"]: r for r in byte_cnn.score(docs, net).collect()}
+    for r in corpus:
+        data = np.frombuffer((r[1] or "").encode(), np.uint8)
+        starts, pooled = byte_cnn.chunk_starts(len(data)), []
+        for a in starts.tolist():
+            x = np.zeros(byte_cnn.CHUNK, np.uint8)
+            x[: len(data[a : a + byte_cnn.CHUNK])] = data[a : a + byte_cnn.CHUNK]
+            best = np.zeros(byte_cnn.FILTERS)
+            for p in range(0, byte_cnn.CHUNK - byte_cnn.SPAN + 1, 2):
+                best = np.maximum(best, sum(net.t[k][x[p + k]] for k in range(byte_cnn.SPAN)) + net.c)
+            pooled.append(best)
+            if len(data) > 50_000 and len(pooled) > 4:
+                break
+        if len(pooled) == len(starts):
+            z = np.concatenate([np.mean(pooled, axis=0), np.max(pooled, axis=0)]) @ net.u + net.v[0] + net.shift
+            assert math.isclose(got[r[0]]["score"], 1 / (1 + math.exp(-z)), abs_tol=1e-4)
+        assert got[r[0]]["predicted"] == (got[r[0]]["score"] >= 0.3)
+
+
+def test_quality_sample_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(i, "word " * (20 if i % 3 else 4000)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    keep = byte_cnn.Network.fit
+    try:
+        byte_cnn.Network.fit = lambda self, texts, y, **_: seen.append(sum(map(len, texts)))
+        byte_cnn.learn(docs, labels, train_bytes=16 * 1024)  # the long ones are over a sixteenth
+        byte_cnn.learn(docs, labels, train_bytes=1 << 24)
+    finally:
+        byte_cnn.Network.fit = keep
+    assert seen == [40, 40 + 20 * len(byte_cnn.chunk_starts(20_000))]
+
+
+def test_language_decoding(docs, corpus):
+    """Distances by plain loops over bits, for whole texts; ties."""
+    model = language_id.learn(docs.withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") % 9).cast("string"))))
+    assert len(model.languages) > 7
+    got = {r["doc_id"]: r for r in language_id.predict(docs, model).collect()}
+    for r in corpus:
+        if not re.search(r"[^\W\d_]", r[1] or ""):
+            assert got[r[0]]["lang_pred"] == "und" and got[r[0]]["score"] == 0
+            continue
+        x = language_id.features(language_id.counts(np.frombuffer(r[1].encode(), np.uint8)))
+        margin = x @ model.w + model.b
+        far = [sum(t * math.log1p(math.exp(-m * c)) for t, m, c in zip(model.trust, margin, code, strict=True)) / sum(model.trust) for code in model.code]
+        assert math.isclose(far[model.languages.index(got[r[0]]["lang_pred"])], min(far), rel_tol=1e-4)
+        assert got[r[0]]["ambiguous"] == (sorted(far)[1] - min(far) < 0.5)
+    even = language_id.Model(np.zeros((4, language_id.WIDTH), np.float32), ["b", "a", "b", "a"])
+    even.w[...], even.b[...] = 0, 0
+    (row,) = language_id.predict(docs.where("doc_id = 6").limit(1), even).collect()
+    assert row["lang_pred"] == "a" and row["ambiguous"] and row["score"] == 0.5
+
+
+def test_too_many_labels_are_an_error(spark):
+    rows = spark.range(30).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("lang"))
+    assert len(_learn.sample_by_label(rows, "lang", "doc_id", 5)[1]) == 30
+    with pytest.raises(ValueError):
+        _learn.sample_by_label(rows, "lang", "doc_id", 5, most_labels=29)
+
+
 def test_toxicity_scores_whole_texts(spark, docs, corpus):
     own = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").union(docs.select(F.col("doc_id") + 10**6, "text"))
     lexicon = toxicity.seed_lexicon() | {"ther*": toxicity.SLUR, "ka": toxicity.SLUR, "of": toxicity.INSULT}
@@ -259,16 +325,42 @@ def test_best_bounds():
     assert packing.best_bounds([], [], 3) == []
 
 
+def batches(rows):
+    key = lambda r: (r["bucket"], r["slice"], r["batch"])
+    return [list(own) for _, own in itertools.groupby(sorted(rows, key=key), key=key)]
+
+
 def test_packing(docs, corpus, empty):
-    rows = packing.pack(docs, buckets=4, budget=2000, slice_batches=1).collect()
-    assert sorted(r["n_tokens"] for r in rows) == sorted(len((r[1] or "").encode()) + 1 for r in corpus)
-    for batch, own in itertools.groupby(sorted(rows, key=lambda r: (r["bucket"], r["slice"], r["batch"])), key=lambda r: (r["bucket"], r["slice"], r["batch"])):
-        own = list(own)
-        assert len(own) == 1 or sum(r["pad_to"] for r in own) <= 2000
-        assert sorted(r["place"] for r in own) == list(range(len(own))) and all(r["n_tokens"] <= r["pad_to"] for r in own)
+    in_bytes = packing.pack(docs, length=packing.byte_length(F.col("text")), buckets=4, budget=2000, slice_batches=1).collect()
+    in_tokens = packing.pack(docs, buckets=4, budget=2000, slice_batches=1).collect()
+    encode = token_counts.encoder().encode_ordinary
+    for rows, size in ((in_bytes, lambda t: len(t.encode())), (in_tokens, lambda t: len(encode(t)))):
+        assert sorted(r["n_tokens"] for r in rows) == sorted(size(r[1] or "") + 1 for r in corpus)
+        for own in batches(rows):
+            assert len(own) == 1 or sum(r["pad_to"] for r in own) <= 2000
+            assert sorted(r["place"] for r in own) == list(range(len(own))) and all(r["n_tokens"] <= r["pad_to"] for r in own)
     assert packing.pack(empty).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_packing_deals_rows_of_one_id(spark, doc_id):
+    docs = spark.range(20_000).select(F.lit(doc_id).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    rows = packing.pack(docs, buckets=2, budget=400, slice_batches=8).collect()
+    per_slice = collections.Counter((r["bucket"], r["slice"]) for r in rows)
+    assert len(rows) == 20_000 and len(per_slice) > 10 and max(per_slice.values()) < 3 * 20_000 / len(per_slice)
+    assert all(sum(r["pad_to"] for r in own) <= 400 and [r["doc_id"] for r in own] == [doc_id] * len(own) for own in batches(rows))
+
+
+def test_packing_of_the_documents(spark):
+    """What the batches hold, against a plain histogram and dynamic programme."""
+    texts = [r["text"] for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()]
+    n = collections.Counter(len(token_counts.encoder().encode_ordinary(t or "")) + 1 for t in texts)
+    bounds = packing.best_bounds(sorted(n), [n[x] for x in sorted(n)], 16)
+    rows = packing.op9_length_bucket_packing(spark, DIR).collect()
+    assert collections.Counter((r["n_tokens"], r["pad_to"]) for r in rows) == {(x, min(b for b in bounds if b >= x)): k for x, k in n.items()}
+    assert all(len(own) == 1 or sum(r["pad_to"] for r in own) <= 65_536 for own in batches(rows))
+
+
 def test_gru_gradients():
     net = Gru(2, 3, 4)
     for p in net.params():
@@ -369,17 +461,6 @@ def test_lm_beats_the_base(spark, size):
     assert r["score"] / r["n"] > r["base"] / r["n"] + 0.3 and r["score"] / r["n"] > -4 and r["most"] < 0
 
 
-def test_pipeline(spark):
-    import corpus_pipeline as p
-
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("score", F.lit("own")).withColumn("hit_spans", F.lit(1))
-    for i, (_, stage) in enumerate(p.STAGES):
-        out = stage(spark, docs, "/root/testdata/sf0.001")
-        assert i == len(p.STAGES) - 1 or out.columns == docs.columns
-        assert 0 < out.count() <= docs.count()
-        docs = out
-
-
 def test_lm_learns_from_all_texts(spark):
     """The network learns word pairs that only texts beyond the start have."""
     rng = random.Random(5)
