@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strophe.functions.arrays import scan_blocks
+
 SPAN = 0.035
 
 
@@ -20,10 +22,11 @@ def onset_groups(notes: DataFrame, span: float = SPAN) -> DataFrame:
     cut = notes.withColumn("cut", F.when(gap <= span, 0).otherwise(1)).withColumn("island", F.sum("cut").over(w))
     fields = [c for c in notes.columns if c not in ("session_id", "start_s", "midi_note", "event_id")]
     packed = cut.groupBy("session_id", "island").agg(F.array_sort(F.collect_list(F.struct("start_s", "midi_note", "event_id", *fields))).alias("a"))
-    anchors = F.expr(
-        f"aggregate(a, named_struct('at', cast(null as double), 'out', cast(array() as array<double>)), (s, x) -> named_struct("
-        f"'at', if(s.at is null or x.start_s - s.at > {span}D, x.start_s, s.at), 'out', concat(s.out, array(if(s.at is null or x.start_s - s.at > {span}D, x.start_s, s.at)))), s -> s.out)"
-    )
+    def step(at, x):
+        anchor = F.when(at.isNull() | (x["start_s"] - at > span), x["start_s"]).otherwise(at)
+        return anchor, F.array(anchor)
+
+    anchors = scan_blocks(F.col("a"), F.lit(None).cast("double"), F.array().cast("array<double>"), step)
     out = packed.select("session_id", F.explode(F.arrays_zip("a", anchors.alias("anchor"))).alias("x"))
     return out.select("session_id", *[F.col(f"x.a.{c}").alias(c) for c in notes.columns if c != "session_id"], F.col("x.anchor").alias("anchor"))
 

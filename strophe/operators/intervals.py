@@ -141,4 +141,4 @@ def merged_keys(existing: DataFrame, updated: DataFrame, cutoff: float) -> DataF
 
 def merged_chords(existing: DataFrame, updated: DataFrame, cutoff: float) -> DataFrame:
     """``merge_chords`` for every session, up to its latest end."""
-    return _merged(existing, updated, ("chord", "key"), merge_chords, cutoff)
+    return _merged(existing, updated, ("chord", "key", "function"), merge_chords, cutoff)

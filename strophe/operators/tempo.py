@@ -125,9 +125,14 @@ def ticks(tempo: DataFrame, times: DataFrame, ppq: int = 480) -> DataFrame:
     pieces = tempo.withColumn("from_s", begin)
     pieces = pieces.withColumn("to_s", F.lead("from_s").over(w))
     done = F.coalesce(F.sum((F.col("to_s") - F.col("from_s")) * F.col("bpm") * ppq / 60.0).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    pieces = pieces.select("session_id", "from_s", "to_s", F.col("bpm").alias("piece_bpm"), done.alias("done"), F.lag("from_s").over(w).isNull().alias("is_first"))
-    inside = ((F.col("at_s") > F.col("from_s")) | F.col("is_first")) & (F.col("to_s").isNull() | (F.col("at_s") <= F.col("to_s")))
-    return times.join(pieces, "session_id").where(inside).select("session_id", "event_id", "at_s", F.rint(F.col("done") + F.greatest(F.lit(0.0), F.col("at_s") - F.col("from_s")) * F.col("piece_bpm") * ppq / 60.0).cast("long").alias("tick"))
+    first = F.lag("from_s").over(w).isNull()
+    piece = F.struct("from_s", "bpm", done.alias("done"))
+    # pieces and times in one window: a time takes the last piece that begins before it, the first piece at the latest
+    p = pieces.select("session_id", F.when(first, F.lit(float("-inf"))).otherwise(F.col("from_s")).alias("at"), F.lit(1).alias("kind"), F.col("event_id").alias("turn"), piece.alias("piece"), F.lit(None).cast("long").alias("event_id"))
+    t = times.select("session_id", F.col("at_s").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("turn"), F.lit(None).cast(p.schema["piece"].dataType).alias("piece"), "event_id")
+    before = Window.partitionBy("session_id").orderBy("at", "kind", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    x = p.unionByName(t).withColumn("piece", F.last("piece", ignorenulls=True).over(before)).where("kind = 0 and piece is not null")
+    return x.select("session_id", "event_id", F.col("at").alias("at_s"), F.rint(F.col("piece.done") + F.greatest(F.lit(0.0), F.col("at") - F.col("piece.from_s")) * F.col("piece.bpm") * ppq / 60.0).cast("long").alias("tick"))
 
 
 #: Ratios between metric levels that a tempo may be mistaken for.

@@ -49,12 +49,22 @@ def nearest(value: Column, grid) -> Column:
     return F.array_min(F.array(*[F.struct(F.abs(value - g).alias("far"), F.lit(i).alias("i"), F.lit(float(g)).alias("value")) for i, g in enumerate(grid)]))["value"]
 
 
+def timed_groups(groups: DataFrame, beats: DataFrame) -> DataFrame:
+    """Onset groups (session_id, onset_s, anchor, size, spread_s) with n, the
+    groups of their session, and the beat that they follow."""
+    times = group_times(groups).withColumn("n", F.count("*").over(Window.partitionBy("session_id")))
+    return asof_beat(times, beat_spans(beats))
+
+
+def errors_of(timed: DataFrame) -> DataFrame:
+    """``grid_errors`` of timed groups."""
+    return timed.where("n >= 8").select("session_id", "onset_s", ((F.col("phase") - nearest(F.col("phase"), PHASES)) * F.col("period_s")).alias("error_s"))
+
+
 def grid_errors(notes: DataFrame, beats: DataFrame) -> DataFrame:
     """session_id, onset_s, error_s: signed distance from the nearest phase;
     sessions of eight onset groups or more."""
-    times = group_times(onset_groups(notes)).withColumn("n", F.count("*").over(Window.partitionBy("session_id"))).where("n >= 8").select("session_id", "onset_s")
-    x = asof_beat(times, beat_spans(beats))
-    return x.select("session_id", "onset_s", ((F.col("phase") - nearest(F.col("phase"), PHASES)) * F.col("period_s")).alias("error_s"))
+    return errors_of(timed_groups(onset_groups(notes), beats))
 
 
 def grid_statistics(errors: DataFrame, beats: DataFrame) -> DataFrame:
@@ -92,8 +102,12 @@ def articulation(notes: DataFrame, beats: DataFrame) -> DataFrame:
     """session_id, spread_p90, pair_mad: attack spreads in beats, and how
     repeatable the offsets of pitch pairs are; nulls without evidence."""
     groups = onset_groups(notes)
-    times = group_times(groups).where("size >= 2").select("session_id", "onset_s", "anchor", "spread_s")
-    timed = asof_beat(times, beat_spans(beats)).withColumn("spread", F.col("spread_s") / F.col("period_s"))
+    return attacks_of(groups, timed_groups(groups, beats))
+
+
+def attacks_of(groups: DataFrame, timed: DataFrame) -> DataFrame:
+    """``articulation`` of onset groups and their times."""
+    timed = timed.where("size >= 2").withColumn("spread", F.col("spread_s") / F.col("period_s"))
     spreads = timed.groupBy("session_id").agg(F.count("*").alias("n"), F.percentile("spread", 0.9).alias("spread_p90")).where("n >= 8").drop("n")
     # pairs inside of a group of notes struck together (at most 35 ms)
     own = groups.join(timed.select("session_id", "anchor", "period_s"), ["session_id", "anchor"]).groupBy("session_id", "anchor", "period_s").agg(F.array_sort(F.collect_list(F.struct("midi_note", "start_s", "event_id"))).alias("a"))
@@ -116,8 +130,9 @@ def human_score(notes: DataFrame, tempo: DataFrame, beats: DataFrame) -> DataFra
     w = T.by_time()
     lagged = tempo.withColumn("before", F.lag("bpm").over(w)).groupBy("session_id").agg(F.count("*").alias("points"), F.corr("before", "bpm").alias("lag1"))
     s = T.summary(tempo).join(lagged, "session_id").join(T.score_features(tempo), "session_id")
-    errors = grid_errors(notes, beats)
-    s = s.join(mechanical_evidence(grid_statistics(errors, beats)), "session_id", "left").join(chord_onset_metrics(onset_groups(notes)), "session_id", "left").join(articulation(notes, beats), "session_id", "left")
+    groups = onset_groups(notes)
+    timed = timed_groups(groups, beats)
+    s = s.join(mechanical_evidence(grid_statistics(errors_of(timed), beats)), "session_id", "left").join(chord_onset_metrics(groups), "session_id", "left").join(attacks_of(groups, timed), "session_id", "left")
     average = F.greatest("average_bpm", F.lit(1.0))
     pattern = F.when((F.col("points") > 3) & (F.col("bpm_std") > 1e-9), F.coalesce(F.abs(F.nanvl("lag1", F.lit(0.0))), F.lit(0.0))).otherwise(0.0)
     tempo_human = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * (F.col("bpm_std") / average / 0.045) * (0.65 + 0.35 * pattern)))

@@ -477,8 +477,9 @@ def _(spark, d):
 
 @query("chord_segments")
 def _(spark, d):
-    c = H.chroma(_notes(spark, d))
-    return _rounded(H.chord_segments(c, H.key_segments(c)))
+    n = _notes(spark, d)
+    c = H.chroma(n)
+    return _rounded(H.chord_segments(c, H.key_segments(c), G.polyphony(G.onset_groups(n))))
 
 
 @query("note_names", """ select session_id, event_id, ['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'][midi_note % 12 + 1] || (midi_note // 12 - 1) as note_name, round(440 * pow(2.0, (midi_note - 69) / 12.0::double), 6) as frequency,
@@ -528,7 +529,7 @@ def _(spark, d):
     n = _notes(spark, d)
     old, new = (H.chroma(x) for x in (I.visible(n, 30.0), n))
     one = lambda c: H.chord_segments(c, H.key_segments(c))
-    return _rounded(I.merged_chords(one(old), one(new), 18.0).withColumn("function", H.function_of(F.col("chord"), F.col("key"))))
+    return _rounded(I.merged_chords(one(old), one(new), 18.0))
 
 
 @query("meter_hysteresis")
