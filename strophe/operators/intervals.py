@@ -141,4 +141,5 @@ def merged_keys(existing: DataFrame, updated: DataFrame, cutoff: float) -> DataF
 
 def merged_chords(existing: DataFrame, updated: DataFrame, cutoff: float) -> DataFrame:
     """``merge_chords`` for every session, up to its latest end."""
-    return _merged(existing, updated, ("chord", "key", "function"), merge_chords, cutoff)
+    names = tuple(c for c in ("chord", "key", "function") if c in existing.columns and c in updated.columns)
+    return _merged(existing, updated, names, merge_chords, cutoff)

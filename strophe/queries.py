@@ -35,6 +35,11 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def _inside(name: str) -> str:
+    """A query's SQL as a table, its numbers (nearly) as they were before rounding."""
+    return "(" + SQL[name].replace(", 6)", ", 14)").replace(", 9)", ", 14)") + ")"
+
+
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
@@ -248,7 +253,20 @@ def _(spark, d):
     return _rounded(X.articulation(_notes(spark, d), _beats(spark, d)))
 
 
-@query("human_score")
+LOGISTIC = " + ".join(f"{w!r} * ({v} - {m!r}) / {k!r}" for v, w, m, k in zip(
+    ("step_median", "step_p90", "stable_ratio", "high_frequency", "low_frequency", "grid_accuracy / 100", "deviation_ms * a / 60000", "exact_ratio / 100", "polyphonic_ratio / 100", "median_spread_s * a / 60", f"coalesce(spread_p90, {X.MEAN[10]!r})", f"coalesce(pair_mad, {X.MEAN[11]!r})"),
+    X.WEIGHT, X.MEAN, X.SCALE, strict=True))
+HUMAN = f""", lg as (select session_id, count(*) as points, corr(before, bpm) as lag1 from (select *, lag(bpm) over (partition by session_id order by time_s, event_id) as before from tempo) group by 1),
+js as (select *, greatest(average_bpm, 1) as a from {_inside("tempo_summary")} join lg using (session_id) join {_inside("tempo_features")} using (session_id)
+  left join {_inside("grid_stats")} using (session_id) left join {_inside("chord_onset_metrics")} using (session_id) left join {_inside("articulation")} using (session_id)),
+je as (select *, case when points > 3 and bpm_std > 1e-9 then coalesce(abs(case when isnan(lag1) then 0 else lag1 end), 0) else 0 end as pattern, 100 / (1 + exp(-(grid_accuracy - 90) / 1.5)) as gm, 100 / (1 + exp(-greatest(-60, least(60, (5.75 - local_error_ms) / 0.75)))) as lm,
+  100 / (1 + exp(-greatest(-30, least(30, {X.INTERCEPT!r} + {LOGISTIC})))) as calibrated,
+  least(100 / (1 + exp(-greatest(-60, least(60, (step_p90 - 0.030) / 0.0075)))), 100 / (1 + exp(-greatest(-60, least(60, (1 - grid_accuracy / 100 - 0.150) / 0.025))))) as joint from js),
+jt as (select *, greatest(0, least(100, 100 * (bpm_std / a / 0.045) * (0.65 + 0.35 * pattern))) as tempo_human from je),
+jh as (select *, greatest(0, least(100, case when grid_accuracy is null then tempo_human when exact_ratio is not null then greatest(calibrated, joint) else 100 - least(greatest(gm, coalesce(lm, gm)), 100 - tempo_human) end)) as human from jt)"""
+
+
+@query("human_score", HUMAN + " select session_id, round(bpm_std, 6) as bpm_std, round(coalesce(grid_accuracy, 0), 6) as grid_accuracy, round(coalesce(deviation_ms, 0), 6) as deviation_ms, round(human, 6) as human_score, round(100 - human, 6) as mechanical_index from jh")
 def _(spark, d):
     return _rounded(X.human_score(_notes(spark, d), _tempo(spark, d), _beats(spark, d)))
 
@@ -275,12 +293,16 @@ def _profile_rows() -> str:
     return ", ".join(rows)
 
 
-KEYS = f""" with v as (select vec_id, list_transform(embedding[1:12], lambda x: abs(x::double)) as c from embeddings),
-z as (select vec_id, c, list_sum(c) / 12 as m, sqrt(list_sum(list_transform(c, lambda x: (x - list_sum(c) / 12) * (x - list_sum(c) / 12))) / 12) as s from v),
+def _scored_keys(ids: str) -> str:
+    """Over v (ids, c): ky with the best key's root and major, and the two best scores."""
+    return f""", z as (select {ids}, c, list_sum(c) / 12 as m, sqrt(list_sum(list_transform(c, lambda x: (x - list_sum(c) / 12) * (x - list_sum(c) / 12))) / 12) as s from v),
 p(root, major, w) as (values {_profile_rows()}),
-sc as (select vec_id, c, root, major, list_sum(list_transform(range(1, 13), lambda i: (c[i] - m) / (s + 1e-9) * w[i])) as score from z, p),
-rk as (select *, row_number() over (partition by vec_id order by score desc, root desc, major desc) as r from sc),
-ky as (select vec_id, any_value(c) as c, max(root) filter (r = 1) as root, bool_or(major) filter (r = 1) as major, max(score) filter (r = 1) as s1, max(score) filter (r = 2) as s2 from rk where r <= 2 group by 1)"""
+sc as (select {ids}, c, root, major, list_sum(list_transform(range(1, 13), lambda i: (c[i] - m) / (s + 1e-9) * w[i])) as score from z, p),
+rk as (select *, row_number() over (partition by {ids} order by score desc, root desc, major desc) as r from sc),
+ky as (select {ids}, any_value(c) as c, max(root) filter (r = 1) as root, bool_or(major) filter (r = 1) as major, max(score) filter (r = 1) as s1, max(score) filter (r = 2) as s2 from rk where r <= 2 group by {ids})"""
+
+
+KEYS = " with v as (select vec_id, list_transform(embedding[1:12], lambda x: abs(x::double)) as c from embeddings)" + _scored_keys("vec_id")
 
 
 @query("key_detect", KEYS + " select vec_id, root, major as is_major, round(greatest(0, least(1, (s1 - s2) / (abs(s1) + 1e-9))), 6) as key_confidence from ky")
@@ -296,18 +318,71 @@ def _template_rows() -> str:
     return ", ".join(rows)
 
 
-@query("chord_classify", KEYS + f""", t(r, k, chord, tones, tension) as (values {_template_rows()}),
-x as (select vec_id, t.r as chord_root, k, t.chord, list_sum(list_transform(tones, lambda i: c[i + 1])) as inside, list_sum(c) as total, len(list_filter(tones, lambda i: c[i + 1] < 0.055)) as missing, len(tones) as n, tension,
+def _scored_chords(ids: str) -> str:
+    """Over ky (ids, c, root, major): w with the templates in order (rn) and whether the vector is silent."""
+    return f""", t(r, tk, chord, tones, tension) as (values {_template_rows()}),
+x as (select {ids}, t.r as chord_root, tk, t.chord, list_sum(list_transform(tones, lambda i: c[i + 1])) as inside, list_sum(c) as total, len(list_filter(tones, lambda i: c[i + 1] < 0.055)) as missing, len(tones) as n, tension,
   list_contains(case when major then [0, 2, 4, 5, 7, 9, 11] else [0, 2, 3, 5, 7, 8, 10] end, (t.r - root + 12) % 12) as diatonic, list_max(c) as top, len(list_filter(c, lambda q: q >= greatest(0.055, list_max(c) * 0.16))) as active from ky, t),
-y as (select *, inside - 0.42 * (total - inside) - 0.075 * missing - 0.025 * greatest(0, n - 3) + case when diatonic then 0.09 else 0 end + tension as score from x),
-w as (select *, row_number() over (partition by vec_id order by round(score, 9) desc, chord_root, k) as rn from y)
-select vec_id, case when total < 1e-7 or top < 0.14 or active < 2 then 'N' else chord end as chord, case when total < 1e-7 or top < 0.14 or active < 2 then 0 else chord_root end as chord_root,
-  round(case when total < 1e-7 or top < 0.14 or active < 2 then 0 else greatest(0, least(1, (score + 0.2) / 1.2)) end, 6) as chord_confidence from w where rn = 1""")
+y as (select *, inside - 0.42 * (total - inside) - 0.075 * missing - 0.025 * greatest(0, n - 3) + case when diatonic then 0.09 else 0 end + tension as score, total < 1e-7 or top < 0.14 or active < 2 as silent from x),
+w as (select *, row_number() over (partition by {ids} order by round(score, 9) desc, chord_root, tk) as rn from y),
+ct as (select {ids}, case when silent then 'N' else chord end as chord, case when silent then 0 else chord_root end as chord_root, case when silent then 0 else greatest(0, least(1, (score + 0.2) / 1.2)) end as sure from w where rn = 1)"""
+
+
+@query("chord_classify", KEYS + _scored_chords("vec_id") + " select vec_id, chord, chord_root, round(sure, 6) as chord_confidence from ct")
 def _(spark, d):
     return _rounded(H.classify_chord(H.detect_key(_vectors(spark, d))).select("vec_id", "chord", "chord_root", "chord_confidence"))
 
 
-@query("key_segments")
+#: The views, for queries that recur.
+RECURSIVE = V.SQL.lstrip().replace("with ", "with recursive ", 1)
+NAMES_SQL = str(list(M.NAMES))
+
+#: Key windows (of 96 frames, every 32), keys, and the fold over them, from the chroma rows ch.
+KEY_SEGMENTS = f""", nf as (select session_id, max(frame) + 1 as n from ch group by 1),
+wk as (select session_id, n, unnest(range(0, cast((n - 1) // 32 as int) + 1)) as k from nf),
+wa as (select session_id, n, k, k * 32 as lo, least(n, k * 32 + 96) as hi from wk union all select session_id, n, -1, 0, n from nf),
+v as (select session_id, k, n, list(v order by pc) as c from (select w.session_id, w.k, w.n, pc, coalesce(sum(weight), 0) / any_value(hi - lo) as v from wa w cross join range(12) as g(pc) left join ch c on c.session_id = w.session_id and c.pitch_class = pc and c.frame >= lo and c.frame < hi group by 1, 2, 3, 4) group by 1, 2, 3)
+{_scored_keys("session_id, k, n")},
+kn as (select session_id, k, n, case when list_sum(c) > 1e-8 then {NAMES_SQL}[root + 1] || case when major then ' major' else ' minor' end else 'Unknown' end as name, case when list_sum(c) > 1e-8 then greatest(0, least(1, (s1 - s2) / (abs(s1) + 1e-9))) else 0 end as c from ky),
+ld as (select session_id, max_by(name, c - k * 1e-15) as name, max(c) as c from kn where k between 0 and 2 group by 1),
+ov as (select o.session_id, o.n, o.c as oc, case when ld.c >= 0.04 and ld.name <> 'Unknown' then ld.name else o.name end as key from kn o join ld using (session_id) where k = -1),
+kf as (select session_id, -1::bigint as k, n, oc, key, 0::double as b, 0::double as cs, 0 as cn, null::varchar as rn, 0::double as ra, 0::double as rs, 0 as rc, null::varchar as closed, null::double as cb, null::double as ce, null::double as cc from ov
+  union all
+  select session_id, k, n, oc, case when won then name else key end, case when won then na else b end, case when won then ns when own then cs + c else cs end, case when won then nc when own then cn + 1 else cn end,
+    case when own or won then null else name end, na, case when own or won then 0 else ns end, case when own or won then 0 else nc end, case when won then key end, b, na, case when cn > 0 then cs / cn else oc end
+  from (select *, not own and nc > 1 and ns / nc >= 0.06 as won from (
+    select f.session_id, w.k::bigint as k, f.n, f.oc, f.key, f.b, f.cs, f.cn, w.c, w.name, w.name = 'Unknown' or w.c < 0.04 or w.name = f.key as own,
+      case when f.rn = w.name then f.ra else w.k * 4::double end as na, case when f.rn = w.name then f.rs + w.c else w.c end as ns, case when f.rn = w.name then f.rc + 1 else 1 end as nc
+    from kf f join kn w on w.session_id = f.session_id and w.k = f.k + 1))),
+ks as (select session_id, cb as start_s, ce as end_s, closed as key, cc as confidence from kf where closed is not null and ce > cb
+  union all select session_id, b, n / 8::double, key, case when cn > 0 then cs / cn else oc end from kf where k = (n - 1) // 32 and n / 8::double > b)"""
+
+#: Chord windows (of 10 frames, every 5), their repair in two passes and their runs, from ch and ks.
+CHORD_SEGMENTS = f""", cw as (select session_id, n, unnest(range(0, cast((n - 1) // 5 as int) + 1)) as k from nf),
+cv as (select session_id, k, n, list(v order by pc) as c from (select w.session_id, w.k, w.n, pc, coalesce(sum(weight), 0) / any_value(least(10, w.n - w.k * 5)) as v from cw w cross join range(12) as g(pc) left join ch c on c.session_id = w.session_id and c.pitch_class = pc and c.frame >= w.k * 5 and c.frame < w.k * 5 + 10 group by 1, 2, 3, 4) group by 1, 2, 3),
+ck as (select *, k * 5 / 8::double as a, least(n, k * 5 + 5) / 8::double as b from cv),
+la as (select session_id, max_by(key, start_s) as final from ks group by 1),
+cj as (select ck.*, coalesce(s.key, la.final, 'Unknown') as key from ck left join ks s on s.session_id = ck.session_id and s.start_s <= (a + b) / 2 and (a + b) / 2 < s.end_s left join la on la.session_id = ck.session_id),
+ky2 as (select session_id, k, n, a, b, key, c, coalesce(list_position({NAMES_SQL}, split_part(key, ' ', 1)) - 1, 0) as root, key = 'Unknown' or suffix(key, ' major') as major from cj)
+{_scored_chords("session_id, k").replace("from ky, t", "from ky2, t")},
+cn as (select session_id, k, n, a, b, key, chord, sure, case when chord = 'N' then '' else coalesce(case when major then case (chord_root - root + 12) % 12 when 0 then 'I' when 2 then 'ii' when 4 then 'iii' when 5 then 'IV' when 7 then 'V' when 9 then 'vi' when 11 then 'vii°' end
+  else case (chord_root - root + 12) % 12 when 0 then 'i' when 2 then 'ii°' when 3 then 'III' when 5 then 'iv' when 7 then 'V' when 8 then 'VI' when 10 then 'VII' end end, printf('%+d', (chord_root - root + 12) % 12)) || case when suffix(chord, '7') then '7' else '' end end as function from ct join ky2 using (session_id, k)),
+n1 as (select *, lead(chord) over w as next, lead(sure) over w as ns from cn window w as (partition by session_id order by k)),
+r1 as (select session_id, k, chord, function, sure from n1 where k = 0 union all
+  select f.session_id, o.k, case when fix then f.chord else o.chord end, case when fix then f.function else o.function end, case when fix then (f.sure + ns) / 2 else o.sure end
+  from (select *, k - 1 as pk from n1) o join r1 f on f.session_id = o.session_id and f.k = o.pk, lateral (select coalesce(f.chord = o.next and o.chord <> f.chord, false) as fix)),
+n2 as (select *, lead(chord) over w as next, lead(sure) over w as ns from r1 window w as (partition by session_id order by k)),
+r2 as (select session_id, k, chord, function, sure from n2 where k = 0 union all
+  select f.session_id, o.k, case when fix then f.chord else o.chord end, case when fix then f.function else o.function end, case when fix then (f.sure + ns) / 2 else o.sure end
+  from (select *, k - 1 as pk from n2) o join r2 f on f.session_id = o.session_id and f.k = o.pk, lateral (select coalesce(f.chord = o.next and o.chord <> f.chord, false) as fix)),
+m0 as (select r2.*, a, b, key from r2 join cn using (session_id, k)),
+mg as (select session_id, k, chord, key, function, sure, a, b, 0 as run from m0 where k = 0 union all
+  select o.session_id, o.k, o.chord, o.key, o.function, case when same then (f.sure + o.sure) / 2 else o.sure end, case when same then f.a else o.a end, o.b, case when same then f.run else f.run + 1 end
+  from (select *, k - 1 as pk from m0) o join mg f on f.session_id = o.session_id and f.k = o.pk, lateral (select f.chord = o.chord and f.key = o.key as same)),
+cs as (select session_id, a as start_s, b as end_s, chord, key, function, sure as confidence from mg qualify row_number() over (partition by session_id, run order by k desc) = 1)"""
+
+
+@query("key_segments", RECURSIVE + CHROMA + KEY_SEGMENTS + " select session_id, round(start_s, 6) as start_s, round(end_s, 6) as end_s, key, round(confidence, 6) as confidence from ks")
 def _(spark, d):
     return _rounded(H.key_segments(H.chroma(_notes(spark, d))))
 
@@ -454,6 +529,13 @@ def _(spark, d):
     return _rounded(E.tempo_motion(_tempo(spark, d)))
 
 
+def _features_sql() -> str:
+    neutral = {c: v for c, v in E.NEUTRAL.items()}
+    parts = " ".join(f"left join {_inside(n)} using (session_id)" for n in ("tempo_features", "ev_tempo", "ev_grid", "ev_grid_stages", "ev_repeat", "ev_artic", "ev_duration"))
+    own = ", ".join(f"round(coalesce({c}, {v}), 6) as {c}" for c, v in neutral.items())
+    return f" select session_id, round(coalesce(columns(* exclude (session_id, {', '.join(neutral)})), 0), 6), {own} from (select distinct user_id as session_id from events) {parts}"
+
+
 @query("feature_row")
 def _(spark, d):
     return _rounded(E.feature_row(_notes(spark, d), _tempo(spark, d), _beats(spark, d)))
@@ -470,12 +552,22 @@ def _(spark, d):
     return _rounded(E.local_grid(_notes(spark, d), _beats(spark, d)))
 
 
-@query("valid_window")
+@query("valid_window", """, du as (select session_id, max(end_s) as d from notes group by 1),
+o1 as (select session_id, start_s, end_s, max(end_s) over (partition by session_id order by start_s, end_s rows between unbounded preceding and 1 preceding) as reach from notes),
+o2 as (select *, sum(case when reach is null or start_s > reach then 1 else 0 end) over (partition by session_id order by start_s, end_s rows unbounded preceding) as island from o1),
+iv as (select session_id, min(start_s) as lo, max(end_s) as hi from o2 group by session_id, island),
+en as (select distinct session_id, d, greatest(5, least(d, unnest([d, 5, end_s, start_s + 5]))) as e from notes join du using (session_id) where d >= 5),
+sh as (select session_id, e, sum(greatest(0, least(hi, e) - greatest(lo, e - 5))) / 5 as share from en join iv using (session_id) group by 1, 2),
+fi as (select session_id, min(e) as e from sh where share >= 0.15 group by 1),
+vf as (select f.session_id, min(start_s) as v from fi f join notes n on n.session_id = f.session_id and end_s > e - 5 and start_s < e group by 1)
+select d.session_id, round(v, 6) as valid_from, round(coalesce((select share from sh join fi on fi.session_id = sh.session_id and fi.e = sh.e where sh.session_id = d.session_id), (select max(share) from sh where sh.session_id = d.session_id), 0), 6) as coverage from du d left join vf using (session_id)""")
 def _(spark, d):
     return _rounded(K.valid_windows(_notes(spark, d)))
 
 
-@query("chord_segments")
+@query("chord_segments", RECURSIVE + CHROMA + KEY_SEGMENTS + CHORD_SEGMENTS + f""", po as (select * from {_inside("polyphony")})
+select session_id, round(start_s, 6) as start_s, round(end_s, 6) as end_s, chord, key, function, round(confidence, 6) as confidence from (
+  select cs.* from cs join po using (session_id) where polyphonic union all select session_id, start_s, end_s, 'N', key, '', confidence from ks join po using (session_id) where not polyphonic)""")
 def _(spark, d):
     n = _notes(spark, d)
     c = H.chroma(n)
@@ -532,7 +624,14 @@ def _(spark, d):
     return _rounded(I.merged_chords(one(old), one(new), 18.0))
 
 
-@query("meter_hysteresis")
+@query("meter_hysteresis", """with recursive o as (select user_id as session_id, event_id as seq, [3, 4, 6, null][cast(event_id // 1500 as int) % 4 + 1] as m, row_number() over (partition by user_id order by event_id) as i from events),
+f as (select distinct session_id, 0::bigint as i, null::bigint as seq, null::int as stable, null::int as rival, 0 as runs, null::int as meter, false as changed from o
+  union all
+  select session_id, i, seq, case when won then m else stable end, case when m is null then rival when same or won then null else m end, case when m is null then runs when same or won then 0 else more end,
+    case when m is null then coalesce(stable, rival, 4) when same or won then m else coalesce(stable, m) end, won and stable is not null
+  from (select *, m is not null and not same and more >= case when stable is null then 3 else 8 end as won from (
+    select f.session_id, o.i, o.seq, o.m, f.stable, f.rival, f.runs, coalesce(o.m = f.stable, false) as same, case when coalesce(o.m = f.rival, false) then f.runs + 1 else 1 end as more from f join o on o.session_id = f.session_id and o.i = f.i + 1)))
+select session_id, seq, meter, changed from f where i > 0""")
 def _(spark, d):
     e = V.read(spark, d).select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.element_at(F.array(F.lit(3), F.lit(4), F.lit(6), F.lit(None).cast("int")), (F.floor(F.col("event_id") / 1_500) % 4 + 1).cast("int")).alias("meter"))
     return B.settled_meters(e)
@@ -624,3 +723,6 @@ def _(spark, d):
 def _(spark, d):
     e = V.read(spark, d).select("event_id", Settings.parsed(F.replace(F.col("props"), F.lit('"k"'), F.lit('"signal_threshold_db"'))).alias("s"))
     return e.select("event_id", "s.sample_rate", "s.signal_threshold_db", "s.recording_mode")
+
+
+SQL["feature_row"] = V.SQL + _features_sql()
