@@ -65,3 +65,17 @@ def chord_onset_metrics(groups: DataFrame) -> DataFrame:
         F.when(enough, 100.0 * n / F.count("*")).alias("polyphonic_ratio"),
         F.when(enough, F.median(F.when(multi, F.col("spread_s")))).alias("median_spread_s"),
     )
+
+
+def unique_starts(notes: DataFrame, least: int = 4) -> DataFrame:
+    """session_id, starts, sparse: different starts at three digits, and
+    whether these are fewer than ``least``."""
+    g = notes.groupBy("session_id").agg(F.countDistinct(F.bround("start_s", 3)).alias("starts"))
+    return g.withColumn("sparse", F.col("starts") < least)
+
+
+def strongest(levels: DataFrame, level: str, k: int = 12) -> DataFrame:
+    """levels (session_id, frame, pitch, ...) less all but the ``k`` strongest
+    of each frame, of equals the lower pitch."""
+    w = Window.partitionBy("session_id", "frame").orderBy(F.desc(level), "pitch")
+    return levels.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

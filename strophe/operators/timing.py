@@ -93,6 +93,11 @@ def mechanical_evidence(stats: DataFrame) -> DataFrame:
     return stats.withColumn("grid_mechanical", _logistic((F.col("grid_accuracy") - 90.0) / 1.5)).withColumn("local_mechanical", _logistic((F.lit(5.75) - F.col("local_error_ms")) / 0.75))
 
 
+def chord_evidence(exact_ratio: Column, polyphonic_ratio: Column) -> Column:
+    """How mechanical the chord attacks are; null without them."""
+    return F.when(exact_ratio.isNotNull(), F.greatest(_logistic((exact_ratio - 45.0) / 3.0), _logistic((polyphonic_ratio - 46.0) / 3.0)))
+
+
 def joint_evidence(step_p90: Column, grid_accuracy: Column) -> Column:
     """High only where both the tempo moves and the grid is loose."""
     return F.least(_logistic((step_p90 - 0.030) / 0.0075), _logistic((1.0 - grid_accuracy / 100.0 - 0.150) / 0.025))

@@ -13,13 +13,14 @@ from strophe.operators import grouping as G
 from strophe.operators import harmony as H
 from strophe.operators import intervals as I
 from strophe.operators import kernels as K
+from strophe.operators import sessions as Z
 from strophe.operators import signal as S
 from strophe.operators import tempo as T
 from strophe.operators import timing as X
 from strophe.operators import tracking as Y
 from strophe.plans import views as V
+from strophe.sources import export, midi, synthetic
 from strophe.sources import settings as Settings
-from strophe.sources import synthetic
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -725,4 +726,110 @@ def _(spark, d):
     return e.select("event_id", "s.sample_rate", "s.signal_threshold_db", "s.recording_mode")
 
 
+
+VALID = """, du as (select session_id, max(end_s) as d from notes group by 1),
+o1 as (select session_id, start_s, end_s, max(end_s) over (partition by session_id order by start_s, end_s rows between unbounded preceding and 1 preceding) as reach from notes),
+o2 as (select *, sum(case when reach is null or start_s > reach then 1 else 0 end) over (partition by session_id order by start_s, end_s rows unbounded preceding) as island from o1),
+iv as (select session_id, min(start_s) as lo, max(end_s) as hi from o2 group by session_id, island),
+en as (select distinct session_id, d, least(d, 5) as z, greatest(least(d, 5), least(d, unnest([d, 5, end_s, start_s + least(d, 5)]))) as e from notes join du using (session_id) where d > 0),
+sh as (select session_id, any_value(d) as d, e, sum(greatest(0, least(hi, e) - greatest(lo, e - z))) / any_value(z) as share from en join iv using (session_id) group by session_id, e),
+fi as (select session_id, min(e) as e from sh where share >= 0.15 group by 1),
+vf as (select f.session_id, any_value(e) as valid_at, min(start_s) as valid_from from fi f join du using (session_id) join notes n on n.session_id = f.session_id and end_s > e - least(d, 5) and start_s < e group by 1)"""
+
+
+@query("finalise", VALID + """, x as (select session_id, d, valid_from, greatest(0, coalesce(valid_from, 0) - 0.2) as lead from du left join vf using (session_id))
+select session_id, round(lead, 6) as lead_s, round(d - lead, 6) as duration_s, case when d < 20 or (valid_from is not null and d - lead < 20) then 'short' when valid_from is null then 'empty' else 'archived' end as fate from x""")
+def _(spark, d):
+    return _rounded(Z.closing(_notes(spark, d)))
+
+
+#: Pauses need gaps: every note lasts an eighth here, and those that begin from 20 to 30 s go.
+@query("auto_pause", VALID.replace(", du as (", ", gp as (select session_id, start_s, start_s + (end_s - start_s) / 8 as end_s from notes where start_s not between 20 and 30), du as (", 1).replace("from notes", "from gp").replace("join notes", "join gp").replace("from gp where start_s not", "from notes where start_s not", 1) + """,
+tk as (select session_id, unnest(range(1, cast(floor(d / 1.5) as int) + 1)) * 1.5::double as t from du),
+co as (select session_id, t, sum(greatest(0, least(hi, t) - greatest(lo, greatest(0, t - 5)))) / least(5, t) as c from tk join iv using (session_id) group by 1, 2),
+lo as (select co.session_id, min(t) as pause_s from co join vf using (session_id) where t >= 5 and t >= valid_at and valid_at - 5 >= 0 and c < 0.1 group by 1)
+select session_id, round(pause_s, 6) as pause_s from du left join lo using (session_id)""")
+def _(spark, d):
+    n = _notes(spark, d).where("start_s not between 20 and 30").withColumn("end_s", F.col("start_s") + (F.col("end_s") - F.col("start_s")) / 8)
+    return _rounded(Z.auto_pause(n))
+
+
+@query("top_candidates", CHROMA + """, r as (select session_id, frame, pitch_class as pitch, weight, row_number() over (partition by session_id, frame order by weight desc, pitch_class) as rank from ch) select session_id, frame, pitch, round(weight, 6) as weight, cast(rank as int) as rank from r where rank <= 2""")
+def _(spark, d):
+    f = H.chroma(_notes(spark, d)).withColumnRenamed("pitch_class", "pitch")
+    return _rounded(G.strongest(f, "weight", 2).select("session_id", "frame", "pitch", "weight", "rank"))
+
+
+@query("unique_starts", " select session_id, count(distinct round_even(start_s, 3)) as starts, count(distinct round_even(start_s, 3)) < 4 as sparse from notes group by 1")
+def _(spark, d):
+    return G.unique_starts(_notes(spark, d))
+
+
+@query("chord_evidence", f""", m as (select * from {_inside("chord_onset_metrics")})
+select session_id, round(case when exact_ratio is not null then greatest(100 / (1 + exp(-greatest(-60, least(60, (exact_ratio - 45) / 3)))), 100 / (1 + exp(-greatest(-60, least(60, (polyphonic_ratio - 46) / 3))))) end, 6) as chord_mechanical from m""")
+def _(spark, d):
+    m = G.chord_onset_metrics(G.onset_groups(_notes(spark, d)))
+    return _rounded(m.select("session_id", X.chord_evidence(F.col("exact_ratio"), F.col("polyphonic_ratio")).alias("chord_mechanical")))
+
+
+@query("joint_evidence", f""" select session_id, round(least(100 / (1 + exp(-greatest(-60, least(60, (step_p90 - 0.030) / 0.0075)))), 100 / (1 + exp(-greatest(-60, least(60, (1 - grid_accuracy / 100 - 0.150) / 0.025))))), 6) as joint
+from {_inside("tempo_features")} join {_inside("grid_stats")} using (session_id)""")
+def _(spark, d):
+    n, b = _notes(spark, d), _beats(spark, d)
+    s = T.score_features(_tempo(spark, d)).join(X.grid_statistics(X.grid_errors(n, b), b), "session_id")
+    return _rounded(s.select("session_id", X.joint_evidence(F.col("step_p90"), F.col("grid_accuracy")).alias("joint")))
+
+
+@query("label_bars", """, v as (select session_id, [3, 4, 6][cast(session_id as int) % 3 + 1] as meter, cast(session_id as int) % 2 as phase from (select distinct session_id from beats)),
+i as (select session_id, time_s, row_number() over (partition by session_id order by time_s) - 1 as i from beats), p as (select session_id, time_s, meter, (i - phase + meter) % meter as p from i join v using (session_id))
+select session_id, time_s, cast(p + 1 as int) as beat_in_bar, p = 0 as is_downbeat, max(p + 1) over (partition by session_id)::int as meter from p""")
+def _(spark, d):
+    b = _beats(spark, d)
+    pick = F.element_at(F.array(F.lit(3), F.lit(4), F.lit(6)), (F.col("session_id") % 3 + 1).cast("int"))
+    bars = B.label_bars(b, b.select("session_id").distinct().select("session_id", pick.alias("meter"), (F.col("session_id") % 2).cast("int").alias("phase")))
+    return bars.join(B.detected_meters(bars), "session_id").select("session_id", "time_s", "beat_in_bar", "is_downbeat", "meter")
+
+
+@query("visible_chords", """, c as (select session_id, event_id, start_s, end_s from notes where end_s >= 10 and start_s <= 40), x as (select *, (greatest(start_s, 10) - 10) * (1000 / 30::double) as x0, (least(end_s, 40) - 10) * (1000 / 30::double) as x1 from c)
+select session_id, event_id, round(x0, 6) as x0, round(x1, 6) as x1, start_s <= 20 and 20 < end_s as active from x where x1 - x0 >= 2""")
+def _(spark, d):
+    return _rounded(D.visible_chords(_notes(spark, d), 10.0, 40.0, 20.0).select("session_id", "event_id", "x0", "x1", "active"))
+
+
+@query("viewport", """ select event_id, round(greatest(s, start_s + 1) - s, 6) as from_s, round(greatest(s, start_s + 1), 6) as to_s, case when s <= 15 then 1 when s <= 90 then 5 when s <= 240 then 15 else 30 end as tick_s,
+  round(greatest(6, least(600, s * case when event_id % 2 = 0 then 0.82 else 1.22 end)), 6) as zoomed_s from (select event_id, start_s, midi_note * 3.0::double as s from notes)""")
+def _(spark, d):
+    n = _notes(spark, d).withColumn("span", F.col("midi_note") * F.lit(3.0))
+    return _rounded(n.select("event_id", D.viewport(F.col("start_s"), F.col("span")).alias("v"), D.zoomed(F.col("span"), F.col("event_id") % 2 == 0).alias("zoomed_s")).select("event_id", "v.*", "zoomed_s"))
+
+
+@query("tempo_levels")
+def _(spark, d):
+    """The two repeated levels of each session's tempo around its mean."""
+
+    def run(pdf):
+        levels = T.repeated_levels(pdf["bpm"].tolist(), float(pdf["bpm"].mean()))
+        return pdf[:1].assign(levels=len(levels), low=levels[0] if levels else None, high=levels[-1] if levels else None)[["session_id", "levels", "low", "high"]]
+
+    return _rounded(_tempo(spark, d).groupBy("session_id").applyInPandas(run, "session_id long, levels int, low double, high double"))
+
+
+@query("chord_sheets", """ select session_id, length(string_agg(printf('%.3f,%.3f,%s,%s', start_s, end_s, chord, 'C major'), chr(13) || chr(10) order by start_s, end_s) || chr(13) || chr(10)) + 1 + length('start_time,end_time,chord_name,key') + 2 as size, count(*) as lines
+from (select session_id, start_s, end_s, 'C' || midi_note % 7 as chord from notes) group by 1""")
+def _(spark, d):
+    n = _notes(spark, d)
+    c = export.sheets(n.select("session_id", "start_s", "end_s", F.concat(F.lit("C"), (F.col("midi_note") % 7).cast("string")).alias("chord"), F.lit("C major").alias("key")))
+    return c.select("session_id", F.length("csv").cast("long").alias("size"), (F.size(F.split("csv", "\r\n")) - 2).cast("long").alias("lines"))
+
+
+@query("midi_export", """ select session_id, count(*) as notes, 105::bigint as beats, (select count(*) from tempo t where t.session_id = n.session_id) + case when (select min(time_s) from tempo t where t.session_id = n.session_id) > 0 then 1 else 0 end as tempos from notes n group by 1""")
+def _(spark, d):
+    """Files of all sessions, written and parsed again."""
+    beats = _beats(spark, d).withColumn("beat_in_bar", (F.col("time_s") * 2 % 4 + 1).cast("int")).withColumn("is_downbeat", F.col("beat_in_bar") == 1)
+    made = midi.files(export.midi_events(_notes(spark, d).withColumn("velocity", F.lit(96)), _tempo(spark, d), beats))
+    found = midi.parsed(made.select(F.col("session_id").cast("string").alias("path"), F.col("midi").alias("content")))
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    return found.groupBy(F.col("path").cast("long").alias("session_id")).agg(n("on").alias("notes"), n("marker").alias("beats"), n("tempo").alias("tempos"))
+
+
 SQL["feature_row"] = V.SQL + _features_sql()

@@ -73,10 +73,9 @@ def messages(data: bytes) -> tuple[int, list[tuple]]:
     return ppq, sorted(found, key=lambda m: m[0])
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Messages of all MIDI files of a folder; a damaged file has one row of
+def parsed(files: DataFrame) -> DataFrame:
+    """Messages of MIDI files (path, content); a damaged file has one row of
     kind ``error``."""
-    src = spark.read.format("binaryFile").option("pathGlobFilter", "*.mid").load(folder).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["path", "ppq", "seq", "tick", "kind", "pitch", "velocity", "tempo_us", "text"]
@@ -85,13 +84,18 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     ppq, found = messages(data)
-                except (ValueError, IndexError) as e:
+                except (ValueError, IndexError, TypeError) as e:
                     ppq, found = 0, [(0, "error", None, None, None, str(e))]
                 rows = [(path, ppq, i, *m) for i, m in enumerate(found)]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    return src.mapInArrow(run, MESSAGES)
+    return files.select("path", "content").mapInArrow(run, MESSAGES)
+
+
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """``parsed`` for all MIDI files of a folder."""
+    return parsed(spark.read.format("binaryFile").option("pathGlobFilter", "*.mid").load(folder).select("path", "content"))
 
 
 def timed(found: DataFrame) -> DataFrame:
@@ -119,6 +123,19 @@ def notes(times: DataFrame) -> DataFrame:
     return on.join(off, ["path", "pitch", "k"], "left").join(last, "path").select("path", F.col("time_s").alias("start_s"), F.coalesce("end_s", "duration_s").alias("end_s"), F.col("pitch").alias("midi_note"), "velocity")
 
 
+def tempo_points(times: DataFrame) -> DataFrame:
+    """path, time_s, bpm, confidence: the tempo that a file sets."""
+    return times.where("kind = 'tempo'").select("path", "time_s", (F.lit(60_000_000.0) / F.col("tempo_us")).alias("bpm"), F.lit(1.0).alias("confidence"))
+
+
+def beats(times: DataFrame) -> DataFrame:
+    """path, time_s, strength, beat_in_bar, is_downbeat from BEAT and DOWNBEAT
+    markers; a marker without a number has 0."""
+    label = F.upper("text")
+    number = F.coalesce(F.regexp_extract(label, r"(?:^|\s)(\d+)\s*$", 1).try_cast("int"), F.lit(0))
+    return times.where((F.col("kind") == "marker") & label.rlike("^(?:DOWN)?BEAT")).select("path", "time_s", F.lit(1.0).alias("strength"), number.alias("beat_in_bar"), F.startswith(label, F.lit("DOWNBEAT")).alias("is_downbeat"))
+
+
 #: Order of events at one tick.
 ORDER = {"tempo": 1, "marker": 2, "off": 3, "on": 4}
 

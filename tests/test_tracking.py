@@ -20,10 +20,28 @@ def test_constant_grid_wins():
 
 
 def test_step_is_followed():
+    # fixed values: a step from 80 to 100 bpm at 54 s
     a = np.concatenate([np.arange(0, 54, 0.375), np.arange(54, 108, 0.3)])
     track = Y.tempo_track(Y.envelope(a, 108.0))
     early, late = ([v for t, v, _ in track if lo < t < hi] for lo, hi in ((5, 45), (65, 100)))
     assert abs(np.median(early) - 80) < 2 and abs(np.median(late) - 100) < 2
+    between = [v for t, v, _ in track if 50 <= t < 65]
+    assert min(between) >= np.median(early) - 1  # no dip before the rise
+
+
+def test_replayed_rows(spark):
+    """The one pass gives what a plain loop over sessions does."""
+    rows = [(i, float(t), float(t) + 0.3, 60 + i) for i in (1, 2) for t in np.arange(0.1 * i, 14, 0.5)]
+    notes = spark.createDataFrame(rows, "session_id long, start_s double, end_s double, midi_note int").withColumn("event_id", F.monotonically_increasing_id()).withColumn("confidence", F.lit(0.9))
+    found = {r["session_id"]: r for r in E.replayed_rows(notes).collect()}
+    for i in (1, 2):
+        own = [r for r in rows if r[0] == i]
+        a, b, p = (np.array([r[k] for r in own]) for k in (1, 2, 3))
+        tempo, beats = Y.refreshed(a, b, p, float(b.max()))
+        assert found[i]["notes"] == len(own) and found[i]["average_bpm"] == pytest.approx(np.mean([v for _, v, _ in tempo]))
+        one = notes.where(F.col("session_id") == i)
+        assert np.allclose([tuple(r)[1:] for r in Y.replay(one).orderBy("time_s").collect()], tempo)
+        assert [(r["time_s"], r["beat_in_bar"]) for r in Y.replay_beats(one).orderBy("time_s").collect()] == [(x["time_s"], x["beat_in_bar"]) for x in beats]
 
 
 def test_sparse_has_no_track():
