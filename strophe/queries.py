@@ -130,12 +130,46 @@ def _(spark, d):
     return T.ticks(_tempo(spark, d), times).select("session_id", "event_id", "tick")
 
 
-@query("tempo_smooth")
+def _bridged(source: str, name: str, brief: str) -> str:
+    """Over source (session_id, i, t, v): name with its brief inner runs bridged.  ``brief`` sees the
+    run o, the run l before it and the run x after it (n values, from t0 to t1)."""
+    return f""", {name}_r as (select session_id, i, t, v, 0 as run, [v] as own from {source} where i = 0 union all
+  select o.session_id, o.i, o.t, o.v, case when same then f.run else f.run + 1 end, case when same then list_append(f.own, o.v) else [o.v] end
+  from (select *, i - 1 as p from {source}) o join {name}_r f on f.session_id = o.session_id and f.i = o.p, lateral (select abs(o.v - list_aggregate(f.own, 'median')) <= greatest(2, 0.025 * list_aggregate(f.own, 'median')) as same)),
+{name}_g as (select session_id, run, count(*) as n, median(v) as m, min(t) as t0, max(t) as t1 from {name}_r group by 1, 2),
+{name}_b as (select session_id, run, m as left_m, null::double as val from {name}_g where run = 0 union all
+  select o.session_id, o.run, case when fix then (f.left_m + x.m) / 2 else o.m end, case when fix then (f.left_m + x.m) / 2 end
+  from (select *, run - 1 as p from {name}_g) o join {name}_b f on f.session_id = o.session_id and f.run = o.p join {name}_g l on l.session_id = o.session_id and l.run = o.run - 1
+  left join {name}_g x on x.session_id = o.session_id and x.run = o.run + 1, lateral (select coalesce(x.m is not null and ({brief}) and abs(f.left_m - x.m) <= greatest(3, 0.015 * (f.left_m + x.m)), false) as fix)),
+{name} as (select session_id, i, t, coalesce(val, v) as v from {name}_r join {name}_b using (session_id, run))"""
+
+
+SMOOTH = """, o as (select session_id, event_id, time_s as t, bpm, row_number() over (partition by session_id order by time_s, event_id) - 1 as i, count(*) over (partition by session_id) as n from tempo),
+fo as (select session_id, -1::bigint as i, median(bpm) as level, []::double[] as w, []::double[] as out from o where i < 3 group by 1 union all
+  select session_id, i, case when near then 0.85 * level + 0.15 * seen when len(w2) >= 3 then list_aggregate(w2, 'median') else level end, case when near or len(w2) >= 3 then [] else w2 end,
+    case when near then list_append(out, seen) when len(w2) >= 3 then list_concat(out[1:len(out) - 2], w2) else list_append(out, level) end
+  from (select *, case when len(w) > 0 and abs(seen - list_aggregate(w, 'median')) <= greatest(3, 0.03 * list_aggregate(w, 'median')) then list_append(w, seen) else [seen] end as w2, abs(seen - level) <= greatest(4, 0.04 * level) as near from (
+    select *, case when far <= case when m in (0.5, 2) then log2(1.12) else log2(1.04) end and bpm / m between 45 and 210 then bpm / m else bpm end as seen from (
+      select f.session_id, x.i, f.level, f.w, f.out, x.bpm, q.m, q.far from fo f join o x on x.session_id = f.session_id and x.i = f.i + 1,
+        lateral (select arg_min(m, [abs(log2(x.bpm / greatest(f.level, 1) / m)), k]) as m, min(abs(log2(x.bpm / greatest(f.level, 1) / m))) as far from (values (0.5::double, 0), (2 / 3::double, 1), (0.75::double, 2), (1::double, 3), (4 / 3::double, 4), (1.5::double, 5), (2::double, 6)) as mt(m, k)) q)))),
+fl as (select session_id, 1::bigint as i, out from fo where i = (select max(i) from o z where z.session_id = fo.session_id) union all
+  select session_id, i + 1, case when len(out) > i + 3 and list_max(near) - list_min(near) <= 1.5 and abs(out[i + 2] - list_aggregate(near, 'median')) <= 8 then list_concat(out[1:i + 1], [list_aggregate(near, 'median')], out[i + 3:]) else out end
+  from (select *, [out[i], out[i + 1], out[i + 3], out[i + 4]] as near from fl where i + 1 < len(out) - 2)),
+s0 as (select x.session_id, x.i, x.t, y.out[x.i + 1] as v from o x join (select session_id, max_by(out, i) as out from fl group by 1) y using (session_id))""" + _bridged("s0", "s1", "o.n <= 2 or o.t1 - o.t0 <= 2.1")
+REPAIR = _bridged("s1", "s2", "o.t1 - o.t0 <= 3.5 and x.t0 - l.t1 <= 7.5") + _bridged("s2", "s3", "o.t1 - o.t0 <= 3.5 and x.t0 - l.t1 <= 7.5")
+RECURSIVE = V.SQL.lstrip().replace("with ", "with recursive ", 1)
+
+
+def _smoothed_sql(steps: str, last: str) -> str:
+    return RECURSIVE + steps + f" select session_id, event_id, round(o.t, 6) as time_s, round({last}.v, 6) as bpm from o join {last} using (session_id, i)"
+
+
+@query("tempo_smooth", _smoothed_sql(SMOOTH, "s1"))
 def _(spark, d):
     return _rounded(T.smoothed(_tempo(spark, d)))
 
 
-@query("tempo_repair")
+@query("tempo_repair", _smoothed_sql(SMOOTH + REPAIR, "s3"))
 def _(spark, d):
     return _rounded(T.smoothed(_tempo(spark, d), repaired=True))
 
@@ -334,8 +368,6 @@ def _(spark, d):
     return _rounded(H.classify_chord(H.detect_key(_vectors(spark, d))).select("vec_id", "chord", "chord_root", "chord_confidence"))
 
 
-#: The views, for queries that recur.
-RECURSIVE = V.SQL.lstrip().replace("with ", "with recursive ", 1)
 NAMES_SQL = str(list(M.NAMES))
 
 #: Key windows (of 96 frames, every 32), keys, and the fold over them, from the chroma rows ch.
@@ -611,13 +643,41 @@ def _(spark, d):
     return I.segment_at(_beats(spark, d), n.select("session_id", "start_s", end.alias("end_s"), F.col("midi_note").cast("string").alias("value")), "value")
 
 
-@query("key_merge")
+#: The notes seen by 30 s, and chroma rows from them.
+EARLY = ", seen as (select session_id, event_id, start_s, least(end_s, 30) as end_s, midi_note, confidence from notes where start_s <= 30 and end_s > start_s)" + CHROMA.replace("from notes", "from seen")
+
+
+def _merge_sql(steps: str, table: str, columns: str, fill: str) -> str:
+    """Segments before 18 s as seen by 30 s, later ones as seen at the end.  ``fill`` are the columns of a gap's own
+    segment; without it a gap extends what precedes it."""
+    early, late = (f"({RECURSIVE}{rows}{steps} select * from {table})" for rows in (EARLY, CHROMA))
+    same = " and ".join(f"f.{c} = o.{c}" for c in columns.split(", ") if c != "function")
+    gaps = f"union all select session_id, coalesce(r, 0), a, {fill}, 0::double as c, i - 0.5 from (select *, max(b) over (partition by session_id order by i rows between unbounded preceding and 1 preceding) as r, coalesce(lag(key) over (partition by session_id order by i), key) as last_key from cc) where a > coalesce(r, 0)" if fill else ""
+    begin = "greatest(o.a, f.b)" if fill else "greatest(o.a, case when o.a > f.b then o.a else f.b end)"
+    end = "f.b" if fill else "greatest(f.b, o.a)"
+    own = lambda t: ", ".join(f"{t}.{c}" for c in columns.split(", "))
+    return f"""with recursive early as {early}, late as {late},
+du as (select session_id, max(end_s) as d from (select session_id, end_s from early union all select session_id, end_s from late) group by 1),
+cl as (select session_id, start_s as a, least(end_s, 18) as b, {columns}, confidence as c, 0 as late from early where start_s < least(end_s, 18) union all
+  select session_id, greatest(start_s, 18), end_s, {columns}, confidence, 1 from late where end_s > greatest(start_s, 18)),
+cc as (select session_id, greatest(0, a) as a, least(d, b) as b, {columns}, c, row_number() over (partition by session_id order by a, b, late)::double as i from cl join du using (session_id) where least(d, b) > greatest(0, a)),
+gp as (select session_id, a, b, {columns}, c, i from cc {gaps}),
+od as (select *, row_number() over (partition by session_id order by i) as k, count(*) over (partition by session_id) as n from gp),
+mf as (select session_id, k, n, {"a" if fill else "0::double as a"}, b, {columns}, c, 0 as run from od where k = 1 union all
+  select o.session_id, o.k, o.n, case when skip or same then f.a else sa end, case when skip then fb else o.b end, {", ".join(f"case when skip then f.{c} else o.{c} end" for c in columns.split(", "))},
+    case when skip then f.c when same then (f.c * (fb - f.a) + o.c * (o.b - sa)) / greatest(fb - f.a + o.b - sa, 1e-9) else o.c end, case when skip or same then f.run else f.run + 1 end
+  from od o join mf f on f.session_id = o.session_id and o.k = f.k + 1, lateral (select {begin} as sa, {end} as fb, o.b <= {begin} as skip, {same} as same)),
+ou as (select session_id, run, max_by(a, k) as a, max_by(b, k) as b, max_by(c, k) as c, {", ".join(f"max_by({c}, k) as {c}" for c in columns.split(", "))}, lead(max_by(a, k)) over (partition by session_id order by run) as next from mf group by session_id, run)
+select session_id, round(a, 6) as start_s, round({"b" if fill else "coalesce(next, d)"}, 6) as end_s, round(c, 6) as confidence, {columns} from ou join du using (session_id)"""
+
+
+@query("key_merge", _merge_sql(KEY_SEGMENTS, "ks", "key", ""))
 def _(spark, d):
     n = _notes(spark, d)
     return _rounded(I.merged_keys(H.key_segments(H.chroma(I.visible(n, 30.0))), H.key_segments(H.chroma(n)), 18.0))
 
 
-@query("chord_merge")
+@query("chord_merge", _merge_sql(KEY_SEGMENTS + CHORD_SEGMENTS, "cs", "chord, key, function", "'N' as chord, last_key as key, '' as function"))
 def _(spark, d):
     n = _notes(spark, d)
     old, new = (H.chroma(x) for x in (I.visible(n, 30.0), n))
@@ -803,7 +863,13 @@ def _(spark, d):
     return _rounded(n.select("event_id", D.viewport(F.col("start_s"), F.col("span")).alias("v"), D.zoomed(F.col("span"), F.col("event_id") % 2 == 0).alias("zoomed_s")).select("event_id", "v.*", "zoomed_s"))
 
 
-@query("tempo_levels")
+@query("tempo_levels", RECURSIVE + """, o as (select session_id, bpm, avg(bpm) over (partition by session_id) as a, row_number() over (partition by session_id order by bpm) as i from tempo),
+c as (select session_id, i, bpm, bpm as total, 1 as n, 0 as run from o where i = 1 union all
+  select o.session_id, o.i, o.bpm, case when same then f.total + o.bpm else o.bpm end, case when same then f.n + 1 else 1 end, case when same then f.run else f.run + 1 end
+  from o join c f on f.session_id = o.session_id and o.i = f.i + 1, lateral (select abs(o.bpm - f.total / f.n) <= greatest(2, 0.025 * o.a) as same)),
+g as (select session_id, run, median(bpm) as m from c group by 1, 2 having count(*) > 1),
+l as (select session_id, count(*) as k, min(m) as low, max(m) as high from g group by 1)
+select session_id, case when k = 2 then 2 else 0 end as levels, case when k = 2 then round(low, 6) end as low, case when k = 2 then round(high, 6) end as high from (select distinct session_id from o) left join l using (session_id)""")
 def _(spark, d):
     """The two repeated levels of each session's tempo around its mean."""
 
