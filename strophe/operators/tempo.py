@@ -238,7 +238,8 @@ def repeated_levels(estimates: list[float], reference: float) -> list[float]:
 
 
 def smoothed(tempo: DataFrame, repaired: bool = False) -> DataFrame:
-    """session_id, event_id, time_s, bpm after ``smooth`` (and ``repair``)."""
+    """session_id, event_id, time_s, bpm after ``smooth`` (and ``repair``);
+    points without a time or a tempo are left out."""
 
     def run(pdf):
         pdf = pdf.sort_values(["time_s", "event_id"])
@@ -246,4 +247,5 @@ def smoothed(tempo: DataFrame, repaired: bool = False) -> DataFrame:
         values = smooth(t, pdf["bpm"].tolist())
         return pdf.assign(bpm=repair(t, values) if repaired else values)
 
-    return tempo.select("session_id", "event_id", "time_s", "bpm").groupBy("session_id").applyInPandas(run, "session_id long, event_id long, time_s double, bpm double")
+    whole = tempo.where("time_s is not null and bpm is not null")
+    return whole.select("session_id", "event_id", "time_s", "bpm").groupBy("session_id").applyInPandas(run, "session_id long, event_id long, time_s double, bpm double")

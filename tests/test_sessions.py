@@ -190,6 +190,25 @@ def test_empty_tables(spark):
         assert out.count() == 0
 
 
+def test_null_rows_leave_other_sessions_alone(spark):
+    rows = grid(1, 0, 30) + [(2, 500 + 3 * i + k, 2.0 * i, 2.0 * i + 1.9, p, 0.9) for i in range(15) for k, p in enumerate((60, 64, 67))]
+    odd = [(None, 9001, 1.0, 2.0, 60, 0.9), (99, 9002, None, 2.0, 60, 0.9), (99, 9003, 1.0, None, 60, 0.9), (99, 9004, 1.0, 2.0, None, None), (98, 9005, None, None, None, None)]
+    points = [(s, i, float(i), 120.0 + i % 3, 0.9) for s in (1, 2) for i in range(30)]
+    odd_points = [(99, 1, None, 120.0, 0.5), (99, 2, 1.0, None, None), (None, 3, 1.0, 100.0, 0.5)]
+    kind = "session_id long, event_id long, time_s double, bpm double, confidence double"
+    beat_rows = [(s, 0.5 * i) for s in (1, 2) for i in range(60)]
+
+    def results(n, p, b):
+        notes, tempo, beats = spark.createDataFrame(n, NOTES), spark.createDataFrame(p, kind), spark.createDataFrame(b, "session_id long, time_s double")
+        frames = H.chroma(notes)
+        keys = H.key_segments(frames)
+        outs = [X.human_score(notes, tempo, beats), keys, H.chord_segments(frames, keys, G.polyphony(G.onset_groups(notes))), Z.auto_pause(notes), Z.closing(notes), Y.tempo_tracks(notes), T.smoothed(tempo, repaired=True), K.valid_windows(notes), G.unique_starts(notes), T.ticks(tempo, notes.select("session_id", "event_id", F.col("end_s").alias("at_s")))]
+        return [sorted(str(r) for r in out.where("session_id in (1, 2)").collect()) for out in outs]
+
+    plain = results(rows, points, beat_rows)
+    assert plain == results(rows + odd, points + odd_points, beat_rows + [(99, None), (None, 1.0)]) and all(plain)
+
+
 def test_dense_streams_are_grouped(spark):
     """A session whose gaps are all short is one island: groups still begin
     with the first note after the span."""
