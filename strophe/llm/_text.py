@@ -11,7 +11,6 @@ follows the words of a text, not a multiple of its bytes.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -20,6 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strophe.plans.lineage import checkpoint, shared_folder
+
+__all__ = ["add_columns", "blocks", "bytes_of", "checkpoint", "hashes", "held_out", "mix", "shared_folder", "shingles", "words"]
+
 CHUNK = 1 << 18
 BLOCK = 4 << 20
 
@@ -151,32 +154,6 @@ def held_out(doc_id: str, parts: int, remainder: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(parts) == remainder, F.lit(False))
 
 
-def shared_folder(spark) -> str:
-    """The folder that driver and executors share, ``spark.checkpoint.dir``.
-
-    A session of one machine (local master) without that setting gets a folder
-    of its own; on a cluster a machine's own folder would be lost with it, so
-    an unset folder is an error there.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = f"{tempfile.gettempdir()}/strophe-{spark.sparkContext.applicationId}"
-    return folder.rstrip("/")
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the session's shared checkpoint folder.
-
-    ``spark.checkpoint.dir`` is the cluster's setting.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def add_columns(
     df: DataFrame,
     inputs: Sequence[str],

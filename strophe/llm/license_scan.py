@@ -28,6 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strophe.functions.arrays import scan_blocks
 from strophe.llm.license_rules import NAMED, TAG, identifiers
 from strophe.llm.license_rules import rules as all_rules
 
@@ -67,33 +68,6 @@ def _any(norm: Column, parts: Sequence[str]) -> Column:
 _KIND = "struct<start:int,end:int,priority:int,rule:int,label:string>"
 
 
-def _once(x: Column, use) -> Column:
-    """``use`` of x with x evaluated once: a lambda's variable is bound, while
-    a reference from inside of a lambda is evaluated for every element."""
-    return F.element_at(F.transform(F.array(x), use), 1)
-
-
-def _scan_blocks(items: Column, state: Column, none: Column, step) -> Column:
-    """The items that a fold puts out, in order: ``step(state, item)`` gives
-    the next state and an array of what is put out."""
-
-    def blocks(x: Column) -> Column:
-        size = F.greatest(F.lit(1), F.floor(F.sqrt(F.size(x).cast("double"))).cast("int"))
-        starts = F.when(F.size(x) > 0, F.sequence(F.lit(1), F.size(x), size)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.slice(x, i, size))
-
-    def inner(before: Column, block: Column) -> Column:
-        def one(a: Column, x: Column) -> Column:
-            state, put = step(a["state"], x)
-            return F.struct(state.alias("state"), F.concat(a["out"], put).alias("out"))
-
-        return F.aggregate(block, F.struct(before.alias("state"), none.alias("out")), one)
-
-    first = F.array(F.struct(state.alias("state"), none.alias("out")))
-    done = F.aggregate(_once(items, blocks), first, lambda a, block: F.concat(a, F.array(inner(F.element_at(a, -1)["state"], block))))
-    return F.flatten(F.transform(done, lambda x: x["out"]))
-
-
 def _detections(norm: Column, rules: Sequence[tuple[str, int, str, str]]) -> Column:
     """All matches of the rules whose keyword occurs, as an array of
     (start, -end, -priority, rule number, label) in the order of resolution."""
@@ -113,7 +87,7 @@ def _detections(norm: Column, rules: Sequence[tuple[str, int, str, str]]) -> Col
             start, end = at + F.length(p["gap"]), at + F.length(p["gap"]) + F.length(p["hit"])
             return end, F.array(F.struct(start.alias("start"), (-end).alias("end"), p["hit"].alias("hit")))
 
-        walked = _scan_blocks(pairs, F.lit(0), F.array().cast("array<struct<start:int,end:int,hit:string>>"), step)
+        walked = scan_blocks(pairs, F.lit(0), F.array().cast("array<struct<start:int,end:int,hit:string>>"), step)
         label = lambda x: F.when(r["label"] == NAMED, F.element_at(names, F.substring(x["hit"], len(TAG) + 1, 1 << 30))).otherwise(r["label"])
         return F.transform(walked, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), r["priority"].alias("priority"), r["rule"].alias("rule"), label(x).alias("label")))
 
@@ -132,7 +106,7 @@ def _resolved(found: Column, priorities: Sequence[int]) -> Column:
         after = F.transform(tops, lambda t: F.struct(t["priority"].alias("priority"), F.when(t["priority"] == d["priority"], F.least(t["end"], d["end"])).otherwise(t["end"]).alias("end")))
         return after, F.when(inside, F.array().cast(f"array<{_KIND}>")).otherwise(F.array(d))
 
-    return _scan_blocks(found, tops, F.array().cast(f"array<{_KIND}>"), step)
+    return scan_blocks(found, tops, F.array().cast(f"array<{_KIND}>"), step)
 
 
 def scan(

@@ -76,6 +76,11 @@ def test_jaccard_large_clusters(spark, monkeypatch):
     same(spark, family(3, n=80))
 
 
+def test_jaccard_shingles_common_over_all_chunks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MOST", 5)
+    same(spark, family(5, n=80))
+
+
 def test_jaccard_without_rows(spark, empty):
     assert jaccard_join.similar_classes(empty).count() == 0
 
