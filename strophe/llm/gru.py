@@ -15,23 +15,73 @@ HIDDEN = 16
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x += 1
+    x *= 0.5
+    return x
+
+
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z) with the sums of its rows, and what was taken from each row; in
+    place."""
+    top = np.zeros(1, z.dtype)
+    if z.size and z.max() > 50:
+        top = z.max(axis=1)
+        z -= top[:, None]
+    np.exp(z, out=z)
+    return z.sum(axis=1), top
+
+
+def _plus(z: np.ndarray, b: np.ndarray) -> np.ndarray:
+    z += b
+    return z
 
 
 def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log softmax of each row of z, at one place of it."""
-    z = z - z.max(axis=1, keepdims=True)
-    return z[np.arange(len(z)), at] - np.log(np.exp(z).sum(axis=1))
+    picked = z[np.arange(len(z)), at]
+    total, top = _exp(z)
+    return picked - top - np.log(total)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    e /= e.sum(axis=1, keepdims=True)
-    return e
+    total, _ = _exp(z)
+    z /= total[:, None]
+    return z
+
+
+#: Products of more steps are left to several threads by the usual libraries.
+SMALL = 1 << 18
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b in blocks of rows.  A task has one core, so threads would only
+    take time from other tasks."""
+    n, k = a.shape
+    rows = max(1, SMALL // (k * b.shape[1]))
+    if n <= rows:
+        return a @ b
+    out = np.empty((n, b.shape[1]), a.dtype)
+    full = n // rows * rows
+    np.matmul(a[:full].reshape(-1, rows, k), b, out=out[:full].reshape(-1, rows, b.shape[1]))
+    out[full:] = a[full:] @ b
+    return out
+
+
+def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b, likewise."""
+    rows = max(1, SMALL // (a.shape[1] * b.shape[1]))
+    full = len(a) // rows * rows
+    out = a[full:].T @ b[full:]
+    if full:
+        out += np.matmul(a[:full].reshape(-1, rows, a.shape[1]).transpose(0, 2, 1), b[:full].reshape(-1, rows, b.shape[1])).sum(axis=0)
+    return out
 
 
 class Gru:
-    def __init__(self, classes: int = 64, per_class: int = 32, hidden: int = HIDDEN, seed: int = 11):
+    def __init__(self, classes: int = 32, per_class: int = 64, hidden: int = HIDDEN, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.classes, self.per_class, self.hidden = classes, per_class, hidden
         v, f = classes * per_class, np.float32
@@ -59,26 +109,35 @@ class Gru:
 
     def step(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
         k = self.hidden
-        x, hu = self.x[ids] + self.b, h @ self.u
-        zr = _sigmoid(x[:, : 2 * k] + hu[:, : 2 * k])
+        x, hu = self.x[ids], _times(h, self.u)
+        x += self.b
+        zr, n = x[:, : 2 * k], x[:, 2 * k :]
+        zr += hu[:, : 2 * k]
+        _sigmoid(zr)
         z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(x[:, 2 * k :] + r * hu[:, 2 * k :])
-        return n + z * (h - n), (h, z, r, n, hu)
+        n += r * hu[:, 2 * k :]
+        np.tanh(n, out=n)
+        after = h - n
+        after *= z
+        after += n
+        return after, (h, z, r, n, hu)
 
     def log_prob(self, s: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of targets after states s."""
         c, w = target // self.per_class, target % self.per_class
-        out = _log_softmax_at(s @ self.wc + self.bc, c)
-        for k, rows in self._by_class(c):
-            out[rows] += _log_softmax_at(s[rows] @ self.ww[k] + self.bw[k], w[rows])
+        out = _log_softmax_at(_plus(_times(s, self.wc), self.bc), c)
+        order, parts = self._by_class(c)
+        s, w, inner = s[order], w[order], np.empty(len(s), s.dtype)
+        for k, a, b in parts:
+            inner[a:b] = _log_softmax_at(_plus(_times(s[a:b], self.ww[k]), self.bw[k]), w[a:b])
+        out[order] += inner
         return out
 
-    def _by_class(self, c: np.ndarray):
-        """The classes that occur, and the rows of each."""
+    def _by_class(self, c: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order by class, and the classes that occur with their ranges."""
         order = np.argsort(c.astype(np.uint16), kind="stable")
-        stop = np.cumsum(np.bincount(c, minlength=self.classes))
-        for k in np.flatnonzero(np.diff(stop, prepend=0)):
-            yield k, order[stop[k - 1] if k else 0 : stop[k]]
+        stop = np.cumsum(np.bincount(c, minlength=self.classes)).tolist()
+        return order, [(k, a, b) for k, (a, b) in enumerate(zip([0, *stop], stop)) if b > a]
 
     def score(self, texts: list[np.ndarray], window: int = 64, group: int = 1024) -> np.ndarray:
         """Natural log probability of whole texts (token numbers)."""
@@ -143,48 +202,54 @@ class Gru:
         width, streams = opens.shape[1], len(h)
         target = ids[:, 1:] if carried else ids
         source = ids[:, :-1] if carried else np.concatenate([np.full((streams, 1), self.begin), ids[:, :-1]], axis=1)
-        kept, states, inputs = [], [], []
+        inputs = np.where(opens, self.begin, source).T
+        fresh = opens.any(axis=0)
+        kept, states = [], np.empty((width, streams, k), np.float32)
         for j in range(width):
-            h = np.where(opens[:, j : j + 1], 0, h).astype(np.float32)
-            now = np.where(opens[:, j], self.begin, source[:, j])
-            h, cache = self.step(h, now)
+            if fresh[j]:
+                h = np.where(opens[:, j : j + 1], np.float32(0), h)
+            h, cache = self.step(h, inputs[j])
             kept.append(cache)
-            states.append(h)
-            inputs.append(now)
-        s, y = np.concatenate(states), target.T.ravel()
+            states[j] = h
+        s, y = states.reshape(-1, k), target.T.ravel()
         learned = np.ones(len(s), bool) if real is None else real.T.ravel()
         scale = (learned / np.float32(max(1, learned.sum()))).astype(np.float32)[:, None]
         c, w = y // self.per_class, y % self.per_class
-        pc = _softmax(s @ self.wc + self.bc)
+        pc = _softmax(_plus(_times(s, self.wc), self.bc))
         pc[np.arange(len(s)), c] -= 1
         pc *= scale
-        gs = pc @ self.wc.T
+        gs = _times(pc, self.wc.T)
         gww, gbw = np.zeros_like(self.ww), np.zeros_like(self.bw)
-        for q, rows in self._by_class(c):
-            own = s[rows]
-            pw = _softmax(own @ self.ww[q] + self.bw[q])
-            pw[np.arange(len(rows)), w[rows]] -= 1
-            pw *= scale[rows]
-            gs[rows] += pw @ self.ww[q].T
-            gww[q], gbw[q] = own.T @ pw, pw.sum(axis=0)
-        gx, gu, gb = np.zeros_like(self.x), np.zeros_like(self.u), np.zeros_like(self.b)
+        order, parts = self._by_class(c)
+        sorted_s, sorted_w, sorted_scale, inner = s[order], w[order], scale[order], np.empty_like(s)
+        for q, a, b in parts:
+            own = sorted_s[a:b]
+            pw = _softmax(_plus(_times(own, self.ww[q]), self.bw[q]))
+            pw[np.arange(b - a), sorted_w[a:b]] -= 1
+            pw *= sorted_scale[a:b]
+            inner[a:b] = _times(pw, self.ww[q].T)
+            gww[q], gbw[q] = _inner(own, pw), pw.sum(axis=0)
+        gs[order] += inner
+        gs = gs.reshape(width, streams, k)
+        gx = np.zeros_like(self.x)
         back = np.zeros((streams, k), np.float32)
-        gins = [None] * width
+        gin, ghu, before = (np.empty((width, streams, m * k), np.float32) for m in (3, 3, 1))
         for j in range(width - 1, -1, -1):
-            before, z, r, n, hu = kept[j]
-            g = gs[j * streams : (j + 1) * streams] + back
+            before[j], z, r, n, hu = kept[j]
+            g = gs[j] + back
             gn = g * (1 - z) * (1 - n * n)
-            gz = g * (before - n) * z * (1 - z)
-            gr = gn * hu[:, 2 * k :] * r * (1 - r)
-            gin = np.concatenate([gz, gr, gn], axis=1)
-            ghu = np.concatenate([gz, gr, gn * r], axis=1)
-            gu += before.T @ ghu
-            gb += gin.sum(axis=0)
-            gins[j] = gin
-            back = np.where(opens[:, j : j + 1], 0, g * z + ghu @ self.u.T).astype(np.float32)
-        seen = np.concatenate(inputs)
+            gin[j, :, :k] = g * (before[j] - n) * z * (1 - z)
+            gin[j, :, k : 2 * k] = gn * hu[:, 2 * k :] * r * (1 - r)
+            gin[j, :, 2 * k :] = gn
+            ghu[j, :, : 2 * k] = gin[j, :, : 2 * k]
+            ghu[j, :, 2 * k :] = gn * r
+            back = g * z + _times(ghu[j], self.u.T)
+            if fresh[j]:
+                back = np.where(opens[:, j : j + 1], np.float32(0), back)
+        gin, ghu = gin.reshape(-1, 3 * k), ghu.reshape(-1, 3 * k)
+        seen = inputs.ravel()
         order = np.argsort(seen.astype(np.uint16 if len(gx) <= 65536 else np.int64), kind="stable")
         seen = seen[order]
         first = np.flatnonzero(np.diff(seen, prepend=-1))
-        gx[seen[first]] = np.add.reduceat(np.concatenate(gins)[order], first, axis=0)
-        return [gx, gu, gb, s.T @ pc, pc.sum(axis=0), gww, gbw], h
+        gx[seen[first]] = np.add.reduceat(gin[order], first, axis=0)
+        return [gx, _inner(before.reshape(-1, k), ghu), gin.sum(axis=0), _inner(s, pc), pc.sum(axis=0), gww, gbw], h

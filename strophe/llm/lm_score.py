@@ -61,29 +61,33 @@ def tokens(buf: np.ndarray, offsets: np.ndarray, kinds: int) -> tuple[np.ndarray
     return out, begin, kind
 
 
+def summed(h: np.ndarray, kind: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, their kinds and their summed counts (n: ones)."""
+    coded = pa.array(h).dictionary_encode()
+    at, keys = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+    own = np.empty(len(keys), kind.dtype)
+    own[at] = kind  # equal for equal hashes
+    return keys, own, np.bincount(at, n, len(keys)).astype(np.int64)
+
+
 def count_tokens(texts: DataFrame, text_col: str, kinds: int) -> DataFrame:
     """(hash, kind, n): the count of every token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, kind, counts, held = [], [], [], 0
+        parts, held = [], 0
 
         def flush():
-            k, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-            c = np.bincount(at, np.concatenate(counts), len(k)).astype(np.int64)
-            own = np.concatenate(kind)[first]
-            for x in (keys, kind, counts):
-                x.clear()
+            k, own, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
+            k, own, c = summed(k, own, c)
             return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(own), pa.array(c)], names=["hash", "kind", "n"])
 
         for batch in batches:
             buf, offsets = bytes_of(batch.column(0))
             for i, j in blocks(offsets):
                 h, _, own = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], kinds)
-                k, first, c = np.unique(h, return_index=True, return_counts=True)
-                keys.append(k)
-                kind.append(own[first])
-                counts.append(c)
-                held += len(k)
+                parts.append(summed(h, own, None))
+                held += len(parts[-1][0])
                 if held > FLUSH:
                     yield flush()
                     held = 0
@@ -189,7 +193,7 @@ def _learn(texts: DataFrame, text_col: str, shared) -> np.ndarray:
         t, net, adam, held, n_held, total = None, None, {}, [], 0, 0
 
         def fit():
-            net.fit(held, streams=int(np.clip(n_held // 2048, 32, 256)), epochs=1, rate=0.003, adam=adam)
+            net.fit(held, streams=int(np.clip(n_held // 2048, 32, 512)), epochs=1, rate=0.004, adam=adam)
             held.clear()
 
         for batch in batches:
@@ -263,7 +267,7 @@ def _score(docs: DataFrame, text_col: str, id_col: str, shared) -> DataFrame:
     return docs.select(id_col, "held_out", text_col).mapInArrow(run, shape)
 
 
-def fit(train: DataFrame, *, text_col: str = "text", most_words: int = 400_000, kinds: int = 63, classes: int = 64, per_class: int = 32, start_texts: int = 600, rounds: int = 2) -> tuple[Tables, DataFrame]:
+def fit(train: DataFrame, *, text_col: str = "text", most_words: int = 400_000, kinds: int = 63, classes: int = 32, per_class: int = 64, start_texts: int = 600, rounds: int = 2) -> tuple[Tables, DataFrame]:
     """The models of the training texts, and the counts of all their tokens."""
     sc = train.sparkSession.sparkContext
     counts = checkpoint(count_tokens(train, text_col, kinds))
