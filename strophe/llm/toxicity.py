@@ -338,7 +338,7 @@ def _word_counts(sample: DataFrame, text_col: str, label: str) -> DataFrame:
                 if labels[k]:
                     toxic.update(own.keys())
                 twice.update(w for w, c in own.items() if c > 1)
-                if len(n) > 500_000:
+                if len(n) > 150_000:
                     yield flush()
         yield flush()
 
