@@ -11,6 +11,7 @@ follows the words of a text, not a multiple of its bytes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 
 from strophe.plans.lineage import checkpoint, shared_folder
 
-__all__ = ["add_columns", "blocks", "bytes_of", "checkpoint", "hashes", "held_out", "mix", "shared_folder", "shingles", "words"]
+__all__ = ["add_columns", "blocks", "bytes_of", "checkpoint", "hashes", "held_out", "mix", "shared_folder", "shingles", "stored", "words"]
 
 CHUNK = 1 << 18
 BLOCK = 4 << 20
@@ -40,6 +41,13 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back."""
+    place = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[0] = 1
