@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strophe.llm import byte_cnn, decontaminate, gif, jaccard_join, language_id, license_scan, lm_score, packing, prefix_trie, token_counts, toxicity, whitening
+from strophe.llm import byte_cnn, decontaminate, gif, jaccard_join, language_id, license_scan, lm_score, packing, prefix_trie, projection_passes, token_counts, toxicity, whitening
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_length_bucket_packing": packing.op9_length_bucket_packing,
     "op10_quality_classifier": byte_cnn.op10_quality_classifier,
     "op11_conversation_prefix_trie": prefix_trie.op11_conversation_prefix_trie,
+    "op12_embedding_near_dedup": projection_passes.op12_embedding_near_dedup,
     "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
@@ -23,4 +24,5 @@ SQL = {
     "op2_benchmark_decontamination": decontaminate.SQL,
     "op6_ngram_jaccard_join": jaccard_join.SQL,
     "op11_conversation_prefix_trie": prefix_trie.SQL,
+    "op12_embedding_near_dedup": projection_passes.SQL,
 }
