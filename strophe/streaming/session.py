@@ -111,12 +111,21 @@ def segment(blocks: list[tuple], limits: Limits | None = None) -> list[tuple[flo
 STATE = ", ".join(f"{f.name} {'double' if f.type == 'float' else 'string'}" for f in fields(Machine))
 
 
-def sessions(blocks: DataFrame, limits: Limits | None = None) -> DataFrame:
+def sessions(blocks: DataFrame, limits: Limits | None = None, event_time: str | None = None, forget_s: float = 3600.0) -> DataFrame:
     """device, start_s, end_s, mode, label of closed sessions from a stream of
     (device, at_s, length_s, level_db) and, if there is such a column, rows
     with a ``command``; rows out of order inside of a batch are sorted, later
-    blocks are dropped as late."""
+    blocks are dropped as late.
+
+    With ``event_time``, a column that has a watermark, silence counts also
+    where no blocks come: an automatic session closes once the watermark is
+    ``end_silence_s`` past its device's last row, and after ``forget_s`` any
+    open session closes and the device has no state left (it is in mode "auto"
+    again).  Without it a device's state stays.
+    """
     limits = limits or Limits()
+    if event_time is not None:
+        return _timed_sessions(blocks, limits, event_time, forget_s)
     what = F.col("command") if "command" in blocks.columns else F.lit(None)
     rows = blocks.select("device", "at_s", "length_s", "level_db", what.cast("string").alias("command")).where("device is not null and at_s is not null")
 
@@ -130,3 +139,31 @@ def sessions(blocks: DataFrame, limits: Limits | None = None) -> DataFrame:
 
     kind = blocks.schema["device"].dataType.simpleString()
     return rows.groupBy("device").applyInPandasWithState(run, f"device {kind}, start_s double, end_s double, mode string, label string", STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def _timed_sessions(blocks: DataFrame, limits: Limits, event_time: str, forget_s: float) -> DataFrame:
+    what = F.col("command") if "command" in blocks.columns else F.lit(None)
+    rows = blocks.select("device", event_time, "at_s", "length_s", "level_db", what.cast("string").alias("command")).where("device is not null and at_s is not null")
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *held, last_ms = state.get if state.exists else (*astuple(Machine()), 0)
+        machine, done = Machine(*held), []
+        if state.hasTimedOut:
+            waiting = machine.start_s >= 0 and machine.mode == "auto"
+            done = [x for x in (machine.close(limits),) if x]
+            if not waiting or forget_s <= limits.end_silence_s:
+                state.remove()
+                yield pd.DataFrame([(key[0], *x) for x in done], columns=["device", "start_s", "end_s", "mode", "label"])
+                return
+        else:
+            pdf = pd.concat(list(frames))
+            pdf = pdf.assign(is_block=pdf["command"].isna()).sort_values(["at_s", "is_block"], kind="stable")
+            done = _feed(machine, pdf[["at_s", "length_s", "level_db", "command"]].itertuples(index=False), limits)
+            last_ms = max(last_ms, round(pdf[event_time].max().timestamp() * 1000))
+        state.update((*astuple(machine), last_ms))
+        wait = limits.end_silence_s if machine.start_s >= 0 and machine.mode == "auto" else forget_s
+        state.setTimeoutTimestamp(max(last_ms + round(1000 * wait), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], *x) for x in done], columns=["device", "start_s", "end_s", "mode", "label"])
+
+    kind = blocks.schema["device"].dataType.simpleString()
+    return rows.groupBy("device").applyInPandasWithState(run, f"device {kind}, start_s double, end_s double, mode string, label string", f"{STATE}, last_ms long", "append", GroupStateTimeout.EventTimeTimeout)
