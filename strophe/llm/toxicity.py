@@ -7,18 +7,24 @@ transducer, the composition of
   marked negated;
 * report: one within four words of a verb of speech is marked reported;
 * threat: a harming verb within three words of an intent (will, going to) or at
-  a clause's start, and then someone it is aimed at within three words;
+  a clause's start, and then someone it is aimed at within three words, if no
+  particle follows (kill them off);
 * address: an insult right after someone addressed, or within four words of a
   verb of being after them (you are such a ...), if no definite article stands
-  between; another insult is loose;
-* vocative: a loose insult in a clause of at most two words;
-* weighing: the marks of completed patterns get weights.
-
-A word by itself completes no pattern and weighs nothing: a loose insult only
-arms the last machine, which runs through the whole text, where each further
-one is a pile.  A text's score is a logistic unit over the weights of its
-patterns (``log2(1 + n)`` of n equal ones); the weights are fitted to labels,
-and stay near their defaults where no labelled text has the pattern.
+  between.  Any other insult is literal after an article, a word of degree or a
+  verb of being (the trash, a clown, is stupid), an opening as the first word
+  of its clause (garbage is ...), else loose; learned slurs, which labels know
+  from toxic texts only, are loose everywhere;
+* vocative: an opening or loose insult in a clause of at most two words, unless
+  the opening begins a compound (garbage collection);
+* clause: a loose insult after another or an opening in one clause is a run,
+  and a clause that has loose insults is one bare clause.
+
+A word by itself weighs nothing: literal words and openings have no weight, and
+neither has a text's first bare clause.  A text's score is a logistic unit over
+the weights of its patterns (``log2(1 + n)`` of n equal ones, ``log2(n)`` of
+bare clauses); the weights are fitted to labels, and stay near their defaults
+where no labelled text has the pattern.
 
 The lexicon is hand-written (``SEED``).  Words and stems (``stem*``, the first
 characters of words) that labelled rows support are added as a class of their
@@ -49,7 +55,7 @@ from strophe.llm._learn import sample_labelled
 from strophe.llm._text import LOWER, add_columns, blocks, bytes_of, checkpoint, held_out, words
 
 OTHER, END = "other", "end"
-INSULT, SLUR, HARM, INTENT, TARGET, BEING, DEGREE, DEFINITE, NOT, REPORT = "insult", "slur", "harm", "intent", "target", "being", "degree", "definite", "not", "report"
+INSULT, SLUR, HARM, INTENT, TARGET, BEING, DEGREE, DEFINITE, NOT, REPORT, PARTICLE = "insult", "slur", "harm", "intent", "target", "being", "degree", "definite", "not", "report", "particle"
 CORE = (INSULT, SLUR, HARM)
 
 #: Words of each class, in English, German, French and Spanish; slurs are learned.
@@ -69,14 +75,16 @@ SEED = {
     DEGREE: "a an such so really total complete absolute little nothing but just very ein eine so un une tellement tan muy",
     DEFINITE: "the this that these those der die das den dem le la les el los las",
     NOT: "not never no isn aren nicht kein keine nie pas jamais nunca jamás",
+    PARTICLE: "off",
     REPORT: "said says say claimed called reported wrote quoted sagte sagt behauptete dit disait dijo dice",
 }
 SYMBOLS = (OTHER, END, *SEED)
 
-PATTERNS = ("address", "vocative", "threat")
-#: Weights of patterns: plain, negated and reported; a pile; and the constant.
-WEIGHTS = {"constant": -4.0, "pile": 1.5} | {p + m: w * f for p, w in zip(PATTERNS, (5.0, 3.0, 5.0), strict=True) for m, f in (("", 1.0), ("-", 0.1), ('"', 0.3))}
+PATTERNS = ("address", "vocative", "threat", "run", "bare")
+#: Weights of patterns, plain, negated and reported, and the constant.
+WEIGHTS = {"constant": -4.0} | {p + m: w * f for p, w in zip(PATTERNS, (5.0, 3.0, 5.0, 1.5, 1.0), strict=True) for m, f in (("", 1.0), ("-", 0.1), ('"', 0.3))}
 FEATURES = tuple(WEIGHTS)
+BARE = tuple(f for f in FEATURES if f.startswith("bare"))
 
 
 class Fst:
@@ -138,57 +146,78 @@ class _Marker:
 
 
 def _threat(state, s):
-    """state: words left for a harming verb, its mark, words left for a target."""
-    ready, mark, aim = state
+    """state: words left for a harming verb, its mark, words left for a target,
+    and the mark of a threat that waits for the next word."""
+    ready, mark, aim, waits = state
     kind, own = _kind(s)
+    said = ("threat" + waits,) if waits is not None and kind != PARTICLE else ()
+    if kind == PARTICLE:
+        s = OTHER
     if kind == HARM:
-        return ((max(0, ready - 1), own, 3) if ready else (0, mark, max(0, aim - 1))), (OTHER,)
+        return ((max(0, ready - 1), own, 3, None) if ready else (0, mark, max(0, aim - 1), None)), (*said, OTHER)
     if kind == TARGET and aim:
-        return (max(0, ready - 1), "", 0), ("threat" + mark, s)
-    return (3 if s == INTENT else max(0, ready - 1), mark if aim > 1 else "", max(0, aim - 1)), (s,)
+        return (max(0, ready - 1), "", 0, mark), (*said, s)
+    return (3 if s == INTENT else max(0, ready - 1), mark if aim > 1 else "", max(0, aim - 1), None), (*said, s)
 
 
-def _address(left, s):
-    """left: -1 right after someone addressed, else words left for an insult."""
+def _address(state, s):
+    """state: -1 right after someone addressed, else words left for an insult;
+    what stands before: nothing, a word that makes an insult literal, or any."""
+    left, before = state
     kind, mark = _kind(s)
+    if kind == "threat":
+        return state, (s,)
     if kind in (INSULT, SLUR):
-        return (4 if left else 0), (("address" if left else "loose") + mark,)
+        if left:
+            return (4, ""), ("address" + mark,)
+        if kind == SLUR or not before:
+            return (0, ""), ("loose" + mark,)
+        return (0, ""), (OTHER if before == "literal" else "opening" + mark,)
+    before = "literal" if kind in (DEFINITE, DEGREE, BEING) else ""
     if kind == TARGET:
-        return -1, (s,)
+        return (-1, before), (s,)
     if kind == DEFINITE or kind == OTHER and left < 0:
-        return 0, (s,)
+        return (0, before), (s,)
     if kind == BEING and left < 0:
-        return 4, (s,)
-    return (left if left < 0 else max(0, left - 1)), (s,)
+        return (4, before), (s,)
+    return (left if left < 0 else max(0, left - 1), before), (s,)
 
 
 def _vocative(state, s):
-    """state: words so far (3: more), and the mark of a loose insult that waits."""
+    """state: words so far (3: more), and a loose insult that waits."""
     n, waits = state
     kind, mark = _kind(s)
     if s == END:
-        return (n, None), (() if waits is None else ("vocative" + waits,))
-    if kind in PATTERNS and kind != "address":  # a threat stands beside the word it is aimed at
+        return (n, None), (() if waits is None else ("vocative" + _kind(waits)[1],)) + (s,)
+    if kind == "threat":  # stands beside the word it is aimed at
         return (n, waits), (s,)
-    n = min(3, n + 1)
+    n, single = min(3, n + 1), kind in ("loose", "opening")
     if n == 3:
-        before = () if waits is None else ("loose" + waits,)
-        return (3, None), before + ((s,) if kind in ("loose", "address") else ())
-    if kind == "loose" and waits is None:
-        return (n, mark), ()
-    return (n, waits), ((s,) if kind in ("loose", "address") else ())
-
-
-def _pile(armed, s):
-    """Over the marks of a whole text: the first loose insult only arms; a
-    negated or reported one is none."""
-    if s == "loose":
-        return 1, ("pile",) if armed else ()
-    return armed, (s,) if s in WEIGHTS else ()
+        return (3, None), (() if waits is None else (waits,)) + ((s,) if single or kind == "address" else ())
+    if single and waits is None:
+        return (n, s), ()
+    if waits == "opening" and not single and kind != TARGET:  # the first part of a compound
+        return (n, None), (waits,)
+    return (n, waits), ((s,) if single or kind == "address" else ())
+
+
+def _clause(state, s):
+    """state: whether an insult has come, and the mark of the clause's loose
+    ones (none, plain, or of the first).  An opening comes after the second
+    word, which is then the run's."""
+    armed, bare = state
+    kind, mark = _kind(s)
+    if s == END:
+        return (False, None), (() if bare is None else ("bare" + bare,))
+    if kind == "opening":
+        return (True, bare), (("run" + bare,) if armed else ())
+    if kind == "loose":
+        return (True, mark if bare is None or not mark else bare), (("run" + mark,) if armed else ())
+    return state, ((s,) if kind in PATTERNS else ())
 
 
 def machines() -> list[Fst]:
-    return [Fst(0, _Marker(NOT, "-", 3)), Fst(0, _Marker(REPORT, '"', 4)), Fst((1, "", 0), _threat), Fst(0, _address), Fst((0, None), _vocative)]
+    return [Fst(0, _Marker(NOT, "-", 3)), Fst(0, _Marker(REPORT, '"', 4)), Fst((1, "", 0, None), _threat), Fst((0, "nothing"), _address), Fst((0, None), _vocative), Fst((False, None), _clause)]
 
 
 def grammar() -> Fst:
@@ -211,7 +240,7 @@ def _opening(low: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 class Matcher:
     def __init__(self, lexicon: dict[str, str], fst: Fst, weights: dict[str, float]):
-        self.fst, self.piles, self.weights = fst, Fst(0, _pile), weights
+        self.fst, self.weights = fst, weights
         self.kinds = [OTHER, *SEED]
         self.stems = {w[:-1].encode(): self.kinds.index(k) for w, k in lexicon.items() if w.endswith("*")}
         self.lengths = sorted({len(x) for x in self.stems})
@@ -268,20 +297,17 @@ class Matcher:
         """[texts, FEATURES] and the clauses that weigh: row, first and last
         byte, weight."""
         out = np.zeros((len(text), len(FEATURES)))
-        out[:, 0] = 1
-        states: dict[int, int] = {}
         clauses = []
         for d, marks, a, b in self.clauses(text):
-            weight = 0.0
             for m in marks:
-                states[d], patterns = self.piles.step(states.get(d, 0), m)
-                for x in patterns:
-                    out[d, FEATURES.index(x)] += 1
-                    weight += self.weights[x]
-            if weight:
-                clauses.append((d, a, b, weight))
-        out[:, 1:] = np.log2(1 + out[:, 1:])
-        return out, clauses
+                out[d, FEATURES.index(m)] += 1
+            clauses.append((d, a, b, sum(self.weights[m] for m in marks), all(m in BARE for m in marks)))
+        bare = [FEATURES.index(m) for m in BARE]
+        several = out[:, bare].sum(axis=1) > 1
+        out[:, [k for k in range(1, len(FEATURES)) if k not in bare]] += 1
+        out = np.log2(np.maximum(1, out))
+        out[:, 0] = 1
+        return out, [c[:4] for c in clauses if several[c[0]] or not c[4]]
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         z = features @ np.array([self.weights[f] for f in FEATURES])
@@ -348,7 +374,7 @@ def _word_counts(sample: DataFrame, text_col: str, label: str) -> DataFrame:
 
 def _explain(sample: DataFrame, candidates: set[str], known: set[str], text_col: str, label: str, gain: int) -> list[str]:
     """Candidates that explain toxic texts, the most explaining first.  A text
-    is explained by two places of known or taken words, as a pile needs."""
+    is explained by two places of known or taken words, as bare clauses need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stems = sorted({len(c) - 1 for c in candidates if c.endswith("*")})

@@ -81,7 +81,8 @@ def plain_marks(x):
     for i in range(n):
         before = [a for a in armed if i - 3 <= a < i]
         if x[i] == t.TARGET and before and t.TARGET not in x[before[-1] + 1 : i]:
-            threats[i] = "threat" + mark[before[-1]]
+            if i + 1 == n or x[i + 1] != t.PARTICLE:
+                threats[i] = "threat" + mark[before[-1]]
     insult = [s in (t.INSULT, t.SLUR) for s in x]
     quiet = {t.DEGREE, t.NOT, t.INTENT, t.REPORT}
 
@@ -101,13 +102,18 @@ def plain_marks(x):
                 return True
         return False
 
-    out = []
-    for i in range(n):
-        if i in threats:
-            out.append(threats[i])
-        if insult[i]:
-            kind = "address" if aimed(i) else "vocative" if n <= 2 and not any(insult[j] and not aimed(j) for j in range(i)) else "loose"
-            out.append(kind + mark[i])
+    def single(i):
+        return insult[i] and not aimed(i) and (x[i] == t.SLUR or not (i and x[i - 1] in (t.DEFINITE, t.DEGREE, t.BEING)))
+
+    out = list(threats.values()) + ["address" + mark[i] for i in range(n) if insult[i] and aimed(i)]
+    alone = [i for i in range(n) if single(i)]
+    compound = n == 2 and x[0] == t.INSULT and not insult[1] and x[1] != t.TARGET
+    if n <= 2 and alone and not compound:
+        out.append("vocative" + mark[alone.pop(0)])
+    loose = [i for i in alone if i or x[i] == t.SLUR]
+    out += ["run" + mark[i] for i in loose if any(j < i for j in alone)]
+    if loose:
+        out.append("bare" + ("" if any(not mark[i] for i in loose) else mark[loose[0]]))
     return sorted(out)
 
 
@@ -126,10 +132,11 @@ def test_toxicity_grammar():
 @pytest.mark.parametrize("learned", [False, True])
 def test_toxicity_needs_patterns(spark, learned):
     clean = ["The trash is collected on Monday.", "Take out the garbage.", "Kill the process.", "You take out the trash.", "They will destroy the evidence against them.", "He said: it was stupid.", "You are not an idiot."]
+    clean += ["The trash is collected on Monday. Take out the garbage.", "The clown fish and the pig live here. The clown made us laugh.", "Garbage collection: garbage is freed. Trash is emptied.", "I will kill them off in chapter two."]
     toxic = ["You idiot", "You are such a pathetic loser.", "I will kill you.", "I am going to hurt you, moron.", "Idiot, moron, scum, clown, loser, trash and filth everywhere"]
     m = toxicity.Matcher(toxicity.seed_lexicon(), toxicity.grammar(), toxicity.WEIGHTS)
     if learned:
-        m = toxicity.learn(spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/labels.parquet"))
+        m = toxicity.learn(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
     docs = spark.createDataFrame(list(enumerate(clean + toxic)), "doc_id long, text string")
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, m).collect()}
     assert [got[i] for i in range(len(got))] == [0] * len(clean) + [1] * len(toxic)
@@ -137,16 +144,12 @@ def test_toxicity_needs_patterns(spark, learned):
 
 def plain_toxicity(text, lexicon, weights):
     n = dict.fromkeys(toxicity.FEATURES, 0)
-    loose = 0
     stems = sorted((w[:-1] for w in lexicon if w.endswith("*")), key=lambda w: len(w.encode()))
     kind = lambda w: lexicon.get(w) or next((lexicon[p + "*"] for p in stems if w.startswith(p)), toxicity.OTHER)
     for clause in re.split(r"[.!?;:\n]", text or ""):
         for m in plain_marks([kind(w) for w in alnum_words(clause)]):
-            loose += m == "loose"
-            if m in n:
-                n[m] += 1
-    n["pile"] = max(0, loose - 1)
-    z = weights["constant"] + sum(weights[f] * math.log2(1 + k) for f, k in n.items())
+            n[m] += 1
+    z = weights["constant"] + sum(weights[f] * math.log2(max(1, k) if f.startswith("bare") else 1 + k) for f, k in n.items())
     return 1 / (1 + math.exp(-z))
 
 
@@ -219,7 +222,7 @@ def test_too_many_labels_are_an_error(spark):
 def test_toxicity_scores_whole_texts(spark, docs, corpus):
     own = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").union(docs.select(F.col("doc_id") + 10**6, "text"))
     lexicon = toxicity.seed_lexicon() | {"ther*": toxicity.SLUR, "ka": toxicity.SLUR, "of": toxicity.INSULT}
-    weights = toxicity.WEIGHTS | {"pile": 0.4, "address": 0.7, "constant": -5.0}
+    weights = toxicity.WEIGHTS | {"run": 0.4, "bare": 0.6, "address": 0.7, "constant": -5.0}
     rows = toxicity.score(own, toxicity.Matcher(lexicon, toxicity.grammar(), weights)).collect()
     assert len(rows) == own.count() and len({round(r["score"], 4) for r in rows}) > 20
     for r in rows:
