@@ -11,6 +11,7 @@ follows the words of a text, not a multiple of its bytes.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from strophe.plans.lineage import checkpoint, shared_folder
 
-__all__ = ["add_columns", "blocks", "bytes_of", "checkpoint", "hashes", "held_out", "mix", "shared_folder", "shingles", "stored", "words"]
+__all__ = ["add_columns", "blocks", "bytes_of", "checkpoint", "give_back", "hashes", "held_out", "mix", "shared_folder", "shingles", "stored", "tidy", "words"]
 
 CHUNK = 1 << 18
 BLOCK = 4 << 20
@@ -41,6 +42,28 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: idle Python workers are kept for
+    later tasks, and would hold all that their largest task has had."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over a task's batches that gives memory back at its end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back."""
     place = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
@@ -193,5 +216,5 @@ def add_columns(
             made = apply(*[batch.column(n_kept + i) for i in range(n_in)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], *made], names=names)
 
-    out = plain.mapInArrow(run, schema)
+    out = plain.mapInArrow(tidy(run), schema)
     return out.toDF(*kept, *[f.name for f in fields])
