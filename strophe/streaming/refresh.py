@@ -36,7 +36,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from strophe.operators import contexts as C
 from strophe.operators.sessions import STEP_S
 from strophe.operators.timing import human_score
-from strophe.operators.tracking import CONTEXT_S
+from strophe.operators.tracking import CONTEXT_S, Refresher
 from strophe.plans.lineage import checkpoint, remove
 from strophe.streaming.live import KEPT_S, ROWS, Live
 
@@ -240,8 +240,16 @@ def live_sessions(notes: DataFrame, event_time: str, step: float = STEP_S, idle_
     return rows.groupBy("session_id").transformWithStateInPandas(LiveSessions(step, idle_s, backlog_s, event_time), f"session_id {kind}, {SHAPE}", "Append", "EventTime")
 
 
-def replayed(notes: DataFrame, step: float = STEP_S, idle_s: float = 30.0) -> DataFrame:
-    """The same rows for a table of whole sessions, each until it ends."""
+class _Still(Refresher):
+    """No tempo and no beats."""
+
+    def take(self, *_) -> None:
+        pass
+
+
+def replayed(notes: DataFrame, step: float = STEP_S, idle_s: float = 30.0, timing: bool = True) -> DataFrame:
+    """The same rows for a table of whole sessions, each until it ends; without
+    ``timing`` there are keys and chords only."""
     kind = notes.schema["session_id"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -253,6 +261,8 @@ def replayed(notes: DataFrame, step: float = STEP_S, idle_s: float = 30.0) -> Da
             else:
                 good.append((float(a), float(b), int(p), 0.0 if c is None or math.isnan(c) else float(c)))
         s = Session(step, idle_s)
+        if not timing:
+            s.refresher = _Still()
         if good:
             s.hear(good)
             wrong += s.advance(math.inf)
