@@ -18,9 +18,12 @@ from strophe.operators import signal as S
 from strophe.operators import tempo as T
 from strophe.operators import timing as X
 from strophe.operators import tracking as Y
+from strophe.operators import transcription as A
 from strophe.plans import views as V
 from strophe.sources import export, midi, synthetic
 from strophe.sources import settings as Settings
+from strophe.streaming import closing as L
+from strophe.streaming import refresh as R
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -898,4 +901,58 @@ def _(spark, d):
     return found.groupBy(F.col("path").cast("long").alias("session_id")).agg(n("on").alias("notes"), n("marker").alias("beats"), n("tempo").alias("tempos"))
 
 
+@query("chord_sheet_lines", """ select session_id, row_number() over (partition by session_id order by start_s, end_s, line) as i, line
+from (select session_id, start_s, end_s, printf('%.3f,%.3f,C%d,C major', start_s, end_s, midi_note % 7) as line from notes)""")
+def _(spark, d):
+    n = _notes(spark, d)
+    c = export.sheets(n.select("session_id", "start_s", "end_s", F.concat(F.lit("C"), (F.col("midi_note") % 7).cast("string")).alias("chord"), F.lit("C major").alias("key")))
+    lines = c.select("session_id", F.posexplode(F.split("csv", "\r\n")).alias("i", "line"))
+    return lines.where("i > 0 and line <> ''").select("session_id", F.col("i").cast("long").alias("i"), "line")
+
+
+@query("midi_messages", """, f as (select *, case when lag(time_s) over w is null then 0 else time_s end as a from tempo window w as (partition by session_id order by time_s, event_id)),
+p as (select *, lead(a) over (partition by session_id order by a, event_id) as b from f),
+q as (select session_id, event_id, a, b, bpm, coalesce(sum((b - a) * bpm * 480 / 60) over (partition by session_id order by a, event_id rows between unbounded preceding and 1 preceding), 0) as done from p),
+e as (select session_id, event_id, midi_note, 'on' as kind, start_s as at from notes union all select session_id, event_id, midi_note, 'off', end_s from notes),
+t as (select e.*, cast(round_even(done + greatest(0, e.at - a) * bpm * 480 / 60, 0) as bigint) as tick from e join q on q.session_id = e.session_id and (e.at > a or a = 0) and (b is null or e.at <= b)),
+o as (select n.session_id, n.midi_note, n.tick as first, greatest(m.tick, n.tick + 1) as last from t n join t m using (session_id, event_id) where n.kind = 'on' and m.kind = 'off')
+select session_id, tick, kind, midi_note as pitch, count(*) as n from (
+  select session_id, midi_note, 'on' as kind, first as tick from o union all select session_id, midi_note, 'off', last from o) group by all""")
+def _(spark, d):
+    """Every note message of the files that are written, with its tick."""
+    beats = _beats(spark, d).withColumn("beat_in_bar", (F.col("time_s") * 2 % 4 + 1).cast("int")).withColumn("is_downbeat", F.col("beat_in_bar") == 1)
+    made = midi.files(export.midi_events(_notes(spark, d).withColumn("velocity", F.lit(96)), _tempo(spark, d), beats))
+    found = midi.parsed(made.select(F.col("session_id").cast("string").alias("path"), F.col("midi").alias("content"))).where("kind in ('on', 'off')")
+    return found.groupBy(F.col("path").cast("long").alias("session_id"), "tick", "kind", "pitch").agg(F.count("*").alias("n"))
+
+
+@query("replay_segments")
+def _(spark, d):
+    """Keys and chords as live refreshes leave them."""
+    items = R.current(R.replayed(_notes(spark, d), timing=False))
+    return _rounded(items.where("kind in ('key', 'chord')").select("session_id", "kind", "start_s", "end_s", "name", "key", "function", "confidence"))
+
+
+@query("closed_sessions")
+def _(spark, d):
+    """What the archive gets of every session that is kept."""
+    n = _notes(spark, d)
+    return _rounded(L.finished(R.replayed(n, timing=False), n))
+
+
+# a vector's three largest values are a chord, each in a range of its own
+@query("transcribed_chords", """ with v as (select vec_id, list_transform(embedding[1:12], lambda x: abs(x::double)) as c from embeddings where len(embedding) >= 12),
+p as (select vec_id, unnest(range(12)) as pitch_class, unnest(c) as x from v),
+r as (select vec_id, pitch_class, row_number() over (partition by vec_id order by x desc, pitch_class) as k from p)
+select cast(30 + 14 * k + pitch_class as int) as midi_note, count(*) as notes, true as nearly_all from r where k <= 3 group by 1""")
+def _(spark, d):
+    """Chords of all vectors, rendered as audio and transcribed: whether nine
+    of ten notes of each pitch come back within 50 ms."""
+    v = V.read(spark, d, "embeddings").where(F.size("embedding") >= 12)
+    top = F.slice(F.array_sort(F.transform(F.slice("embedding", 1, 12), lambda x, i: F.struct((-F.abs(x.cast("double"))).alias("x"), i.alias("pitch_class")))), 1, 3)
+    notes = v.select(F.col("vec_id").alias("session_id"), F.posexplode(top).alias("k", "c")).select("session_id", F.lit(0.25).alias("start_s"), F.lit(0.9).alias("end_s"), (44 + 14 * F.col("k") + F.col("c.pitch_class")).cast("int").alias("midi_note"))
+    heard = A.transcribe(A.rendered(notes, 1.0, block_s=1.0)).where("abs(start_s - 0.25) <= 0.05").select("session_id", "midi_note").distinct().withColumn("heard", F.lit(True))
+    return notes.join(heard, ["session_id", "midi_note"], "left").groupBy("midi_note").agg(F.count("*").alias("notes"), (F.count("heard") >= 0.9 * F.count("*")).alias("nearly_all"))
+
+
 SQL["feature_row"] = V.SQL + _features_sql()

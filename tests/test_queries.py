@@ -7,7 +7,7 @@ import pytest
 from strophe.queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
-ORDER = ("session_id", "event_id", "vec_id", "frame", "onset_s", "anchor", "time_s", "pitch_class", "pitch", "start_s", "block", "first", "fresh", "seq", "k")
+ORDER = ("session_id", "event_id", "vec_id", "frame", "onset_s", "anchor", "time_s", "pitch_class", "pitch", "start_s", "block", "first", "fresh", "seq", "k", "tick", "kind", "midi_note", "i")
 
 
 @pytest.fixture(scope="module")

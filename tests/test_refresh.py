@@ -68,8 +68,10 @@ def test_spliced_segments():
 def rocks(spark):
     name = "spark.sql.streaming.stateStore.providerClass"
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
     yield spark
     spark.conf.unset(name)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def run(spark, folder, batches, sink, **options):
@@ -162,7 +164,7 @@ def test_kept_tables_do_not_depend_on_batches(rocks, tmp_path):
     rows = sorted(song(1, 100, 6) + song(2, 20, 7), key=lambda r: r[1])
     clocks = [[(99, at(t), float(t), t + 0.1, 60, 0.5)] for t in (140, 180)]
     found = []
-    for cut in (400, 40):
+    for cut in (400, 80):
         folder = tmp_path / str(cut)
         upsert = R.keep(f"{folder}/kept")
 
