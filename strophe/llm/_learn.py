@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sample_by_label(rows: DataFrame, label: str, key: str, per_label: int, most_labels: int = 10_000) -> tuple[DataFrame, dict]:
-    """About ``per_label`` rows of each label, at most twice that in all, chosen
-    by a hash of ``key``; and the row counts by label.  Rows with a null label
+def sample_by_label(rows: DataFrame, label: str, key: str, per_label: int, most_labels: int = 10_000, most_rows: int | None = None) -> tuple[DataFrame, dict]:
+    """About ``per_label`` rows of each label, fewer where all labels would be
+    over ``most_rows``, at most twice that in all, chosen by a hash of ``key``;
+    and the row counts by label.  Rows with a null label
     are left out.  Only counts by label reach the driver; over ``most_labels``
     labels are an error, none is left out.
     """
@@ -18,6 +19,8 @@ def sample_by_label(rows: DataFrame, label: str, key: str, per_label: int, most_
         raise ValueError(f"over {most_labels} values of {label}")
     if not counts:
         return rows.limit(0), counts
+    if most_rows is not None:
+        per_label = min(per_label, max(1, most_rows // len(counts)))
     kind = rows.schema[label].dataType.simpleString()
     shares = rows.sparkSession.createDataFrame([(value, min(1.0, per_label / n)) for value, n in counts.items()], f"__label {kind}, __share double")
     unit = F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -100,9 +100,12 @@ class Model:
         return (loss * self.trust).sum(axis=2) / max(1e-6, float(self.trust.sum()))
 
 
-def learn(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "lang", per_language: int = 500) -> Model:
+def learn(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "lang", per_language: int = 500, most_rows: int = 10_000) -> Model:
+    """Fit to about ``per_language`` rows of each language; ``most_rows`` (256
+    MB of counts, and as much again as features) bounds the driver's memory
+    where there are over 20 languages."""
     rows = rows.where(F.col(text_col).rlike(r"\p{L}"))
-    sample, _ = sample_by_label(rows, label, id_col, per_language)
+    sample, _ = sample_by_label(rows, label, id_col, per_language, most_rows=most_rows)
 
     def make():
         def apply(text):

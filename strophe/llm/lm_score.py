@@ -43,6 +43,8 @@ FLUSH = 2_000_000
 SCAN = 8 << 20
 LEARN = 1 << 20
 PIECE = 1 << 14
+#: Results of so many tasks are summed up at once.
+FAN = 64
 
 
 def tokens(buf: np.ndarray, offsets: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,8 +188,9 @@ def _sample(texts: DataFrame, text_col: str, shared, share: float, most: int) ->
 
 def _learn(texts: DataFrame, text_col: str, shared) -> np.ndarray:
     """Parameters of the network, one after the other, after training on the
-    texts.  Tasks' results are summed up piece by piece, so the driver gets one
-    of each."""
+    texts.  Tasks' results are summed up by pieces, ``FAN`` tasks at a time and
+    their sums again, so no group grows with the tasks and the driver gets one
+    row of each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, net, adam, held, n_held, total = None, None, {}, [], 0, 0
@@ -222,10 +225,15 @@ def _learn(texts: DataFrame, text_col: str, shared) -> np.ndarray:
         for x in table.column("sums"):
             x = np.frombuffer(x.as_py())
             total = x if total is None else total + x
-        return pa.table({"piece": table.column("piece").slice(0, 1), "task": table.column("task").slice(0, 1), "weight": pa.array([sum(table.column("weight").to_pylist())]), "sums": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"piece": table.column("piece").slice(0, 1), "task": pa.array([table.column("task")[0].as_py() // FAN], pa.int32()), "weight": pa.array([sum(table.column("weight").to_pylist())]), "sums": pa.array([total.tobytes()], pa.binary())})
 
     shape = "piece int, task int, weight double, sums binary"
-    got = sorted(texts.select(text_col).mapInArrow(run, shape).groupBy("piece").applyInArrow(merge, shape).collect(), key=lambda r: r["piece"])
+    sums = checkpoint(texts.select(text_col).mapInArrow(run, shape))
+    tasks = sums.agg(F.coalesce(F.max("task") + 1, F.lit(0))).first()[0]
+    while tasks > 1:
+        sums = sums.groupBy("piece", F.floor(F.col("task") / FAN).alias("slot")).applyInArrow(merge, shape)
+        tasks = -(-tasks // FAN)
+    got = sorted(sums.collect(), key=lambda r: r["piece"])
     return np.concatenate([np.zeros(0), *(np.frombuffer(r["sums"]) / r["weight"] for r in got)])
 
 

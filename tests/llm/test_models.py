@@ -219,6 +219,12 @@ def test_too_many_labels_are_an_error(spark):
         _learn.sample_by_label(rows, "lang", "doc_id", 5, most_labels=29)
 
 
+def test_many_languages_share_a_bound(spark):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 40).cast("string").alias("lang"))
+    drawn, counts = _learn.sample_by_label(rows, "lang", "doc_id", 500, most_rows=400)
+    assert len(counts) == 40 and 200 < drawn.count() <= 800 and drawn.select("lang").distinct().count() == 40
+
+
 def test_toxicity_scores_whole_texts(spark, docs, corpus):
     own = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").union(docs.select(F.col("doc_id") + 10**6, "text"))
     lexicon = toxicity.seed_lexicon() | {"ther*": toxicity.SLUR, "ka": toxicity.SLUR, "of": toxicity.INSULT}
@@ -474,6 +480,16 @@ def test_lm_learns_from_all_texts(spark):
     assert rows[10_000]["score"] > rows[10_001]["score"] + 0.5 and math.isclose(rows[10_000]["base_score"], rows[10_001]["base_score"], abs_tol=1e-9)
 
 
+def test_lm_sums_of_many_tasks(spark, monkeypatch):
+    """Tasks' networks are summed two at a time to what one sum gives."""
+    texts = spark.createDataFrame([(f"w{i % 7} w{i % 5} w{i % 3} " * 20,) for i in range(45)], "text string").repartition(9)
+    tables, _ = lm_score.fit(texts, kinds=1, classes=2, per_class=4, start_texts=1, rounds=0)
+    shared = spark.sparkContext.broadcast(tables)
+    flat = lm_score._learn(texts, "text", shared)
+    monkeypatch.setattr(lm_score, "FAN", 2)
+    assert np.allclose(flat, lm_score._learn(texts, "text", shared), rtol=1e-9, atol=1e-12) and len(flat)
+
+
 def test_lm_frequent_tokens(spark):
     counts = spark.createDataFrame([(i, 0, n) for i, n in enumerate([1, 1, 1, 2, 2, 5, 70, 1000, 1001])], "hash long, kind int, n long")
     for most, want in ((0, []), (1, []), (2, [1000, 1001]), (4, [5, 70, 1000, 1001]), (5, [5, 70, 1000, 1001]), (6, [2, 2, 5, 70, 1000, 1001]), (99, [1, 1, 1, 2, 2, 5, 70, 1000, 1001])):
