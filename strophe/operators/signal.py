@@ -43,8 +43,8 @@ def level_runs(frames: DataFrame, rate: float, floor_db: float = -46.0, least_s:
 
 def probable_runs(frames: DataFrame, on: float = 0.30, tolerance: int = 11, least: int = 10, peak: float = 0.58) -> DataFrame:
     """session_id, pitch, first, stop, confidence: frames (session_id, pitch,
-    frame, probability) of ``on`` or more, split where over ``tolerance`` frames
-    lie between two; of more than ``least`` frames that reach ``peak``.  The
+    frame, probability) of ``on`` or more, split where ``tolerance`` frames or
+    more lie between two; of more than ``least`` frames that reach ``peak``.  The
     confidence is the mean over all frames from first to stop."""
     w = Window.partitionBy("session_id", "pitch").orderBy("frame")
     x = frames.withColumn("active", F.col("probability") >= on).withColumn("before", F.last(F.when(F.col("active"), F.col("frame")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
