@@ -158,7 +158,7 @@ ms-rl | 7 | microsoft reciprocal | microsoft reciprocal license
 ecl-2.0 | 7 | educational community | educational community license(?: version 2 0)?
 upl-1.0 | 7 | universal permissive | universal permissive license(?: version)?(?: v ?1 0)?
 mulanpsl-2.0 | 7 | mulan psl | mulan psl v ?2
-wtf-public-domain | 3 | public domain | (?:is |are |placed |released |dedicated )(?:in|into|to) the public domain
+public-domain | 3 | public domain | (?:is |are |placed |released |dedicated )(?:in|into|to) the public domain
 vim | 5 | vim license | vim license
 w3c | 5 | w3c software | w3c software (?:notice and )?license
 ipl-1.0 | 5 | ibm public | ibm public license(?: version 1 0)?
