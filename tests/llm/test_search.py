@@ -6,6 +6,7 @@ from re import _constants as sre
 from re import _parser as parser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strophe.llm import decontaminate, jaccard_join, license_rules, license_scan
@@ -76,6 +77,49 @@ def test_jaccard_large_clusters(spark, monkeypatch):
     same(spark, family(3, n=80))
 
 
+def test_jaccard_sets_of_large_clusters_are_not_written(spark, monkeypatch):
+    """Pieces are joined from the texts; files hold no sets."""
+    written, plain = [], jaccard_join.checkpoint
+    monkeypatch.setattr(jaccard_join, "checkpoint", lambda df: written.append(df.columns) or plain(df))
+    monkeypatch.setattr(jaccard_join, "PIECE", 500)
+    rows = family(6, n=80)
+    # one class over many pieces
+    same(spark, rows + [(1000 + i, f"{rows[0][1]} end{i}") for i in range(60)])
+    assert len(written) > 5 and not any("shingles" in columns for columns in written)
+
+
+def test_jaccard_groups_by_place_and_size(spark):
+    """Sets that share a prefix shingle are a group only if they may link by
+    their sizes and by what follows it."""
+    rng = np.random.default_rng(8)
+    words = lambda n: [str(x) for x in rng.integers(0, 10**9, n)]
+    passage, base = words(5), words(100)
+    rows = [(1, passage + words(60)), (2, passage + words(600)), (3, base + words(8)), (4, base + words(9))]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    # the passage is first in the order, so in both prefixes
+    sets = dict(jaccard_join.text_sets(pa.array([t for _, t in rows])))
+    others = np.unique(np.concatenate([np.setdiff1d(s, np.intersect1d(sets[0], sets[1])) for s in sets.values()]))
+    ranks = spark.sparkContext.broadcast(jaccard_join._Ranks(others, np.full(len(others), 2)))
+    routed = jaccard_join._route(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), ranks, 3)
+    groups = routed.groupBy("bucket").applyInArrow(jaccard_join._meet, "gid long, sids array<long>").where("gid is not null").collect()
+    ids = [jaccard_join.set_id(sets[i]) for i in range(4)]
+    assert groups and all(sorted(r["sids"]) == sorted(ids[2:]) for r in groups)
+    same(spark, rows)
+
+
+def test_jaccard_places_lose_no_link():
+    rng = np.random.default_rng(9)
+    n = np.concatenate([rng.integers(1, 60, 4000), np.exp(rng.uniform(0, 16, 4000)).astype(np.int64)])
+    m = np.maximum(1, (n * rng.uniform(0.7, 1.4, len(n))).astype(np.int64))
+    i, j = (np.array([rng.integers(0, jaccard_join.prefix_length(int(x))) for x in k]) for k in (n, m))
+    both = np.concatenate([n, m])
+    size = (np.searchsorted(jaccard_join._STEPS, both, side="right") - 1).astype(np.uint8)
+    place = np.minimum(np.concatenate([i, j]) * jaccard_join._PLACES // both, 255).astype(np.uint8)
+    kept = jaccard_join._can_link(size, place, np.arange(len(n)), np.arange(len(n)) + len(n))
+    can = np.minimum(n - i, m - j) >= jaccard_join.need(n, m)
+    assert (kept | ~can).all() and can.any() and not kept.all()
+
+
 def test_jaccard_shingles_common_over_all_chunks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "MOST", 5)
     same(spark, family(5, n=80))
