@@ -42,6 +42,8 @@ END = np.uint64(0x0E4D0F7E875AFE77)  # stands for the end token
 FLUSH = 2_000_000
 SCAN = 8 << 20
 LEARN = 1 << 20
+#: Tokens of the texts that the network scores at once (4 bytes each).
+SCORE = 4 << 20
 PIECE = 1 << 14
 #: Results of so many tasks are summed up at once.
 FAN = 64
@@ -245,6 +247,18 @@ def _score(docs: DataFrame, text_col: str, id_col: str, shared) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, row = None, TaskContext.get().partitionId() << 40
+        parts, texts, held = [], [], 0
+
+        def flush():
+            # many texts at once: few of them are long, and steps of few texts cost as much as others
+            total, at = t.net.score(texts) / np.log(10), 0
+            for cols, more, rest in parts:
+                n = len(more)
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(total[at : at + n] + more), rest], names=["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+                at += n
+            parts.clear()
+            texts.clear()
+
         for batch in batches:
             t = t or shared.value
             buf, offsets = bytes_of(batch.column(2))
@@ -252,13 +266,20 @@ def _score(docs: DataFrame, text_col: str, id_col: str, shared) -> DataFrame:
                 h, begin, kind = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], t.n_kinds)
                 n, rows = np.diff(begin), j - i
                 doc = np.repeat(np.arange(rows), n)
-                at, hit = t.find(t.keys, h)
-                log = np.where(hit, t.log[at], 0.0)
+                # looked up once for each distinct token
+                coded = pa.array(h).dictionary_encode()
+                which, keys = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+                own = np.empty(len(keys), kind.dtype)
+                own[which] = kind
+                at, hit = t.find(t.keys, keys)
+                ids, beyond = t.ids(keys, own)
+                ids, beyond = ids.astype(np.int32)[which], beyond[which]
+                log = np.where(hit, t.log[at], 0.0)[which]
                 base = np.bincount(doc, log, rows)
-                known = np.bincount(doc, hit & t.seen[at], rows).astype(np.int64)
-                ids, beyond = t.ids(h, kind)
-                total = t.net.score([ids[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]) / np.log(10)
-                total += np.bincount(doc[beyond], (log - t.kind_floor[kind])[beyond], rows)
+                known = np.bincount(doc, (hit & t.seen[at])[which], rows).astype(np.int64)
+                hit = hit[which]
+                texts.extend(ids[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True))
+                more = np.bincount(doc[beyond], (log - t.kind_floor[kind])[beyond], rows)
                 rare = np.flatnonzero(~hit)
                 key, where = h[rare], doc[rare]
                 order = np.lexsort((key, where))
@@ -268,8 +289,14 @@ def _score(docs: DataFrame, text_col: str, id_col: str, shared) -> DataFrame:
                 cuts = np.searchsorted(where[fresh], np.arange(rows + 1)).astype(np.int32)
                 pairs = pa.StructArray.from_arrays([pa.array(key[fresh].view(np.int64)), pa.array(many)], names=["hash", "many"])
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pairs).cast(rare_type)
-                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(rows)), batch.column(0).slice(i, rows), batch.column(1).slice(i, rows), pa.array(n), pa.array(known), pa.array(base - n * t.floor), pa.array(total), lists], names=["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+                parts.append(([pa.array(row + np.arange(rows)), batch.column(0).slice(i, rows), batch.column(1).slice(i, rows), pa.array(n), pa.array(known), pa.array(base - n * t.floor)], more, lists))
                 row += rows
+                held += len(ids)
+                if held > SCORE:
+                    yield from flush()
+                    held = 0
+        if parts:
+            yield from flush()
 
     shape = f"row long, id {kind_of_id}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<hash:long,many:int>>"
     return docs.select(id_col, "held_out", text_col).mapInArrow(run, shape)

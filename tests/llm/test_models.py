@@ -427,6 +427,23 @@ def test_lm_base_is_exact(docs, corpus, empty):
     assert len(untrained) == len(corpus) and all(r["base_score"] == 0 and r["train_tokens"] == 0 for r in untrained)
 
 
+def test_lm_score_by_any_groups(docs, monkeypatch):
+    """Scores and their rows are the same whatever blocks texts are read in and
+    however many are scored at once."""
+    docs = docs.select("doc_id", "text", (F.col("doc_id") % 3 == 0).alias("held_out")).fillna(False)
+    tables, counts = lm_score.fit(docs.where(~F.col("held_out")), most_words=40, kinds=5, classes=4, per_class=5, start_texts=10)
+    found = []
+    for scan, most in ((lm_score.SCAN, lm_score.SCORE), (50, 100), (50, 10**6)):
+        monkeypatch.setattr(lm_score, "SCAN", scan)
+        monkeypatch.setattr(lm_score, "SCORE", most)
+        rows = lm_score.apply(docs, tables, counts).collect()
+        found.append(sorted((-1 if r["doc_id"] is None else r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in rows))
+    assert len(found[0]) > 10
+    for other in found[1:]:
+        assert [x[:4] for x in other] == [x[:4] for x in found[0]]
+        np.testing.assert_allclose([x[4:] for x in other], [x[4:] for x in found[0]], rtol=1e-5, atol=1e-3)
+
+
 def test_lm_score_of_whole_texts(docs, corpus):
     """Word by word, through the whole text, with exact counts of the words
     beyond the vocabulary."""
