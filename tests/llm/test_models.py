@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strophe.llm import _learn, byte_cnn, gif, language_id, lm_score, packing, token_counts, toxicity
+from strophe.llm import _learn, byte_cnn, gif, gru, language_id, lm_score, packing, token_counts, toxicity
 from strophe.llm.gru import Gru
 from tests.llm.brute import alnum_words, solid_words
 
@@ -398,6 +398,38 @@ def test_gru_gradients():
             assert abs((up - down) / (2 * e) - g.flat[k]) < 2e-3 + 0.05 * abs(g.flat[k])
 
 
+def test_gru_gates_lie_together():
+    """Each gate's values are one piece of memory, so a step is one loop over it."""
+    net = Gru(2, 3, 4)
+    after, values = net.step(np.zeros((5, 4), np.float32), np.arange(5))
+    assert all(x.flags.c_contiguous for x in (after, *values)) and sum(x.size for x in values) >= 3 * after.size
+
+
+def test_gru_windows_keep_no_values(monkeypatch):
+    """Training in memory kept from window to window gives what new memory
+    gives, and is made for the first window and the narrower last one only."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 6, n) for n in (1, 7, 40, 3, 150, 9)]
+    made = []
+
+    def kept(room, name, *shape, plain=gru._kept):
+        made.append(room.get(name) is not (out := plain(room, name, *shape)))
+        return out
+
+    def new(room, name, *shape):
+        return np.full(shape, np.nan, np.float32)
+
+    got = []
+    for memory in (kept, new):
+        monkeypatch.setattr(gru, "_kept", memory)
+        net = Gru(2, 3, 4)
+        net.fit(texts, streams=2, window=8, epochs=1)
+        got.append(net.params())
+    assert all(np.array_equal(a, b) and np.isfinite(a).all() for a, b in zip(*got, strict=True))
+    windows = -(-sum(map(len, texts)) // 2 // 8)
+    assert windows > 10 and sum(made) * windows == 2 * len(made)  # the last window is narrower
+
+
 def test_gru_scores_are_probabilities():
     net = Gru(2, 2, 4)
     every = [np.array(t) for t in itertools.product(range(4), repeat=3)]
