@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strophe.llm._learn import sample_labelled
-from strophe.llm._text import add_columns, bytes_of, checkpoint, held_out
+from strophe.llm._text import add_columns, bytes_of, checkpoint, give_back, held_out
 
 CHUNK, STEP, SPAN, FILTERS = 512, 448, 8, 24
 #: Positions of a filter in a chunk.
@@ -55,9 +55,11 @@ class Network:
         self.v = np.zeros(1, dtype=np.float32)
         self.shift = 0.0
         self.constant: float | None = None
+        self.pairs: list[np.ndarray] | None = None
 
     def pack(self) -> None:
-        """Tables for two bytes at once, which scoring uses."""
+        """Tables for two bytes at once, which scoring uses: 25 MB, made where
+        they are used."""
         self.pairs = [(self.t[k][None, :, :] + self.t[k + 1][:, None, :]).reshape(65536, FILTERS) for k in range(0, SPAN, 2)]
 
     def responses(self, chunks: np.ndarray) -> np.ndarray:
@@ -69,6 +71,8 @@ class Network:
 
     def pooled(self, data: np.ndarray) -> np.ndarray:
         """[chunks, filters]: pooled responses of a whole text, piecewise."""
+        if self.pairs is None:
+            self.pack()
         starts = chunk_starts(len(data))
         n = int(starts[-1]) + CHUNK
         out = np.empty((len(starts), FILTERS), dtype=np.float32)
@@ -154,7 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "quality", train=N
         return net
     net.fit([chunks_of(np.frombuffer(x, np.uint8), chunk_starts(len(x))) for x in got["data"]], y)
     net.shift = float(np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum())))
-    net.pack()
+    give_back()
     return net
 
 

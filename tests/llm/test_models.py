@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import pickle
 import random
 import re
 import zlib
@@ -61,6 +62,14 @@ def test_packed_filters_equal_plain_ones():
     assert np.allclose(plain, net.pooled(data), atol=1e-4)
 
 
+def test_packed_filters_are_not_broadcast(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(14)], "doc_id long, quality int")
+    net = byte_cnn.learn(docs, labels, per_label=5)
+    assert len(pickle.dumps(net)) < 1 << 20
+    got = byte_cnn.score(docs.where("doc_id = 5"), net).first()["score"]
+    assert len(pickle.dumps(net)) < 1 << 20 and math.isclose(got, net.score(np.frombuffer(b"One!", np.uint8)), abs_tol=1e-12)
+
+
 def test_quality_odd_rows(spark, docs, empty, corpus):
     labels = spark.createDataFrame([(i, i % 2) for i in range(14)] + [(None, 1), (3, None)], "doc_id long, quality int")
     got = byte_cnn.score(docs, byte_cnn.learn(docs, labels, per_label=5)).collect()

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 from re import _constants as sre
 from re import _parser as parser
 
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from strophe.llm import decontaminate, jaccard_join, license_rules, license_scan
+from strophe.llm import decontaminate, graph, jaccard_join, license_rules, license_scan
 from strophe.llm.license_rules import rules
 from tests.llm.brute import alnum_words, classes, hits, shingle_set
 
@@ -125,6 +126,42 @@ def test_jaccard_shingles_common_over_all_chunks(spark, monkeypatch):
     same(spark, family(5, n=80))
 
 
+def test_jaccard_order_reaches_the_driver_packed(spark, monkeypatch):
+    """Common shingles come as a row a bucket, each with its share of the most
+    common ones."""
+    rows = family(7, n=80)
+    survey = jaccard_join._survey(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 4)
+    texts = {frozenset(shingle_set(t)) for _, t in rows}
+    want = sorted((n for n in Counter(g for s in texts for g in s).values() if n > 1), reverse=True)
+    for most in (1_000_000, 40):
+        monkeypatch.setattr(jaccard_join, "COMMON", most)
+        got = jaccard_join._common(survey, 4).collect()
+        counts = [np.frombuffer(r["counts"], np.int64).tolist() for r in got]
+        assert len(got) <= 4 and all(len(r["shingles"]) == 8 * len(c) for r, c in zip(got, counts, strict=True))
+        assert all(len(c) <= most // 4 for c in counts)
+        if most > len(want):
+            assert sorted(sum(counts, []), reverse=True) == want
+        else:
+            assert max(max(c) for c in counts) == want[0] and all(c == sorted(c, reverse=True) for c in counts)
+    same(spark, rows)
+
+
+def test_components_of_stars_take_no_step(spark, monkeypatch):
+    steps, plain = [], graph.checkpoint
+    monkeypatch.setattr(graph, "checkpoint", lambda df: steps.append(1) or plain(df))
+
+    def roots(edges):
+        steps.clear()
+        return dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+
+    stars = [(1, 9), (8, 1), (1, 7), (-5, 2), (2, -5), (3, 3), (None, 4)]
+    assert roots(stars) == {1: 1, 9: 1, 8: 1, 7: 1, -5: -5, 2: -5} and len(steps) == 1
+    # one node of two centres, a chain, and a star around its largest node
+    for edges in ([(1, 9), (2, 9), (1, 5)], [(1, 2), (2, 3), (3, 4)], [(9, 1), (9, 2), (9, 5)]):
+        assert set(roots(edges).values()) == {1} and len(steps) > 1
+    assert roots([]) == {}
+
+
 def test_jaccard_without_rows(spark, empty):
     assert jaccard_join.similar_classes(empty).count() == 0
 
