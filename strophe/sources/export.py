@@ -11,30 +11,28 @@ from strophe.sources import midi
 HEADER = "start_time,end_time,chord_name,key"
 
 
-def _at(tempo: DataFrame, rows: DataFrame, time: str, tick: str) -> DataFrame:
-    """rows with the tick of a time under a tempo map."""
-    x = rows.withColumn("event_id", F.monotonically_increasing_id())
-    points = tempo if "event_id" in tempo.columns else tempo.withColumn("event_id", F.lit(0))
-    t = ticks(points, x.select("session_id", "event_id", F.col(time).alias("at_s"))).select("event_id", F.col("tick").alias(tick))
-    return x.join(t, "event_id").drop("event_id")
-
-
 def midi_events(notes: DataFrame, tempo: DataFrame, beats: DataFrame, default_bpm: float = 120.0) -> DataFrame:
     """Event rows (see ``midi.files``) of sessions: the tempo, which its first
     point sets at tick 0 too, a marker for each beat, and the notes (midi_note,
-    velocity, start_s, end_s).  Sessions without tempo have ``default_bpm``."""
+    velocity, start_s, end_s).  Sessions without tempo have ``default_bpm``.
+    Points at one time follow by event_id, if there is one."""
     ids = notes.select("session_id").union(beats.select("session_id")).union(tempo.select("session_id")).distinct()
-    t = tempo.select("session_id", "time_s", "bpm")
-    bare = ids.join(t.select("session_id"), "session_id", "left_anti").select("session_id", F.lit(0.0).alias("time_s"), F.lit(float(default_bpm)).alias("bpm"))
-    first = t.groupBy("session_id").agg(F.min_by("bpm", "time_s").alias("bpm"), F.min("time_s").alias("first_s")).where("first_s > 0").select("session_id", F.lit(0.0).alias("time_s"), "bpm")
+    turn = F.col("event_id").cast("long") if "event_id" in tempo.columns else F.lit(0).cast("long")
+    t = tempo.select("session_id", "time_s", "bpm", turn.alias("event_id"))
+    none = lambda kind: F.lit(None).cast(kind)
+    bare = ids.join(t.select("session_id"), "session_id", "left_anti").select("session_id", F.lit(0.0).alias("time_s"), F.lit(float(default_bpm)).alias("bpm"), none("long").alias("event_id"))
+    first = t.groupBy("session_id").agg(F.min(F.struct("time_s", "event_id", "bpm")).alias("p")).where("p.time_s > 0").select("session_id", F.lit(0.0).alias("time_s"), "p.bpm", none("long").alias("event_id"))
     whole = t.unionByName(first).unionByName(bare)
     us = F.rint(60_000_000 / F.greatest("bpm", F.lit(1.0))).cast("long")
-    none = lambda kind: F.lit(None).cast(kind)
-    moved = _at(whole, whole, "time_s", "tick").select("session_id", "tick", F.lit("tempo").alias("kind"), none("int").alias("pitch"), none("int").alias("velocity"), us.alias("tempo_us"), none("string").alias("text"))
     label = F.concat(F.when(F.col("is_downbeat"), "DOWNBEAT ").otherwise("BEAT "), F.col("beat_in_bar").cast("string"))
-    marks = _at(whole, beats, "time_s", "tick").select("session_id", "tick", F.lit("marker").alias("kind"), none("int").alias("pitch"), none("int").alias("velocity"), none("long").alias("tempo_us"), label.alias("text"))
-    timed = _at(whole, _at(whole, notes, "start_s", "start_tick"), "end_s", "end_tick")
-    return moved.unionByName(marks).unionByName(midi.note_events(timed.select("session_id", "midi_note", "velocity", "start_tick", "end_tick")))
+    moved = whole.select("session_id", F.col("time_s").alias("at_s"), F.lit("tempo").alias("kind"), none("int").alias("pitch"), none("int").alias("velocity"), us.alias("tempo_us"), none("string").alias("text"), none("double").alias("end_s"))
+    marks = beats.select("session_id", F.col("time_s").alias("at_s"), F.lit("marker").alias("kind"), none("int").alias("pitch"), none("int").alias("velocity"), none("long").alias("tempo_us"), label.alias("text"), none("double").alias("end_s"))
+    own = notes.select("session_id", F.col("start_s").alias("at_s"), F.lit("on").alias("kind"), F.col("midi_note").alias("pitch"), "velocity", none("long").alias("tempo_us"), none("string").alias("text"), "end_s")
+    # rows go through with their times: nothing is joined to them again
+    timed = ticks(whole, moved.unionByName(marks).unionByName(own))
+    ends = timed.where("kind = 'on'").select("session_id", F.col("end_s").alias("at_s"), F.col("pitch").alias("midi_note"), "velocity", F.col("tick").alias("start_tick"))
+    ends = ticks(whole, ends).withColumnRenamed("tick", "end_tick")
+    return timed.where("kind <> 'on'").select("session_id", "tick", "kind", "pitch", "velocity", "tempo_us", "text").unionByName(midi.note_events(ends))
 
 
 def sheets(chords: DataFrame) -> DataFrame:

@@ -220,3 +220,16 @@ def test_dense_streams_are_grouped(spark):
         at = t if at is None or t - at > 0.035 else at
         want.append(at)
     assert got == want
+
+
+def test_exported_rows_keep_their_times(spark):
+    """Rows whose order differs from one reading to the next, as that of
+    shuffled rows may, all get their own ticks."""
+    rows = [(i % 5, i, i / 10.0, i / 10.0 + 0.5, 36 + i % 72, 96) for i in range(1000)]
+    kind = "session_id long, event_id long, start_s double, end_s double, midi_note int, velocity int"
+    notes = spark.createDataFrame(rows, kind).mapInPandas(lambda parts: (p.sample(frac=1) for p in parts), kind)
+    tempo = spark.createDataFrame([(s, 0, 0.0, 60.0) for s in range(5)], "session_id long, event_id long, time_s double, bpm double")
+    beats = spark.createDataFrame([], "session_id long, time_s double, beat_in_bar int, is_downbeat boolean")
+    got = [tuple(r) for r in export.midi_events(notes, tempo, beats).where("kind in ('on', 'off')").select("session_id", "kind", "pitch", "tick").collect()]
+    want = [(s, kind, p, round(480 * t)) for s, _, a, b, p, _ in rows for kind, t in (("on", a), ("off", b))]
+    assert sorted(got) == sorted(want)
