@@ -140,36 +140,73 @@ def beats(times: DataFrame) -> DataFrame:
 ORDER = {"tempo": 1, "marker": 2, "off": 3, "on": 4}
 
 
+def _message(kind: str, pitch: int, velocity: int, tempo_us: int, text: str) -> bytes:
+    if kind == "tempo":
+        return b"\xff\x51\x03" + int(tempo_us).to_bytes(3, "big")
+    if kind == "marker":
+        return b"\xff\x06" + vlq(len(text.encode("latin-1"))) + text.encode("latin-1")
+    strength = max(1, min(127, velocity)) if kind == "on" else 0
+    return bytes([0x90 if kind == "on" else 0x80, max(0, min(127, pitch)), strength])
+
+
+class _Track:
+    """A type-0 file whose events come in order."""
+
+    def __init__(self, ppq: int):
+        self.ppq, self.body, self.last = ppq, bytearray(b"\x00\xff\x58\x04\x04\x02\x18\x08"), 0
+
+    def put(self, tick: int, *event) -> None:
+        self.body += vlq(tick - self.last) + _message(*event)
+        self.last = tick
+
+    def file(self) -> bytes:
+        track = bytes(self.body) + b"\x00\xff\x2f\x00"
+        return b"MThd" + (6).to_bytes(4, "big") + (0).to_bytes(2, "big") + (1).to_bytes(2, "big") + self.ppq.to_bytes(2, "big") + b"MTrk" + len(track).to_bytes(4, "big") + track
+
+
 def encode(events: list[tuple[int, str, int, int, int, str]], ppq: int = PPQ) -> bytes:
     """A type-0 file from (tick, kind, pitch, velocity, tempo_us, text)."""
-    body, last = [b"\x00\xff\x58\x04\x04\x02\x18\x08"], 0
-    for tick, kind, pitch, velocity, tempo_us, text in sorted(events, key=lambda e: (e[0], ORDER[e[1]])):
-        if kind == "tempo":
-            raw = b"\xff\x51\x03" + int(tempo_us).to_bytes(3, "big")
-        elif kind == "marker":
-            raw = b"\xff\x06" + vlq(len(text.encode("latin-1"))) + text.encode("latin-1")
-        else:
-            strength = max(1, min(127, velocity)) if kind == "on" else 0
-            raw = bytes([0x90 if kind == "on" else 0x80, max(0, min(127, pitch)), strength])
-        body.append(vlq(tick - last) + raw)
-        last = tick
-    track = b"".join(body) + b"\x00\xff\x2f\x00"
-    return b"MThd" + (6).to_bytes(4, "big") + (0).to_bytes(2, "big") + (1).to_bytes(2, "big") + ppq.to_bytes(2, "big") + b"MTrk" + len(track).to_bytes(4, "big") + track
+    track = _Track(ppq)
+    for e in sorted(events, key=lambda e: (e[0], ORDER[e[1]])):
+        track.put(*e)
+    return track.file()
 
 
 def files(events: DataFrame, ppq: int = PPQ) -> DataFrame:
     """session_id, midi: a file for each session from event rows (session_id,
-    tick, kind, pitch, velocity, tempo_us, text)."""
-    one = F.struct("tick", "kind", F.coalesce("pitch", F.lit(0)).alias("pitch"), F.coalesce("velocity", F.lit(96)).alias("velocity"), F.coalesce("tempo_us", F.lit(500_000)).alias("tempo_us"), F.coalesce("text", F.lit("")).alias("text"))
-    packed = events.groupBy("session_id").agg(F.collect_list(one).alias("events"))
-    kind = packed.schema["session_id"].dataType.simpleString()
+    tick, kind, pitch, velocity, tempo_us, text).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [encode([tuple(e.values()) for e in x], ppq) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["session_id", "midi"])
+    Rows come sorted, so a task holds one session's track and a few finished
+    files at a time, however many events or sessions there are.
+    """
+    turn = F.element_at(F.create_map(*[F.lit(x) for kv in ORDER.items() for x in kv]), F.col("kind"))
+    own = [F.coalesce("pitch", F.lit(0)).alias("pitch"), F.coalesce("velocity", F.lit(96)).alias("velocity"), F.coalesce("tempo_us", F.lit(500_000)).alias("tempo_us"), F.coalesce("text", F.lit("")).alias("text")]
+    rows = events.select("session_id", "tick", turn.alias("turn"), "kind", *own).repartition("session_id").sortWithinPartitions("session_id", "tick", "turn", "pitch", "velocity", "tempo_us", "text").drop("turn")
+    session = events.schema["session_id"].dataType.simpleString()
 
-    return packed.mapInArrow(run, f"session_id {kind}, midi binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, now, track, done = None, None, None, []
+
+        def batch() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([s for s, _ in done], kind), pa.array([f for _, f in done], pa.binary())], names=["session_id", "midi"])
+            done.clear()
+            return made
+
+        for rows in batches:
+            kind = rows.schema.field(0).type
+            for s, *event in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                if track is None or s != now:
+                    if track is not None:
+                        done.append((now, track.file()))
+                    now, track = s, _Track(ppq)
+                track.put(*event)
+            if sum(len(f) for _, f in done) > 1 << 20:
+                yield batch()
+        if track is not None:
+            done.append((now, track.file()))
+            yield batch()
+
+    return rows.mapInArrow(run, f"session_id {session}, midi binary")
 
 
 def note_events(notes_with_ticks: DataFrame) -> DataFrame:

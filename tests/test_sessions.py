@@ -233,3 +233,17 @@ def test_exported_rows_keep_their_times(spark):
     got = [tuple(r) for r in export.midi_events(notes, tempo, beats).where("kind in ('on', 'off')").select("session_id", "kind", "pitch", "tick").collect()]
     want = [(s, kind, p, round(480 * t)) for s, _, a, b, p, _ in rows for kind, t in (("on", a), ("off", b))]
     assert sorted(got) == sorted(want)
+
+
+def test_files_are_made_row_by_row(spark):
+    """A session's events go through in small batches, never as one value."""
+    rows = [(s, 10 * i, kind, 60 + i % 7, 90, None, None) for s in (1, 2, 3) for i in range(40) for kind in ("on", "off")] + [(2, 5, "tempo", None, None, 400_000, None), (2, 20, "marker", None, None, None, "BEAT 1")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        made = midi.files(spark.createDataFrame(rows, "session_id long, tick long, kind string, pitch int, velocity int, tempo_us long, text string"))
+        assert "collect_list" not in made._jdf.queryExecution().toString()
+        got = {r["session_id"]: bytes(r["midi"]) for r in made.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    other = (None, None, None, 0, 96, 500_000, "")
+    assert got == {s: midi.encode(sorted(tuple(o if v is None else v for v, o in zip(r, other))[1:] for r in rows if r[0] == s)) for s in (1, 2, 3)}
