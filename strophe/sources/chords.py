@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strophe.functions.music import thousandths
+
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """path, start_s, end_s, chord, key; a file with any bad row is empty."""
@@ -26,4 +28,4 @@ def keys(chords: DataFrame) -> DataFrame:
 
 def lines(chords: DataFrame) -> DataFrame:
     """The sheet's lines in order, as text."""
-    return chords.select("start_s", F.format_string("%.3f,%.3f,%s,%s", "start_s", "end_s", "chord", "key").alias("value")).orderBy("start_s").select("value")
+    return chords.select("start_s", F.concat(thousandths(F.col("start_s")), F.lit(","), thousandths(F.col("end_s")), F.format_string(",%s,%s", "chord", "key")).alias("value")).orderBy("start_s").select("value")

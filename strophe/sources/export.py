@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strophe.functions.music import thousandths
 from strophe.operators.tempo import ticks
 from strophe.sources import midi
 
@@ -39,7 +40,7 @@ def sheets(chords: DataFrame) -> DataFrame:
     """session_id, csv: the chord sheet of each session as one text with BOM,
     header and lines in order."""
     field = lambda c: F.when(F.col(c).rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c))
-    line = F.concat(F.format_string("%.3f,%.3f,", "start_s", "end_s"), field("chord"), F.lit(","), field("key"))
+    line = F.concat(thousandths(F.col("start_s")), F.lit(","), thousandths(F.col("end_s")), F.lit(","), field("chord"), F.lit(","), field("key"))
     g = chords.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("start_s", "end_s", line.alias("line")))).alias("a"))
     return g.select("session_id", F.concat(F.lit("﻿" + HEADER + "\r\n"), F.array_join(F.col("a.line"), "\r\n"), F.lit("\r\n")).alias("csv"))
 

@@ -90,3 +90,23 @@ def test_snapshot(spark):
     spans = [(i["start_s"], i["end_s"]) for i in one["items"] if i["kind"] == "chord"]
     assert spans[0][0] == 0 and max(b for _, b in spans) == pytest.approx(one["at_s"])
     assert L.snapshot(log.where("false")).count() == 0
+
+
+def test_thousandths(spark):
+    """As C prints them: of the exact value, half to even."""
+    values = [k / 2000 for k in range(4001)] + [k / 16_000 for k in range(1, 8000, 7)] + [-0.0, -0.0005, -1.0005, 1234567.0625, 999.9995, 1e11 + 0.0625]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select(M.thousandths(F.col("x"))).collect()
+    assert [r[0] for r in got] == [f"{v:.3f}" for v in values]
+
+
+def test_sheet_lines_at_half_thousandths(spark, tmp_path):
+    """Times such as 1.0005, a little under the half, as their SQL has them."""
+    import duckdb
+
+    from strophe.queries import QUERIES, SQL
+
+    duck = duckdb.connect()
+    duck.sql(f"copy (select i as event_id, timestamp '2024-01-01' + to_microseconds(cast(i * 25_000_000 as bigint)) as ts, i % 3 as user_id, 'view' as event_type, i % 7 / 20 as value, '{{\"k\": 1}}' as props from range(1, 3000) as g(i)) to '{tmp_path}/events.parquet' (format parquet)")
+    duck.sql(f"create view events as from '{tmp_path}/events.parquet'")
+    ours = sorted(tuple(r) for r in QUERIES["chord_sheet_lines"](spark, str(tmp_path)).select("session_id", "i", "line").collect())
+    assert ours == sorted(duck.sql(f"select session_id, i, line from ({SQL['chord_sheet_lines']})").fetchall())
