@@ -110,3 +110,13 @@ def test_sheet_lines_at_half_thousandths(spark, tmp_path):
     duck.sql(f"create view events as from '{tmp_path}/events.parquet'")
     ours = sorted(tuple(r) for r in QUERIES["chord_sheet_lines"](spark, str(tmp_path)).select("session_id", "i", "line").collect())
     assert ours == sorted(duck.sql(f"select session_id, i, line from ({SQL['chord_sheet_lines']})").fetchall())
+
+
+@pytest.mark.parametrize("name", ["label_bars", "beat_strength"])
+def test_beats_are_not_broadcast(spark, name):
+    """Beats are made from few rows, so they would look small to Spark."""
+    from strophe.queries import QUERIES
+
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
+    df._jdf.queryExecution().toRdd().count()
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
