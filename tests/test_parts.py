@@ -2,6 +2,7 @@
 
 import math
 import os
+import time
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strophe.functions import music as M
 from strophe.operators import beats as B
+from strophe.operators import harmony as H
 from strophe.operators import sessions as Z
 from strophe.operators import signal as S
 from strophe.operators import tracking as Y
@@ -120,3 +122,60 @@ def test_beats_are_not_broadcast(spark, name):
     df = QUERIES[name](spark, "/root/testdata/sf0.001")
     df._jdf.queryExecution().toRdd().count()
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def _plain_chord(v, tonic, major):
+    """One chroma vector's chord by plain loops over the templates."""
+    if v.sum() < 1e-7 or v.max() < 0.14 or (v >= max(0.055, v.max() * 0.16)).sum() < 2:
+        return "N", 0, 0.0
+    scale, tries = {(tonic + s) % 12 for s in (H.MAJOR_SCALE if major else H.MINOR_SCALE)}, []
+    for root in range(12):
+        for k, (suffix, intervals, tension) in enumerate(H.TEMPLATES):
+            tones = {(root + i) % 12 for i in intervals}
+            score = sum(x * (1.0 if i in tones else -0.42) - 0.075 * (i in tones and x < 0.055) for i, x in enumerate(v)) + 0.09 * (root in scale) + tension - 0.025 * max(0, len(tones) - 3)
+            tries.append((round(float(score), 12), -(root * 16 + k), H.NAMES[root] + suffix, root))
+    best = max(tries)
+    return best[2], best[3], min(1.0, max(0.0, (best[0] + 0.2) / 1.2))
+
+
+def test_chords_of_many_vectors():
+    """The same chords as by plain loops, in a small part of their time."""
+    rng = np.random.default_rng(5)
+    v = rng.random((400, 12)) ** 4
+    v /= v.sum(axis=1, keepdims=True)
+    v[::50], v[1::40] = 0.0, 1 / 12
+    root, major = rng.integers(0, 12, len(v)), rng.random(len(v)) < 0.5
+    began = time.process_time()
+    chord, at, sure = H.best_chords(v, root, major)
+    middle = time.process_time()
+    want = [_plain_chord(v[i], int(root[i]), bool(major[i])) for i in range(len(v))]
+    assert list(zip(chord, at, strict=True)) == [w[:2] for w in want] and sure == pytest.approx([w[2] for w in want], abs=1e-9)
+    assert middle - began < 0.2 * (time.process_time() - middle)
+
+
+@pytest.mark.parametrize(("size", "hop"), [(96, 32), (10, 5), (7, 3)])
+def test_windows_are_sums_of_blocks(spark, size, hop):
+    rng, rows = np.random.default_rng(6), []
+    for session in (1, 2):
+        for frame in [*range(3, 40), *range(150, 171 + session)]:
+            rows += [(session, frame, int(p), float(rng.random())) for p in rng.choice(12, 3, replace=False)]
+    df = H.windows(spark.createDataFrame(rows, "session_id long, frame int, pitch_class int, weight double"), size, hop)
+    # no frame by frame sums over a sliding range of frames
+    assert "RangeFrame" not in df._jdf.queryExecution().toString()
+    got = {(r["session_id"], r["k"]): r for r in df.collect()}
+    for session in (1, 2):
+        n = 171 + session
+        x = np.zeros((n, 12))
+        for s, frame, p, w in rows:
+            if s == session:
+                x[frame, p] += w
+        assert sorted(k for s, k in got if s == session) == list(range((n - 1) // hop + 1))
+        for k in range((n - 1) // hop + 1):
+            r = got[session, k]
+            assert r["frames"] == n and r["chroma"] == pytest.approx(x[k * hop : k * hop + size].mean(axis=0).tolist()) and r["whole"] == pytest.approx(x.sum(axis=0).tolist())
+
+
+def test_incomplete_vectors_have_no_chord(spark):
+    rows = [(1, [0.5, 0.0, 0.0, 0.0, 0.3, 0.0, 0.0, 0.2] + [0.0] * 4, 0, True), (2, None, 0, True), (3, [0.5], 0, True), (4, [0.1] * 12, None, True), (5, [None] * 12, 0, None)]
+    got = H.classify_chord(spark.createDataFrame(rows, "vec_id long, chroma array<double>, root int, is_major boolean")).orderBy("vec_id").collect()
+    assert [r["chord"] for r in got] == ["C", None, None, None, None] and got[0]["chord_root"] == 0 and got[1]["chord_confidence"] is None
