@@ -60,23 +60,41 @@ def _filters() -> list[np.ndarray]:
 _FILTERS: list[np.ndarray] = []
 
 
+def _octaves() -> list[np.ndarray]:
+    """The filters of each twelve pitches side by side, [samples, 24]: real
+    parts, then imaginary ones, all around the same middle."""
+    out = []
+    for k in range(0, BINS, 12):
+        own = _filters()[k : k + 12]
+        wide = np.zeros((len(own[0]), 12), complex)
+        for i, f in enumerate(own):
+            at = len(own[0]) // 2 - len(f) // 2
+            wide[at : at + len(f), i] = f
+        out.append(np.hstack([wide.real, wide.imag]))
+    return out
+
+
 def constant_q(samples: np.ndarray, first: int, count: int) -> np.ndarray:
     """Magnitudes [BINS, count] of frames around samples first, first + HOP, ..."""
     if not _FILTERS:
-        _FILTERS.extend(_filters())
+        _FILTERS.extend(_octaves())
     x = np.pad(samples, REACH + 1)
     centres = first + REACH + 1 + HOP * np.arange(count)
-    out = np.empty((BINS, count))
-    for k, f in enumerate(_FILTERS):
-        half = len(f) // 2
-        out[k] = np.abs(sliding_window_view(x, len(f))[centres - half] @ f)
-    return out
+    found = []
+    for wide in _FILTERS:
+        parts = sliding_window_view(x, len(wide))[centres - len(wide) // 2] @ wide
+        found.append(np.hypot(parts[:, :12], parts[:, 12:]).T)
+    return np.vstack(found)
 
 
 def _median(x: np.ndarray, size: int, axis: int) -> np.ndarray:
+    if size == 3 and axis == 1:
+        p = np.pad(x, ((0, 0), (1, 1)), mode="edge")
+        a, b, c = p[:, :-2], p[:, 1:-1], p[:, 2:]
+        return np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
     half = size // 2
     pad = [(half, half) if a == axis else (0, 0) for a in range(x.ndim)]
-    return np.median(sliding_window_view(np.pad(x, pad, mode="edge"), size, axis=axis), axis=-1)
+    return np.partition(sliding_window_view(np.pad(x, pad, mode="edge"), size, axis=axis), half, axis=-1)[..., half]
 
 
 def harmonic(cq: np.ndarray) -> np.ndarray:
@@ -172,8 +190,10 @@ def pitch_levels(blocks: DataFrame) -> DataFrame:
         return [(block, first - keep, keep, count, float(cq[:, keep : keep + count].max()), float(np.abs(x).max()), own, cq.tobytes())]
 
     cells = _per_block(blocks, margin, spectrum, "block long, first int, lead int, count int, top double, peak double, own int, cq binary")
-    top = cells.groupBy("session_id").agg(F.max("top").alias("loudest"), F.max("peak").alias("peak"), F.sum("own").alias("length"))
-    top = top.where("length >= 2048 and peak >= 1e-5 and loudest > 1e-9").select("session_id", "loudest")
+    # one window, not a join of the cells with their own sums, which would find them twice
+    session = Window.partitionBy("session_id")
+    cells = cells.withColumns({"loudest": F.max("top").over(session), "peak": F.max("peak").over(session), "length": F.sum("own").over(session)})
+    cells = cells.where("length >= 2048 and peak >= 1e-5 and loudest > 1e-9")
     kind = blocks.schema["session_id"].dataType.simpleString()
     shape = f"session_id {kind}, frame int, pitch int, level_db double, rise_db double"
 
@@ -188,7 +208,7 @@ def pitch_levels(blocks: DataFrame) -> DataFrame:
                 pitch, frame = np.nonzero(on)
                 yield pd.DataFrame({"session_id": r.session_id, "frame": (r.first + r.lead + frame).astype(np.int32), "pitch": (pitch + LOW).astype(np.int32), "level_db": level[:, r.lead : r.lead + r.count][pitch, frame], "rise_db": rise[pitch, frame]})
 
-    return cells.join(top, "session_id").select("session_id", "first", "lead", "count", "cq", "loudest").mapInPandas(active, shape)
+    return cells.select("session_id", "first", "lead", "count", "cq", "loudest").mapInPandas(active, shape)
 
 
 def spectral_notes(levels: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Transcription of rendered chords, clicks, and model windows."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +120,25 @@ def test_transcription_by_a_model(spark):
     (note,) = A.transcribe(audio, model).collect()
     assert note["midi_note"] == 60 and note["start_s"] == pytest.approx(25 * 256 / A.RATE, abs=0.01)
     assert A.transcribe(audio.where(F.lit(False)), model).count() == 0
+
+
+def test_constant_q_by_octaves():
+    """The same magnitudes as by one filter after another, in well under their time."""
+    x = np.random.default_rng(7).normal(0, 0.1, 40_000)
+    first, count = 9000, 40
+    filters = A._filters()
+    padded = np.pad(x, A.REACH + 1)
+    centres = first + A.REACH + 1 + A.HOP * np.arange(count)
+    A.constant_q(x, first, count)
+    began = time.process_time()
+    got = A.constant_q(x, first, count)
+    middle = time.process_time()
+    want = np.stack([np.abs(np.lib.stride_tricks.sliding_window_view(padded, len(f))[centres - len(f) // 2] @ f) for f in filters])
+    assert got == pytest.approx(want, abs=1e-12) and middle - began < 0.5 * (time.process_time() - middle)
+    assert A._median(want, 3, 1) == pytest.approx(np.median(np.lib.stride_tricks.sliding_window_view(np.pad(want, ((0, 0), (1, 1)), mode="edge"), 3, axis=1), axis=-1))
+
+
+def test_spectra_are_found_once(spark):
+    """Cells and what is loudest among them come from one pass over the blocks."""
+    blocks = spark.createDataFrame([(1, 0, [0.1] * 4096)], "session_id long, block int, samples array<float>")
+    assert A.pitch_levels(blocks)._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1
